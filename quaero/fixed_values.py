@@ -97,3 +97,15 @@ ABLATION_CONFIGS = (
     ("C7", False, True, False, False, False, False, 1.0),
     ("C6_crag", True, True, True, True, True, True, 0.6),
 )
+
+# Reading a grade from an upper-cased response; the first rule that matches decides.
+GRADE_RULES = (
+    ("IRRELEVANT", r"IRRELEVANT|NO RELEVANTE"),
+    ("RELEVANT", r"RELEVANT|RELEVANTE"),
+    ("AMBIGUOUS", r"AMBIGUOUS|AMBIGUO"),
+    ("IRRELEVANT", r"NO\s*(ES\s*)?RELEV|IRRELEV|SIN\s*RELEV"),
+    ("RELEVANT", r"RELEV|ÚTIL|PERTINENTE|APLICABLE"),
+)
+
+# Tags in a question that force its source.
+OVERRIDE_TAGS = r"NO\s+ESTRUCTURADO|ESTRUCTURADO|H[ÍI]BRIDO"

@@ -135,7 +135,7 @@ def apply_metadata_boost(
     )
     boosted = joined.withColumn(
         "score",
-        F.round(F.when(equal, F.col("score") * factor).otherwise(F.col("score")), SCORE_DIGITS),
+        F.round(F.when(equal, F.col("score") * factor).otherwise(F.col("score")), 9),
     ).withColumnRenamed("rank", "before")
     ranked = top_per_key(
         boosted, ["query_id"], [F.col("score").desc(), F.col("before")], 2**31 - 1

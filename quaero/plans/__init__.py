@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quaero.plans import dense_search  # noqa: F401
+from quaero.plans import dense_search, lexical_search  # noqa: F401
 from quaero.plans.registry import BUILDERS, TWINS
 
 __all__ = ["BUILDERS", "TWINS"]

@@ -250,7 +250,7 @@ def retrieval_failures(t):
 @query(
     "apply_metadata_boost",
     f"""WITH {HITS}, boosted AS (SELECT query_id, item_id, rank AS before,
-  round(CASE WHEN label = q_label THEN score * 1.5 ELSE score END, 6) AS score FROM hits)
+  round(CASE WHEN label = q_label THEN score * 1.5 ELSE score END, 9) AS score FROM hits)
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM boosted""",
 )
 def apply_metadata_boost(t):
