@@ -376,7 +376,7 @@ again AS (SELECT r.query_id, rewritten_query AS text FROM rewrites r JOIN counts
     + graded_sql("graded2", "lex2", "again")
     + """,
 both_passes AS (SELECT *, 1 AS pass FROM graded UNION ALL SELECT *, 2 FROM graded2),
-kept AS (SELECT query_id, item_id, min(pass) AS pass, arg_min(rank, pass) AS rank, arg_min(grade, pass) AS grade
+kept AS (SELECT query_id, item_id, min(pass)::BIGINT AS pass, arg_min(rank, pass) AS rank, arg_min(grade, pass) AS grade
   FROM both_passes WHERE grade <> 'IRRELEVANT' GROUP BY query_id, item_id)"""
 )
 
