@@ -208,9 +208,15 @@ def detect_metadata_value(
 
 def detect_boost_value(text: Column, mapping: Mapping[str, Sequence[str]]) -> Column:
     """First value of the mapping any of whose keywords is contained in the question."""
+    if not mapping:
+        return F.lit(None).cast("string")
     norm = tx.normalise(text)
-    found = None
-    for value, words in mapping.items():
-        test = tx.contains_any(norm, [tx.normalise_literal(w) for w in words])
-        found = F.when(test, value) if found is None else found.when(test, value)
-    return found if found is not None else F.lit(None).cast("string")
+    # one array of tests: the normal form is computed once for all of them
+    tests = F.array(
+        *[
+            tx.contains_any(norm, [tx.normalise_literal(w) for w in words])
+            for words in mapping.values()
+        ]
+    )
+    values = F.array(*[F.lit(v) for v in mapping])
+    return F.try_element_at(values, F.nullif(F.array_position(tests, True), F.lit(0)).cast("int"))

@@ -22,9 +22,13 @@ def _route(source, confidence, method: str, reasoning, clean_query=None) -> Colu
     )
 
 
-def override(question: Column) -> Column:
-    """Route struct if the question holds a source tag, else null; the first tag decides."""
-    tag = F.regexp_extract(question, _TAG, 1)
+def override_tag(question: Column) -> Column:
+    """First source tag in the question, or empty."""
+    return F.regexp_extract(question, _TAG, 1)
+
+
+def override(question: Column, tag: Column) -> Column:
+    """Route struct if a source tag was found, else null."""
     plain = tx.normalise(tag)
     source = (
         F.when(F.contains(plain, F.lit("hibrido")), "hybrid")
@@ -95,6 +99,30 @@ def by_default(reason: str, options: RouterOptions) -> Column:
     return _route(F.lit(options.default_source), F.lit(1.0), "default", F.lit(reason))
 
 
+def _cheap_layers(questions: DataFrame, options: RouterOptions) -> DataFrame:
+    """Add ``route`` as far as tags, switches and keywords decide it.
+
+    Tag and keyword counts are columns of an earlier projection, so each is evaluated once.
+    """
+    structured, unstructured = keyword_hits(F.col("text"), options)
+    counted = questions.select(
+        "query_id",
+        "text",
+        override_tag(F.col("text")).alias("_tag"),
+        structured.alias("_structured"),
+        unstructured.alias("_unstructured"),
+    )
+    tagged = override(F.col("text"), F.col("_tag"))
+    if not options.enabled:
+        cheap = F.coalesce(tagged, by_default("Router disabled", options))
+    elif not options.sql_enabled:
+        reason = F.lit("SQL not enabled, using document retrieval")
+        cheap = F.coalesce(tagged, _route(F.lit("unstructured"), F.lit(1.0), "default", reason))
+    else:
+        cheap = F.coalesce(tagged, by_keywords(F.col("_structured"), F.col("_unstructured"), options))
+    return counted.select("query_id", "text", cheap.alias("route"))
+
+
 def route_questions(
     questions: DataFrame, options: RouterOptions, responses: DataFrame | None = None
 ) -> DataFrame:
@@ -103,35 +131,22 @@ def route_questions(
     ``responses<query_id, response>`` are model answers; they are only looked up for questions
     that the cheap layers left open (use :func:`undecided` to ask a model for just those).
     """
-    text = F.col("text")
-    if not options.enabled:
-        cheap = F.coalesce(override(text), by_default("Router disabled", options))
-    elif not options.sql_enabled:
-        off = _route(
-            F.lit("unstructured"),
-            F.lit(1.0),
-            "default",
-            F.lit("SQL not enabled, using document retrieval"),
-        )
-        cheap = F.coalesce(override(text), off)
-    else:
-        cheap = F.coalesce(override(text), by_keywords(*keyword_hits(text, options), options))
-    routed = questions.withColumn("route", cheap)
+    routed = _cheap_layers(questions, options).drop("text")
     fallback = by_default("LLM unavailable, using default", options)
     if responses is None:
-        final = routed.withColumn("route", F.coalesce("route", fallback))
-    else:
-        answered = routed.filter(F.col("route").isNull()).join(responses, "query_id", "left")
-        late = answered.withColumn("route", F.coalesce(by_response(F.col("response"), options), fallback))
-        final = routed.filter(F.col("route").isNotNull()).unionByName(late.drop("response"))
-    return final.select("query_id", "route.*")
+        return routed.select("query_id", F.coalesce("route", fallback).alias("route")).select(
+            "query_id", "route.*"
+        )
+    answered = routed.filter(F.col("route").isNull()).select("query_id").join(responses, "query_id", "left")
+    late = answered.select(
+        "query_id", F.coalesce(by_response(F.col("response"), options), fallback).alias("route")
+    )
+    return routed.filter(F.col("route").isNotNull()).unionByName(late).select("query_id", "route.*")
 
 
 def undecided(questions: DataFrame, options: RouterOptions) -> DataFrame:
     """Questions that need the model."""
-    text = F.col("text")
-    cheap = F.coalesce(override(text), by_keywords(*keyword_hits(text, options), options))
-    return questions.filter(cheap.isNull())
+    return _cheap_layers(questions, options).filter(F.col("route").isNull()).drop("route")
 
 
 def distribution(routes: DataFrame) -> DataFrame:
@@ -156,19 +171,18 @@ def empty_result_fallback(
         .join(tables, "query_id", "left")
         .join(docs, "query_id", "left")
     )
-    failed = ~F.coalesce("sql_ok", F.lit(False))
-    empty = F.coalesce(F.col("row_count"), F.lit(0)) == 0
+    sql_ok = F.coalesce("sql_ok", F.lit(False))
     docs_ok = F.coalesce("docs_ok", F.lit(False))
-    when_empty = {
-        "none": F.lit("structured"),
-        "try_unstructured": F.when(docs_ok, "unstructured").otherwise("structured"),
-        "try_hybrid": F.when(docs_ok, "structured,unstructured").otherwise("structured"),
-    }[strategy]
-    used = (
-        F.when(failed & docs_ok, "unstructured")
-        .when(failed, "none")
-        .when(empty, when_empty)
-        .otherwise("structured")
+    empty = sql_ok & (F.coalesce("row_count", F.lit(-1)) == 0)
+    asked_docs = ~sql_ok | (empty & F.lit(strategy != "none"))
+    by_docs = F.when(F.lit(strategy == "try_hybrid") & sql_ok, "hybrid").otherwise("unstructured")
+    answer = (
+        F.when(asked_docs & docs_ok, by_docs).when(sql_ok, "structured").otherwise("none")
+    )
+    used = F.concat_ws(
+        ",", F.when(sql_ok, "structured"), F.when(asked_docs & docs_ok, "unstructured")
+    )
+    reason = F.when(~sql_ok, "sql_failed").when(empty, "sql_empty").otherwise("answered")
+    return joined.select(
+        "query_id", answer.alias("answer_from"), used.alias("sources_used"), reason.alias("reason")
     )
-    reason = F.when(failed, "sql_failed").when(empty, "sql_empty").otherwise("answered")
-    return joined.select("query_id", used.alias("sources_used"), reason.alias("reason"))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quaero.plans import corpus, dense_search, lexical_search, questions  # noqa: F401
+from quaero.plans import corpus, dense_search, lexical_search, questions, routes, runs  # noqa: F401
 from quaero.plans.registry import BUILDERS, TWINS
 
 __all__ = ["BUILDERS", "TWINS"]
