@@ -76,11 +76,17 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def count_contained(text: Column, words: Sequence[str]) -> Column:
-    """How many distinct literal words are contained; overlapping words count each."""
-    total = F.lit(0)
-    for word in words:
-        total = total + F.contains(text, F.lit(word)).cast("int")
-    return total
+    """How many literal words are contained; overlapping words count each.
+
+    The text is bound once in an array of one, however long the word list is.
+    """
+    if not words:
+        return F.lit(0)
+    listed = F.array(*[F.lit(w) for w in words])
+    counts = F.transform(
+        F.array(text), lambda t: F.size(F.filter(listed, lambda w: F.contains(t, w)))
+    )
+    return F.element_at(counts, 1)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
