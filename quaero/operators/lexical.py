@@ -58,19 +58,25 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def build_index(items: DataFrame, only_terms: DataFrame | None = None) -> LexicalIndex:
     """Postings and statistics of ``items<item_id, text[, match]>``.
 
-    ``only_terms<term>`` keeps just the postings of those terms, dropped before any shuffle;
-    lengths and document counts always cover the whole corpus. A ``match`` column (a metadata
-    value to filter by) is carried into the postings.
+    Texts are split once and their word arrays placed by item: counting per item, the join with
+    question terms and the sums per item then need no further shuffle, and all parts of the index
+    read the same exchange. ``only_terms<term>`` keeps just the postings of those terms; lengths
+    and document counts always cover the whole corpus. A ``match`` column (a metadata value to
+    filter by) is carried into the postings.
     """
     carried = ["match"] if "match" in items.columns else []
-    words = items.select("item_id", *carried, tx.tokens(F.lower("text")).alias("words"))
+    words = items.select(
+        "item_id", *carried, tx.tokens(F.lower("text")).alias("words")
+    ).repartition("item_id")
     length = F.size("words").cast("bigint")
+    # the outer form keeps the optimiser from repeating the split in an extra filter
     exploded = words.select(
-        "item_id", *carried, length.alias("length"), F.explode("words").alias("term")
+        "item_id", *carried, length.alias("length"), F.explode_outer("words").alias("term")
     )
-    if only_terms is not None:
+    if only_terms is None:
+        exploded = exploded.filter(F.col("term").isNotNull())
+    else:
         exploded = lookup_join(exploded, only_terms.select("term").distinct(), ["term"], "left_semi")
-    # the key holds the item, so a hot term is spread; partial counts happen before the shuffle
     postings = exploded.groupBy("item_id", *carried, "term", "length").agg(
         F.count("*").alias("tf")
     )

@@ -129,9 +129,9 @@ def with_vectors(df):
     return df.withColumn("vector", dense.hashed_vector(tx.tokens(F.lower("text"))))
 
 
-def index(t, asked=None):
+def index(t, asked=None, matched=False):
     wanted = lexical.question_terms(questions(t) if asked is None else asked)
-    return lexical.build_index(items(t), wanted)
+    return lexical.build_index(items(t) if matched else items(t).drop("match"), wanted)
 
 
 def lexical_hits(t, k=10):
@@ -194,7 +194,7 @@ def bm25_topk_postfilter(t):
     + f" {OUT} lex",
 )
 def bm25_topk_prefilter(t):
-    return lexical.bm25_topk(questions(t), index(t), 10, matched=True)
+    return lexical.bm25_topk(questions(t), index(t, matched=True), 10, matched=True)
 
 
 @query(
