@@ -46,12 +46,9 @@ def stats_by_extension(files: DataFrame) -> DataFrame:
 def read_text_documents(spark: SparkSession, folder: str, pattern: str = "*.{txt,md,json}") -> DataFrame:
     """One row per text file. A file that cannot be read does not stop the others."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", True)
+        spark.read.option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
-        .text(folder)
+        .text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(
             F.col("value").alias("text"),
             F.col("_metadata.file_name").alias("file_name"),
