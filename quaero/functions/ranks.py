@@ -39,6 +39,7 @@ def nearest_rank(
         few = fits(df.select(*keys).distinct())
         joined = lookup_join(counted, bounds, keys, small_fits=few)
     else:
+        few = True
         whole = bounds.select(F.struct("_bounds", "_n")).scalar()
         joined = counted.select("*", whole["_bounds"].alias("_bounds"), whole["_n"].alias("_n"))
     sliced = joined.select(
@@ -69,10 +70,10 @@ def nearest_rank(
     )
     slice_order = Window.partitionBy(*keys, "_slice").orderBy("_v")
     running = F.sum("_c").over(slice_order.rowsBetween(Window.unboundedPreceding, 0))
+    # as many rows as groups have percentiles
+    narrowed = lookup_join(sliced.drop("_n"), wanted, [*keys, "_slice"], small_fits=few)
     return (
-        sliced.drop("_n")
-        .join(wanted, [*keys, "_slice"])
-        .withColumn("_upto", F.col("_from") + running)
+        narrowed.withColumn("_upto", F.col("_from") + running)
         .select(*keys, "_v", "_c", "_upto", F.explode("_wanted").alias("_p"))
         .filter(
             (F.col("_p.place") < F.col("_upto"))

@@ -7,14 +7,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 * 1024 * 1024
 SALTS = 16
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if the frame has at most ``max_rows`` rows; stops counting beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(field) -> Column:
+    """Size of a value: texts and binaries by their bytes, arrays by their elements."""
+    kind = field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType):
+            return F.coalesce(F.octet_length(F.array_join(field.name, "        ")), F.lit(0))
+        return F.coalesce(F.size(field.name) * 8, F.lit(0))
+    return F.lit(8)
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if the frame is small in rows and in bytes; reading stops beyond the row limit."""
+    width = sum((_bytes(f) for f in df.schema.fields), F.lit(0)).cast("bigint")
+    rows, size = (
+        df.limit(max_rows + 1).select(width.alias("w")).agg(F.count("*"), F.sum("w")).first()
+    )
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def lookup_join(
@@ -59,20 +77,35 @@ def top_per_key(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, block: int = 4096
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    value: str,
+    out: str,
+    block: int = 4096,
+    levels: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` by an integer ``position`` that is unique per key.
 
-    Two levels: sums inside blocks of ``block`` positions, then over the block totals. A window
-    never sees more than one block of rows or one row per block, however big a key is.
+    Sums inside blocks of ``block`` positions, then over the block totals (and again over their
+    blocks with more ``levels``). A window never sees more than one block of rows, or one row per
+    block at the top, however big a key is. Without keys the whole frame is one key: three levels.
     """
     keys = list(keys)
+    levels = levels if levels is not None else (2 if keys else 3)
     blocked = df.withColumn("_block", F.floor(F.col(position) / block))
     totals = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
+    if levels > 2:
+        placed = totals.withColumnRenamed("_block", "_place")
+        upto = running_sum(placed, keys, "_place", "_total", "_upto", block, levels - 1)
+        offsets = upto.select(
+            *keys, F.col("_place").alias("_block"), (F.col("_upto") - F.col("_total")).alias("_offset")
+        )
+    else:
+        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
+        )
     inside = (
         Window.partitionBy(*keys, "_block")
         .orderBy(position)

@@ -138,8 +138,9 @@ def lexical_hits(t, k=10):
     return lexical.bm25_topk(questions(t), index(t), k)
 
 
-def dense_hits(t, k=10, matched=False):
-    return dense.vector_topk(with_vectors(questions(t)), with_vectors(items(t)), k, matched=matched)
+def dense_hits(t, k=10, matched=False, corpus=None):
+    corpus = with_vectors(items(t)) if corpus is None else corpus
+    return dense.vector_topk(with_vectors(questions(t)), corpus, k, matched=matched)
 
 
 def hybrid_hits(t, k=10, alpha=0.5):
@@ -529,9 +530,11 @@ MEANS = """count(*) AS n_queries, round(avg(hit), 6) AS hit, round(avg(rr), 6) A
 def ablation_runs(t, configs=ABLATION_CONFIGS, k=10):
     """Ranked hits per configuration. Each base list is computed once and then only re-weighted."""
     asked = questions(t)
-    base_dense = materialise(dense_hits(t, k))
     base_lexical = materialise(lexical_hits(t, k))
-    filtered_dense = materialise(dense_hits(t, k, matched=True))
+    # texts are embedded once for the plain and the filtered search
+    corpus = materialise(with_vectors(items(t)).select("item_id", "match", "vector"))
+    base_dense = materialise(dense_hits(t, k, corpus=corpus))
+    filtered_dense = materialise(dense_hits(t, k, matched=True, corpus=corpus))
     filtered_lexical = lexical.keep_matching(base_lexical, items(t), asked, k)
     out = None
     for name, use_bm25, use_vector, use_rrf, use_filter, use_rerank, use_grading, alpha in configs:
