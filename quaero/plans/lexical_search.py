@@ -536,16 +536,21 @@ def ablation_runs(t, configs=ABLATION_CONFIGS, k=10):
     base_dense = materialise(dense_hits(t, k, corpus=corpus))
     filtered_dense = materialise(dense_hits(t, k, matched=True, corpus=corpus))
     filtered_lexical = lexical.keep_matching(base_lexical, items(t), asked, k)
+    fused, reranked = {}, {}
     out = None
     for name, use_bm25, use_vector, use_rrf, use_filter, use_rerank, use_grading, alpha in configs:
         dense_list = filtered_dense if use_filter else base_dense
         lexical_list = filtered_lexical if use_filter else base_lexical
         if use_rrf:
-            run = fusion.rrf_fuse([(dense_list, alpha), (lexical_list, 1 - alpha)], k)
+            weighted = [(dense_list, alpha), (lexical_list, 1 - alpha)]
+            run = fused.setdefault((use_filter, alpha), fusion.rrf_fuse(weighted, k))
         else:
             run = dense_list if use_vector else lexical_list
         if use_rerank:
-            run = fusion.rerank_topn(run, asked, items(t), k)
+            # scoring pairs reads the texts: once per fused list, whoever uses it
+            if (use_filter, alpha) not in reranked:
+                reranked[use_filter, alpha] = materialise(fusion.rerank_topn(run, asked, items(t), k))
+            run = reranked[use_filter, alpha]
         if use_grading:
             kept = co.keep_graded(lexical_graded(run, asked, t)).withColumn("score", -F.col("rank"))
             run = fusion.dedupe_hits([kept])
