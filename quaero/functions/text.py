@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -36,8 +37,8 @@ def normalise(text: Column) -> Column:
 
 def normalise_literal(text: str) -> str:
     """The same rule for a word of a configured list."""
-    parts = unicodedata.normalize("NFKD", text.lower())
-    return "".join(c for c in parts if not unicodedata.combining(c))
+    folded = text.lower().translate(str.maketrans(_ACCENTED, _PLAIN))
+    return re.sub("[\u0300-\u036f]", "", folded)
 
 
 def tokens(text: Column) -> Column:

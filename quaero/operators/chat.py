@@ -73,9 +73,9 @@ def transcript_lines(messages: DataFrame) -> DataFrame:
 
 def citations_by_file(citations: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Cited chunks per message and parent file (``citations<message_id, chunk_id>``)."""
-    parents = lookup_join(chunks.select("chunk_id", "file_id"), citations, ["chunk_id"])
+    # a chunk or file cited everywhere is a hot key of the left side
+    parents = lookup_join(citations, chunks.select("chunk_id", "file_id"), ["chunk_id"])
     counted = parents.groupBy("message_id", "file_id").agg(F.count("*").alias("n"))
-    # a file cited everywhere is a hot key: files are the salted side
     return lookup_join(counted, files.select("file_id", "name"), ["file_id"])
 
 

@@ -46,7 +46,6 @@ def _kernel(metric: str, k: int, matched: bool, skip_self: bool):
         best_s = np.empty((len(q), 0))
         best_i = np.empty((len(q), 0), dtype=np.int64)
         for frame in frames:
-            frame = frame[frame["vector"].notna()]
             if frame.empty:
                 continue
             c = np.stack(frame["vector"].to_numpy())
@@ -96,9 +95,9 @@ def vector_topk(
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
     columns = ["vector", "match"] if matched else ["vector"]
-    asked = questions.filter(F.col("vector").isNotNull()).select("query_id", *columns)
+    asked = questions.select("query_id", *columns).dropna(subset=columns)
     found = apply_blocks(
-        corpus.select("item_id", *columns),
+        corpus.select("item_id", *columns).dropna(subset=columns),
         asked,
         _kernel(metric, k, matched, skip_self),
         HIT_SCHEMA,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.functions import text as tx
-from quaero.operators.sizing import fits, lookup_join, top_per_key
+from quaero.operators.sizing import fits, items_of_hits, lookup_join, top_per_key
 from quaero.options import FusionOptions
 
 SCORE_DIGITS = 6
@@ -100,7 +100,7 @@ def rerank_topn(
     passages = items.select("item_id", F.col("text").alias("passage"))
     asked = questions.select("query_id", F.col("text").alias("question"))
     candidates = lookup_join(hits, asked, ["query_id"], small_fits=few)
-    pairs = lookup_join(passages, candidates, ["item_id"], small_fits=few)
+    pairs = items_of_hits(passages, candidates, ["item_id"], few)
     scored = pairs.select(
         "query_id",
         "item_id",
@@ -129,7 +129,7 @@ def apply_metadata_boost(
     fields = items.select("item_id", F.col("field").alias("_field"))
     asked = wanted.select("query_id", "boost_value")
     labelled = lookup_join(hits, asked, ["query_id"], "left", small_fits=few)
-    joined = lookup_join(fields, labelled, ["item_id"], small_fits=few)
+    joined = items_of_hits(fields, labelled, ["item_id"], few)
     equal = tx.normalise(F.col("_field").cast("string")) == tx.normalise(
         F.col("boost_value").cast("string")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions import text as tx
-from quaero.operators.sizing import fits, lookup_join, one_row, top_per_key
+from quaero.operators.sizing import fits, items_of_hits, lookup_join, one_row, top_per_key
 from quaero.options import Bm25Options
 
 SCORE_DIGITS = 6
@@ -128,8 +128,8 @@ def keep_matching(hits: DataFrame, items: DataFrame, questions: DataFrame, k: in
     few = fits(questions)
     wanted = questions.select("query_id", "match")
     labelled = lookup_join(hits.filter(F.col("rank") <= k), wanted, ["query_id"], small_fits=few)
-    kept = lookup_join(
-        items.select("item_id", "match"), labelled, ["item_id", "match"], small_fits=few
+    kept = items_of_hits(
+        items.select("item_id", "match"), labelled, ["item_id", "match"], few
     ).withColumnRenamed("rank", "before")
     ranked = top_per_key(kept, ["query_id"], [F.col("before")], k)
     return ranked.select("query_id", "item_id", "score", "rank")

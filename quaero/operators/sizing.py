@@ -11,7 +11,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 8 * 1024 * 1024
-SALTS = 16
+HOT_SHARE = 1e-4
+HOT_ROWS = 100_000
 
 
 def _bytes(field) -> Column:
@@ -35,33 +36,73 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCA
     return rows <= max_rows and (size or 0) <= max_bytes
 
 
+def salted_join(
+    big: DataFrame,
+    other: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+    hot_share: float = HOT_SHARE,
+) -> DataFrame:
+    """Shuffle join that splits the hot keys of ``big``.
+
+    A key is hot from ``hot_rows`` rows on if it also holds more than ``hot_share`` of all rows,
+    so there are at most ``1 / hot_share`` hot keys and their list may be broadcast. A hot key
+    gets one salt per ``hot_share`` of the rows; only its partners are repeated. All other rows
+    join as they are, and no row is lost.
+    """
+    keys = list(on)
+    if how in ("left_semi", "left_anti"):
+        other = other.select(*keys).distinct()
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_c"))
+    total = one_row(counts.agg(F.sum("_c").alias("total")))["total"]
+    hot = counts.filter((F.col("_c") >= hot_rows) & (F.col("_c") > total * hot_share)).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys],
+        F.ceil(F.col("_c") / (total * hot_share)).cast("int").alias("_salts"),
+    )
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
+        joined = df.join(F.broadcast(hot), same, "left").drop(*[f"_hot_{k}" for k in keys])
+        return joined.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    salted = with_salts(big).withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.col("_salts")).cast("int"))
+    spread = with_salts(other).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    )
+    return salted.drop("_salts").join(spread.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
     small_fits: bool | None = None,
 ) -> DataFrame:
     """Join a possibly skewed big side to a narrow side.
 
-    A side that was counted as small is broadcast, so hot keys of the big side stay where they
-    are. Otherwise every key of the big side is spread over ``salts`` partitions and the other
-    side is repeated once per salt: no task holds a whole hot key, and no row is lost.
-    ``small_fits`` gives the answer where it follows from a size already checked (the hits of
-    counted questions, for one), so that nothing is computed twice.
+    A side that was measured as small is broadcast, so hot keys of the big side stay where they
+    are; otherwise the hot keys are split by :func:`salted_join`. ``small_fits`` gives the answer
+    where it follows from a size already measured (the hits of counted questions, for one), so
+    that nothing is computed twice.
     """
-    keys = list(on)
     if small_fits is None:
         small_fits = fits(small, max_rows)
     if small_fits:
-        return big.join(F.broadcast(small), keys, how)
-    if how in ("left_semi", "left_anti"):
-        small = small.select(*keys).distinct()
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+        return big.join(F.broadcast(small), list(on), how)
+    return salted_join(big, small, on, how)
+
+
+def items_of_hits(items: DataFrame, hits: DataFrame, on: Sequence[str], few: bool) -> DataFrame:
+    """Items (each once, maybe wide) with the hits that point to them.
+
+    Few hits are broadcast to the items; many are the side whose hot items are split.
+    """
+    if few:
+        return items.join(F.broadcast(hits), list(on))
+    return salted_join(hits, items, on)
 
 
 def top_per_key(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quaero.fixed_values import SOURCES_PREAMBLE
 from quaero.operators import chat
 from quaero.operators import context as cx
-from quaero.operators.sizing import fits, lookup_join
+from quaero.operators.sizing import fits, items_of_hits
 from quaero.options import ContextOptions
 from quaero.plans import lexical_search as ls
 from quaero.plans.registry import query
@@ -120,7 +120,7 @@ def answer_prompts(t):
 )
 def wrap_sources(t):
     few = fits(ls.questions(t))
-    texts = lookup_join(ls.items(t), ls.lexical_hits(t), ["item_id"], small_fits=few)
+    texts = items_of_hits(ls.items(t), ls.lexical_hits(t), ["item_id"], few)
     return cx.wrap_sources(texts.select("query_id", "rank", F.col("text").alias("content")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quaero.operators import dense, fusion
 from quaero.operators import retrieval_metrics as rm
-from quaero.operators.sizing import lookup_join, materialise
+from quaero.operators.sizing import fits, items_of_hits, materialise
 from quaero.plans.registry import query
 
 KS = (3, 5, 10)
@@ -93,7 +93,9 @@ def judged(t, k=10):
         F.col("vec_id").alias("item_id"),
         F.concat(F.lit("L"), "label", F.lit("_"), "vec_id").alias("file_name"),
     )
-    named = lookup_join(names, hits(t, k), ["item_id"], small_fits=True)
+    # one question per label
+    few = fits(t.embeddings.select("label").distinct())
+    named = items_of_hits(names, hits(t, k), ["item_id"], few)
     marked = rm.judge(
         named, F.col("file_name"), F.concat(F.lit("^l"), F.col("query_id"), F.lit("_"))
     )

@@ -13,7 +13,7 @@ from quaero.functions import text as tx
 from quaero.operators import corrective as co
 from quaero.operators import dense, fusion, lexical, prefilter
 from quaero.operators import retrieval_metrics as rm
-from quaero.operators.sizing import fits, lookup_join, materialise
+from quaero.operators.sizing import fits, items_of_hits, lookup_join, materialise
 from quaero.options import FusionOptions
 from quaero.plans.registry import query
 
@@ -292,7 +292,7 @@ def retrieve_ranked(t):
         F.col("doc_id").alias("item_id"),
         F.concat("source", F.lit("_"), "lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("file_name"),
     )
-    named = lookup_join(names, final, ["item_id"], small_fits=fits(asked))
+    named = items_of_hits(names, final, ["item_id"], fits(asked))
     return named.select("query_id", "rank", "file_name", "score")
 
 
@@ -337,7 +337,7 @@ def keyword_coverage(t):
     expected = t.benchmark.select(F.col("item_id").alias("query_id"), words.alias("keywords"))
     few = fits(expected)
     asked = lookup_join(lexical_hits(t), expected, ["query_id"], small_fits=few)
-    texts = lookup_join(items(t).select("item_id", "text"), asked, ["item_id"], small_fits=few)
+    texts = items_of_hits(items(t).select("item_id", "text"), asked, ["item_id"], few)
     return fusion.keyword_coverage(texts)
 
 

@@ -60,8 +60,15 @@ def test_running_sum_and_salted_join(spark, rows):
     small = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "key long, y string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = sorted(map(str, big.join(small, ["key"], how).collect()))
-        salted = sorted(map(str, sizing.lookup_join(big, small, ["key"], how, small_fits=False).collect()))
-        assert plain == salted, how
+        assert plain == sorted(map(str, sizing.lookup_join(big, small, ["key"], how, small_fits=False).collect()))
+        salted = sizing.salted_join(big, small, ["key"], how, hot_rows=10, hot_share=0.05)
+        assert plain == sorted(map(str, salted.collect())), how
+    nulls = spark.createDataFrame([(None, i) for i in range(40)] + [(1, 1)], "key long, x long")
+    spread = sizing.salted_join(nulls, small, ["key"], "left", hot_rows=10, hot_share=0.05)
+    assert spread.count() == 42
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "key long, y string")
+    for few in (True, False):
+        assert sizing.items_of_hits(items, big, ["key"], few).count() == 51
     assert sizing.fits(small, 3) and not sizing.fits(small, 2)
 
 
