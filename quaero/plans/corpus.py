@@ -50,6 +50,20 @@ def document_stats_by_ext(t):
     return files.stats_by_extension(t.pages.select(files.extension(path).alias("ext")).filter("ext <> ''"))
 
 
+@query(
+    "read_text_documents",
+    "SELECT sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(text) + 1)::BIGINT AS chars FROM documents",
+)
+def read_text_documents(t):
+    """All documents as text files of at most 50 each, read back one row per file."""
+    path = work_folder(t.spark, "texts")
+    t.documents.select("text").write.option("maxRecordsPerFile", 50).text(path)
+    read = files.read_text_documents(t.spark, path)
+    return read.agg(
+        F.sum(F.regexp_count("text", F.lit("\n"))).alias("lines"), F.sum(F.length("text")).alias("chars")
+    )
+
+
 HTML_BODY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
   '(?s)<head[ >].*?</head>', ' ', 'g'), '(?s)<script[ >].*?</script>', ' ', 'g'), '(?s)<style[ >].*?</style>', ' ', 'g'),
   '(?s)<nav[ >].*?</nav>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"""

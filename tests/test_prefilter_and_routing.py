@@ -155,6 +155,12 @@ def test_layers(spark):
     assert got[7]["source"] == "structured" and got[7]["confidence"] == 0.8
 
 
+def test_only_open_questions_go_to_the_model(spark, rows):
+    texts = ["cuántas hay", "hola", "total de créditos y metodología", "híbrido: hola"]
+    questions = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    assert rows(rt.undecided(questions, OPTIONS), "query_id") == [(1,), (2,)]
+
+
 def test_switches(spark):
     off = route(spark, ["cuántas"], RouterOptions(enabled=False, default_source="hybrid"))
     assert (off[0]["source"], off[0]["confidence"], off[0]["reasoning"]) == ("hybrid", 1.0, "Router disabled")
