@@ -6,6 +6,7 @@ Frames: ``questions<query_id, vector[, match]>``, ``corpus<item_id, vector[, mat
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,8 +147,6 @@ def hashed_vector(words: Column, dim: int = 64) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import hashlib
-
         places: dict[str, int] = {}
 
         def place(word: str) -> int:

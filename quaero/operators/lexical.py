@@ -55,19 +55,23 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(words).alias("term"))
 
 
+def split_items(items: DataFrame) -> DataFrame:
+    """Texts split once into word arrays, placed by item: ``<item_id[, match], words>``."""
+    carried = ["match"] if "match" in items.columns else []
+    words = tx.tokens(F.lower("text")).alias("words")
+    return items.select("item_id", *carried, words).repartition("item_id")
+
+
 def build_index(items: DataFrame, only_terms: DataFrame | None = None) -> LexicalIndex:
-    """Postings and statistics of ``items<item_id, text[, match]>``.
+    """Postings and statistics of ``items<item_id, text[, match]>`` or of split items.
 
-    Texts are split once and their word arrays placed by item: counting per item, the join with
-    question terms and the sums per item then need no further shuffle, and all parts of the index
-    read the same exchange. ``only_terms<term>`` keeps just the postings of those terms; lengths
-    and document counts always cover the whole corpus. A ``match`` column (a metadata value to
-    filter by) is carried into the postings.
+    Counting per item, the join with question terms and the sums per item need no shuffle after
+    that of the split items, and all parts of the index read the same exchange. ``only_terms<term>``
+    keeps just the postings of those terms; lengths and document counts always cover the whole
+    corpus. A ``match`` column (a metadata value to filter by) is carried into the postings.
     """
     carried = ["match"] if "match" in items.columns else []
-    words = items.select(
-        "item_id", *carried, tx.tokens(F.lower("text")).alias("words")
-    ).repartition("item_id")
+    words = items if "words" in items.columns else split_items(items)
     length = F.size("words").cast("bigint")
     # the outer form keeps the optimiser from repeating the split in an extra filter
     exploded = words.select(

@@ -144,10 +144,15 @@ def dense_hits(t, k=10, matched=False, corpus=None):
 
 
 def hybrid_hits(t, k=10, alpha=0.5):
+    """Both lists start from the same split texts."""
+    split = lexical.split_items(items(t).drop("match"))
+    corpus = split.select("item_id", dense.hashed_vector(F.col("words")).alias("vector"))
+    asked = questions(t)
+    built = lexical.build_index(split, lexical.question_terms(asked))
     return fusion.retrieve(
         "hybrid",
-        lambda n: dense_hits(t, n),
-        lambda n: lexical_hits(t, n),
+        lambda n: dense_hits(t, n, corpus=corpus),
+        lambda n: lexical.bm25_topk(asked, built, n),
         FusionOptions(alpha=alpha, top_k=k),
     )
 

@@ -8,7 +8,7 @@ from quaero.functions.ranks import nearest_rank
 from quaero.operators import behaviour as bh
 from quaero.operators import dataset as st
 from quaero.operators import latency as lt
-from quaero.operators.sizing import materialise
+from quaero.operators.sizing import materialise, one_row
 from quaero.plans.registry import query
 from quaero.sources import trace
 
@@ -318,8 +318,6 @@ def query_length_stats(t):
   WHERE lang <> 'en' GROUP BY source""",
 )
 def subject_distribution(t):
-    from quaero.operators.sizing import one_row
-
     kept = t.documents.filter("lang <> 'en'")
     counts = kept.groupBy("source").agg(F.count("*").alias("n"))
     distinct = one_row(kept.agg(F.count_distinct("source").alias("n")))["n"]
