@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import html_extraction, language_id, secret_scans, sharding, token_counts
+from quaero.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    quality_rules,
+    secret_scans,
+    sharding,
+    substring_dedup,
+    token_counts,
+)
 from quaero.llm.common import table
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +42,32 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
 
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether it is like the others of its language and source."""
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.benchmark_matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_items"),
+        F.col("matches.item_id").alias("item_ids"),
+        F.array_max("matches.similarity").alias("similarity"),
+    )
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that stood in the corpus before."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op7_html_extraction")
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
