@@ -28,7 +28,7 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 FEATURES = ("_x0", "_x1", "_x2", "_x3")
 #: what a statistic varies by at least (standard deviations): many are constant in clean text
-FLOORS = (0.08, 0.35, 0.35, 0.35)
+FLOORS = (0.08, 0.35, 1.0, 1.0)
 STEP = 1024  # statistics are multiples of 1 / STEP: their sums are exact in any order
 MIN_GROUP = 60  # documents of a group that is estimated on its own
 STEPS = 4
