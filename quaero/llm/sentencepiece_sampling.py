@@ -21,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ from quaero.llm.words import mix
 SAMPLES = 2
 SHARPNESS = 1.0  # of the distribution: 0 makes all segmentations equally likely
 GROUP = 1 << 19  # characters of texts that are drawn together
+ROWS = 300_000  # rows of the table of lattices, about 200 bytes each; more if one group of texts needs more
 LONG_UNIT = 64  # longer units are laid out one by one
 SPACE = "▁"
 _UNITS = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -65,6 +67,7 @@ class Model:
         self.byte_weight = -SHARPNESS * np.log(2 + n)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.lattices = Lattices(self)
 
     @staticmethod
     def extend(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -109,32 +112,53 @@ class Lattices:
     """The lattices of distinct units, laid out in one table: a row for each unit and end position.
 
     ``cum[row, l]`` is the probability that the piece ending there has at most ``l + 1`` characters.
+    Lattices stay for the next texts until the table is full; then it starts anew.
     """
 
-    def __init__(self, model: Model, units: list[str]) -> None:
-        self.model, width = model, model.longest
-        self.lengths = np.array([len(u) for u in units], dtype=np.int64)
-        self.base = np.r_[0, np.cumsum(self.lengths + 1)][:-1]
-        rows = int((self.lengths + 1).sum())
-        self.cum = np.full((rows, width), 2, dtype=np.float32)
-        self.logp = np.full((rows, width), -np.inf, dtype=np.float32)
-        self.ids = np.full((rows, width), -1, dtype=np.int32)
-        order = np.argsort(self.lengths, kind="stable")
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self._clear(ROWS)
+
+    def _clear(self, rows: int) -> None:
+        shape = (rows, self.model.longest)
+        self.names: dict[str, int] = {}
+        self.lengths, self.base, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.cum = np.full(shape, 2, dtype=np.float32)
+        self.logp = np.full(shape, -np.inf, dtype=np.float32)
+        self.ids = np.full(shape, -1, dtype=np.int32)
+
+    def add(self, units: list[str]) -> None:
+        """Lay out the units that are not there yet."""
+        new = [u for u in units if u not in self.names]
+        rows = sum(map(len, new)) + len(new)
+        if self.used + rows > len(self.cum):
+            new = units
+            rows = sum(map(len, new)) + len(new)
+            self._clear(max(ROWS, rows))
+        if not new:
+            return
+        lengths = np.array([len(u) for u in new], dtype=np.int64)
+        first = len(self.names)
+        self.names.update(zip(new, range(first, first + len(new))))
+        self.lengths = np.r_[self.lengths, lengths]
+        self.base = np.r_[self.base, self.used + np.r_[0, np.cumsum(lengths + 1)[:-1]]]
+        self.used += rows
+        order = np.argsort(lengths, kind="stable")
+        sorted_ = lengths[order]
         at = 0
         while at < len(order):
-            length = int(self.lengths[order[at]])
-            end = int(np.searchsorted(self.lengths[order], length, "right"))
-            if length > LONG_UNIT:
-                end = at + 1
-            some = max(1, 40_000 // (length + 1))
+            length = int(sorted_[at])
+            end = int(np.searchsorted(sorted_, length, "right"))
+            some = 1 if length > LONG_UNIT else max(1, 40_000 // (length + 1))
             for k in range(at, end, some):
-                self._lay_out(units, order[k : min(end, k + some)], length)
+                which = order[k : min(end, k + some)]
+                self._lay_out([new[u] for u in which], which + first, length)
             at = end
 
     def _lay_out(self, units: list[str], which: np.ndarray, n: int) -> None:
         """Forward pass over units of one length."""
         model, width = self.model, min(self.model.longest, n)
-        text = "".join(units[u] for u in which)
+        text = "".join(units)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(which), n)
         codes = codes.astype(np.uint64)
         total = np.zeros((len(which), n + 1))
@@ -294,9 +318,10 @@ class _Branch:
 def sample_group(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple]]:
     """For each text up to ``k`` distinct segmentations: ``(ids, log probability, inclusion)``."""
     units = [model.units(t) for t in texts]
-    names = {u: n for n, u in enumerate(dict.fromkeys(u for us in units for u in us))}
-    lattices = Lattices(model, list(names))
-    own = [np.array([names[u] for u in us], dtype=np.int64) for us in units]
+    lattices = model.lattices
+    lattices.add(list(dict.fromkeys(chain.from_iterable(units))))
+    number = lattices.names.__getitem__
+    own = [np.array(list(map(number, us)), dtype=np.int64) for us in units]
     places = [np.r_[0, np.cumsum(lattices.lengths[o])][:-1] if len(o) else o for o in own]
     keys = mix(keys)
     branches: list[list[_Branch]] = [[] for _ in texts]
