@@ -35,7 +35,7 @@ from quaero.llm.words import mix
 SAMPLES = 2
 SHARPNESS = 1.0  # of the distribution: 0 makes all segmentations equally likely
 GROUP = 1 << 19  # characters of texts that are drawn together
-ROWS = 300_000  # rows of the table of lattices, about 200 bytes each; more if one group of texts needs more
+EDGES = 4_000_000  # edges of lattices that stay, 13 bytes each
 LONG_UNIT = 64  # longer units are laid out one by one
 SPACE = "▁"
 _UNITS = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -109,61 +109,56 @@ class Model:
 
 
 class Lattices:
-    """The lattices of distinct units, laid out in one table: a row for each unit and end position.
+    """The lattices of distinct units, one after the other: rows are end positions, edges are pieces.
 
-    ``cum[row, l]`` is the probability that the piece ending there has at most ``l + 1`` characters.
-    Lattices stay for the next texts until the table is full; then it starts anew.
+    The edges of a row are the pieces that end there, by size; ``cum`` is the probability that the
+    piece is this one or a shorter one. Lattices stay for the next texts until ``EDGES`` are there;
+    then the table starts anew.
     """
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self._clear(ROWS)
+        self._clear()
 
-    def _clear(self, rows: int) -> None:
-        shape = (rows, self.model.longest)
+    def _clear(self) -> None:
         self.names: dict[str, int] = {}
-        self.lengths, self.base, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        self.cum = np.full(shape, 2, dtype=np.float32)
-        self.logp = np.full(shape, -np.inf, dtype=np.float32)
-        self.ids = np.full(shape, -1, dtype=np.int32)
+        self.lengths, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.from_ = np.zeros(1, dtype=np.int64)  # where a row's edges begin
+        self.cum, self.logp = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int8)
 
     def add(self, units: list[str]) -> None:
         """Lay out the units that are not there yet."""
-        new = [u for u in units if u not in self.names]
-        rows = sum(map(len, new)) + len(new)
-        if self.used + rows > len(self.cum):
-            new = units
-            rows = sum(map(len, new)) + len(new)
-            self._clear(max(ROWS, rows))
+        if len(self.ids) > EDGES:
+            self._clear()
+        new = sorted((u for u in units if u not in self.names), key=len)
         if not new:
             return
         lengths = np.array([len(u) for u in new], dtype=np.int64)
-        first = len(self.names)
-        self.names.update(zip(new, range(first, first + len(new))))
+        self.names.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+        rows = len(self.from_) - 1
+        self.base = np.r_[self.base, rows + np.r_[0, np.cumsum(lengths + 1)[:-1]]]
         self.lengths = np.r_[self.lengths, lengths]
-        self.base = np.r_[self.base, self.used + np.r_[0, np.cumsum(lengths + 1)[:-1]]]
-        self.used += rows
-        order = np.argsort(lengths, kind="stable")
-        sorted_ = lengths[order]
-        at = 0
-        while at < len(order):
-            length = int(sorted_[at])
-            end = int(np.searchsorted(sorted_, length, "right"))
+        parts, at = [], 0
+        while at < len(new):
+            length = int(lengths[at])
             some = 1 if length > LONG_UNIT else max(1, 40_000 // (length + 1))
-            for k in range(at, end, some):
-                which = order[k : min(end, k + some)]
-                self._lay_out([new[u] for u in which], which + first, length)
+            end = min(int(np.searchsorted(lengths, length, "right")), at + some)
+            parts.append(self._lay_out(new[at:end], length))
             at = end
+        counts, cum, logp, ids, sizes = map(np.concatenate, zip(*parts))
+        self.from_ = np.r_[self.from_, self.from_[-1] + np.cumsum(counts)]
+        self.cum, self.logp = np.r_[self.cum, cum], np.r_[self.logp, logp]
+        self.ids, self.sizes = np.r_[self.ids, ids], np.r_[self.sizes, sizes]
 
-    def _lay_out(self, units: list[str], which: np.ndarray, n: int) -> None:
-        """Forward pass over units of one length."""
+    def _lay_out(self, units: list[str], n: int) -> tuple[np.ndarray, ...]:
+        """Forward pass over units of ``n`` characters: edges by row, and what they hold."""
         model, width = self.model, min(self.model.longest, n)
-        text = "".join(units)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(which), n)
-        codes = codes.astype(np.uint64)
-        total = np.zeros((len(which), n + 1))
-        scores = np.full((len(which), n + 1, width), -np.inf, dtype=np.float32)  # by end position
-        found = np.full((len(which), n + 1, width), -1, dtype=np.int32)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = codes.reshape(len(units), n).astype(np.uint64)
+        total = np.zeros((len(units), n + 1), dtype=np.float64)
+        scores = np.full((len(units), n + 1, width), -np.inf, dtype=np.float32)  # by end position
+        found = np.full((len(units), n + 1, width), -1, dtype=np.int32)
         h = np.zeros_like(codes)
         for size in range(1, width + 1):  # all runs of one size at once
             h = model.extend(h[:, : n - size + 1], codes[:, size - 1 :])
@@ -176,8 +171,6 @@ class Lattices:
                 ids[odd] = -2 - c.astype(np.int32)
             found[:, size:, size - 1] = ids
             scores[:, size:, size - 1] = weights
-        rows = (self.base[which][:, None] + np.arange(n + 1)).ravel()
-        self.ids[rows, :width] = found.reshape(-1, width)
         for end in range(1, n + 1):
             sizes = min(width, end)
             s = scores[:, end, :sizes]
@@ -185,14 +178,15 @@ class Lattices:
             top = s.max(1)
             total[:, end] = top + np.log(np.exp(s - top[:, None]).sum(1))
             s -= total[:, end][:, None].astype(np.float32)
-        p = np.exp(scores)
-        p[:, 0] = 1
-        p /= p.sum(2, keepdims=True)
-        cum = np.cumsum(p, axis=2)
-        last = width - 1 - np.argmax(p[:, :, ::-1] > 0, axis=2)  # the longest piece ends the range
-        cum[np.arange(width) >= last[:, :, None]] = 2
-        self.cum[rows, :width] = cum.reshape(-1, width)
-        self.logp[rows, :width] = scores.reshape(-1, width)
+        edges = found != -1
+        counts = edges.sum(2).ravel()
+        logp = scores[edges]
+        ends = np.cumsum(counts)
+        sums = np.cumsum(np.exp(logp.astype(np.float64)))
+        before = np.r_[0.0, sums][ends - counts]
+        cum = (sums - np.repeat(before, counts)).astype(np.float32)
+        cum[ends[counts > 0] - 1] = 2  # the longest piece ends the range
+        return counts, cum, logp, found[edges], np.nonzero(edges)[2].astype(np.int8) + np.int8(1)
 
     def draw(self, units: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each unit: piece counts, all ids, log probabilities.
@@ -204,12 +198,15 @@ class Lattices:
         counts = np.zeros(n, dtype=np.int64)
         active, steps = np.arange(n), []
         while len(active):
-            row = self.base[units[active]] + at[active]
+            edge = self.from_[self.base[units[active]] + at[active]]
             noise = uniform(keys[active], places[active] + at[active])
-            size = (self.cum[row] <= noise[:, None].astype(np.float32)).sum(1)
-            steps.append((active, self.ids[row, size]))
-            logp[active] += self.logp[row, size]
-            at[active] -= size + 1
+            pending = np.flatnonzero(self.cum[edge] <= noise)
+            while len(pending):
+                edge[pending] += 1
+                pending = pending[self.cum[edge[pending]] <= noise[pending]]
+            steps.append((active, self.ids[edge]))
+            logp[active] += self.logp[edge]
+            at[active] -= self.sizes[edge]
             counts[active] += 1
             active = active[at[active] > 0]
         offsets = np.r_[0, np.cumsum(counts)]
@@ -218,6 +215,10 @@ class Lattices:
             out[offsets[who + 1] - 1 - k] = ids
         return counts, out, logp
 
+    def edges(self, unit: int, at: int) -> range:
+        row = self.base[unit] + at
+        return range(self.from_[row], self.from_[row + 1])
+
     def others(self, units: np.ndarray, excluded: list[list[tuple]], keys: np.ndarray, places: np.ndarray) -> list[tuple]:
         """A segmentation of each unit that isn't excluded there, by its probability among the rest."""
         out: list[tuple] = [()] * len(units)
@@ -262,18 +263,15 @@ class Lattices:
             if at == 0:
                 yield ids, -cost
                 continue
-            row = self.base[unit] + at
-            for size in np.flatnonzero(self.ids[row] != -1):
-                if np.isfinite(self.logp[row, size]):
-                    heapq.heappush(heap, (cost - float(self.logp[row, size]), (int(self.ids[row, size]), *ids), at - int(size) - 1))
+            for e in self.edges(unit, at):
+                heapq.heappush(heap, (cost - float(self.logp[e]), (int(self.ids[e]), *ids), at - int(self.sizes[e])))
 
     def logp_of(self, unit: int, ids: tuple) -> float:
         at, logp = int(self.lengths[unit]), 0.0
         for i in reversed(ids):
-            row = self.base[unit] + at
-            size = int(np.flatnonzero(self.ids[row] == i)[0])
-            logp += float(self.logp[row, size])
-            at -= size + 1
+            e = next(e for e in self.edges(unit, at) if self.ids[e] == i)
+            logp += float(self.logp[e])
+            at -= int(self.sizes[e])
         return logp
 
 
