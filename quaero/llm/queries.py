@@ -12,6 +12,7 @@ from quaero.llm import (
     decontamination,
     html_extraction,
     language_id,
+    ngram_jaccard,
     quality_rules,
     secret_scans,
     sentencepiece_sampling,
@@ -50,6 +51,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are linked by four-word shingle sets of similarity 0.85 or more."""
+    return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document."""
