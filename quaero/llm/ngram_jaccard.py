@@ -121,12 +121,12 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def _described(rows: DataFrame, size: int) -> DataFrame:
-    """``<_id, _n, _class, _residues>``: each document's set in short; no class without a shingle."""
+    """``<_id, _key, _n, _class, _residues>``: a document's set in short; no class without a shingle."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, classes, residues = [], [], []
-            for sh in hashed_shingles(batch.column(1).to_pylist(), size):
+            for sh in hashed_shingles(batch.column(2).to_pylist(), size):
                 tokens = np.unique(sh)
                 n.append(len(tokens))
                 classes.append(class_of(tokens) if len(tokens) else None)
@@ -135,11 +135,12 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
             flat = pa.array(np.concatenate(residues) if residues else np.zeros(0, np.int16), pa.int16())
             offsets = pa.array(np.arange(len(n) + 1) * RESIDUES, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["_id", "_n", "_class", "_residues"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+                ["_id", "_key", "_n", "_class", "_residues"],
             )
 
-    return rows.select("_id", "_text").mapInArrow(describe, "_id long, _n long, _class long, _residues array<smallint>")
+    schema = "_id long, _key long, _n long, _class long, _residues array<smallint>"
+    return rows.select("_id", "_key", "_text").mapInArrow(describe, schema)
 
 
 def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
@@ -226,6 +227,23 @@ def _links(pairs: DataFrame, rows: DataFrame, reps: DataFrame, size: int, percen
     return met.withColumn("_s", shared).where(100 * F.col("_s") >= percent * union).select("a", "b")
 
 
+def _labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``<_id, _key, _n, _label>``: rows are linked, step by step, if labels are equal and not null."""
+    docs = cut_lineage(_described(rows, size))
+    reps = docs.where(F.col("_class").isNotNull()).groupBy("_class").agg(
+        F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_residues").alias("_residues")
+    )
+    labels = _components(rows, cut_lineage(reps), size, percent)
+    return docs.drop("_residues").join(labels, "_class", "left").select(
+        "_id", "_key", "_n", F.coalesce("_label", "_class").alias("_label")
+    )
+
+
+def _rows(df: DataFrame, id: str, text: str) -> DataFrame:
+    body = whole_text(text)
+    return df.select(F.col(id).cast("long").alias("_id"), F.xxhash64(body).alias("_key"), body.alias("_text"))
+
+
 def jaccard_groups(
     df: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -233,28 +251,43 @@ def jaccard_groups(
 
     A-Z count as a-z. A text of fewer words than a shingle has all its words as its only shingle; a
     text without words, or null, has none and is linked with nothing: its component is its own id.
-    A null id is no smallest id; a component without any other id has null. Rows may repeat.
+    A null id is no smallest id; a component without any other id has null. Rows may repeat. Other
+    columns are not read.
     """
-    rows = df.select(F.col(id).cast("long").alias("_id"), whole_text(text).alias("_text"))
-    docs = cut_lineage(_described(rows, size))
-    reps = docs.where(F.col("_class").isNotNull()).groupBy("_class").agg(
-        F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_residues").alias("_residues"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    labels = _components(rows, docs, cut_lineage(reps), size, percent)
-    smallest = docs.where(F.col("_class").isNotNull()).join(labels, "_class", "left")
-    smallest = smallest.select(
-        "_id", "_n", F.coalesce("_label", "_class").alias("_label")
-    )
-    least = smallest.groupBy("_label").agg(F.min("_id").alias("_component"))
-    whole = smallest.join(least, "_label").select("_id", "_n", "_component")
-    alone = docs.where(F.col("_class").isNull()).select("_id", "_n", F.col("_id").alias("_component"))
+    found = cut_lineage(_labelled(_rows(df, id, text), size, percent))
+    linked = found.where(F.col("_label").isNotNull())
+    least = linked.groupBy("_label").agg(F.min("_id").alias("_component"))
+    whole = linked.join(least, "_label").select("_id", "_n", "_component")
+    alone = found.where(F.col("_label").isNull()).select("_id", "_n", F.col("_id").alias("_component"))
     return whole.unionByName(alone).select(
         F.col("_id").alias(id), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id")
     )
 
 
-def _components(rows: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+def first_of_groups(
+    df: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """All columns of one row of each group: the one with the smallest id (null ids come last).
+
+    Of rows that are equal in id and text one stays. Rows without words are no group and all stay.
+    """
+    found = cut_lineage(_labelled(_rows(df, id, text), size, percent))
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"))
+    first = found.where(F.col("_label").isNotNull()).groupBy("_label").agg(F.min(place).alias("_p"))
+    alone = found.where(F.col("_label").isNull()).select(place.alias("_p")).distinct()
+    kept = cut_lineage(first.select("_p").union(alone).select(F.col("_p.i").alias("_i"), F.col("_p.k").alias("_k")))
+    marked = df.withColumns({"_id": F.col(id).cast("long"), "_key": F.xxhash64(whole_text(text))})
+    if kept.count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    out = marked.join(kept, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
+    repeated = found.where(F.col("_label").isNotNull()).groupBy("_id", "_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        worded = F.length(F.btrim(whole_text(text), F.lit(" \t\n\x0b\f\r"))) > 0
+        out = out.where(worded).dropDuplicates(["_id", "_key"]).unionByName(out.where(~worded))
+    return out.select(*df.columns)
+
+
+def _components(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """``<_class, _label>`` of all classes that are linked with another one."""
     common = common_shingles(rows, size)
     bucket = Window.partitionBy("_key")
