@@ -12,7 +12,8 @@ from quaero.fixed_values import FORBIDDEN_PATTERNS, INJECTION_PATTERNS, RETRYABL
 _ANY_CASE = "(?i)"
 _TABLE_AFTER = r"(?i)(?:FROM|JOIN|INTO)\s+([a-zA-Z_][a-zA-Z0-9_]*)"
 # one statement: anything but quotes and semicolons, or whole quoted strings
-_STATEMENT = r"(?:[^';]|'[^']*(?:'|$))+"
+# (possessive, so that the length of a statement costs no stack)
+_STATEMENT = r"(?:[^';]++|'[^']*+(?:'|$))++"
 
 
 def _strip(text: Column) -> Column:

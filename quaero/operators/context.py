@@ -116,24 +116,33 @@ def has_variables(template: Column, *required: str) -> Column:
 
 
 def fill_template(template: Column, **values: Column) -> Column:
-    """Replace ``{name}`` by the given columns; null values become empty."""
-    filled = template
-    for name, value in values.items():
-        filled = F.replace(filled, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    return filled
+    """Replace ``{name}`` by the given columns; null values become empty.
+
+    The template is filled once: a value that itself holds ``{name}`` stays as it is.
+    """
+    between = F.split(template, r"\{\w+\}")
+    pairs = [x for name, value in values.items() for x in (F.lit(name), F.coalesce(value, F.lit("")))]
+    known = F.create_map(*pairs)
+
+    def piece(text: Column, name: Column) -> Column:
+        unknown = F.concat(F.lit("{"), name, F.lit("}"))
+        value = F.coalesce(F.try_element_at(known, name), unknown)
+        return F.concat(text, F.when(name.isNull(), "").otherwise(value))
+
+    return F.concat_ws("", F.zip_with(between, template_variables(template), piece))
 
 
 def wrap_source(content: Column) -> Column:
     return F.concat(F.lit("<BEGIN SOURCE>\n"), content, F.lit("\n</END SOURCE>"))
 
 
-def wrap_sources(hits: DataFrame, limit: int = 100) -> DataFrame:
-    """One text per question with its ranked contents, best first.
+def wrap_sources(hits: DataFrame) -> DataFrame:
+    """One text per question with all its ranked contents, best first.
 
-    ``hits<query_id, rank, content>``: ranks beyond the limit do not occur in a top-k list.
+    ``hits<query_id, rank, content>`` is a top-k list: its k bounds the text of a question.
     """
     listed = F.array_sort(F.collect_list(F.struct("rank", wrap_source(F.col("content")).alias("block"))))
     blocks = F.concat_ws("\n\n", F.transform(listed, lambda h: h["block"]))
-    return hits.filter(F.col("rank") <= limit).groupBy("query_id").agg(
+    return hits.groupBy("query_id").agg(
         F.concat(F.lit(SOURCES_PREAMBLE + "\n\n"), blocks).alias("text")
     )

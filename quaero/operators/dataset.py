@@ -76,8 +76,7 @@ def behaviours(df: DataFrame, record: str, flags: Sequence[str]) -> DataFrame:
     )
 
 
-SPACE = 90_000_000
-FIRST_CODE = 10_000_000
+DIGITS = 8  # of a code, at least; more when there are more ids than codes of that length
 
 
 def _clean(value: Column) -> Column:
@@ -85,7 +84,7 @@ def _clean(value: Column) -> Column:
 
 
 def pseudonym_map(columns: Sequence[tuple[DataFrame, str]], seed: int = 42) -> DataFrame:
-    """``<real, fake>``: one eight-digit code per id found in any of the columns.
+    """``<real, fake>``: one code of eight digits or more per id found in any of the columns.
 
     Ids are ordered by a seeded digest. The first hex digits cut them into 4096 even slices; a
     rank inside its slice plus the sizes of the slices before gives each id its own place, and a
@@ -104,15 +103,20 @@ def pseudonym_map(columns: Sequence[tuple[DataFrame, str]], seed: int = 42) -> D
     offsets = keyed.groupBy("slice").agg(F.count("*").alias("n")).select(
         "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    place = (F.col("offset") + F.col("r") - 1).cast("bigint")
+    place = (F.col("offset") + F.col("r") - 1).cast("decimal(20,0)")
     step = 1_000_003 + 2 * 60 * seed  # odd, and never a multiple of 3 or 5: coprime to the space
-    code = F.lit(FIRST_CODE) + F.pmod(place * F.lit(step), F.lit(SPACE))
-    too_many = F.raise_error(F.lit("more ids than codes"))
+    first = code_space(ids.distinct().count())
+    code = F.lit(first) + F.pmod(place * F.lit(step), F.lit(9 * first))
     return ranked.join(F.broadcast(offsets), "slice").select(
-        "real", F.when(place >= SPACE, too_many).otherwise(code.cast("string")).alias("fake")
+        "real", code.cast("bigint").cast("string").alias("fake")
     )
 
 
+def code_space(n_ids: int) -> int:
+    """The smallest code: a power of ten with at least as many codes of its length as ids."""
+    return 10 ** max(DIGITS - 1, len(str(max(0, n_ids - 1) // 9)))
+
+
 def pseudonymise(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Replace a column through the mapping; null and blank values stay as they are."""
     keyed = df.withColumn("real", _clean(F.col(column)))

@@ -44,6 +44,7 @@ def _kernel(metric: str, k: int, matched: bool, skip_self: bool):
         q = np.stack(questions["vector"].to_numpy())
         q_ids = questions["query_id"].to_numpy()
         q_match = questions["match"].to_numpy() if matched else None
+        asks_match = questions["match"].notna().to_numpy() if matched else None
         best_s = np.empty((len(q), 0))
         best_i = np.empty((len(q), 0), dtype=np.int64)
         for frame in frames:
@@ -57,7 +58,8 @@ def _kernel(metric: str, k: int, matched: bool, skip_self: bool):
                 scores = -np.maximum(squared, 0.0)
             scores = np.round(scores, SCORE_DIGITS)
             if matched:
-                scores[q_match[:, None] != frame["match"].to_numpy()[None, :]] = -np.inf
+                other = q_match[:, None] != frame["match"].to_numpy()[None, :]
+                scores[other & asks_match[:, None]] = -np.inf
             if skip_self:
                 scores[q_ids[:, None] == ids[None, :]] = -np.inf
             all_s = np.concatenate([best_s, scores], axis=1)
@@ -91,14 +93,15 @@ def vector_topk(
 
     Each task keeps k hits per question while it streams its part of the corpus; only those are
     shuffled. ``matched=True`` restricts a question to items with an equal ``match`` value
-    *before* ranking. ``metric="l2"`` ranks by smallest squared distance.
+    *before* ranking; a question whose value is null searches all items. ``metric="l2"`` ranks by
+    smallest squared distance.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
     columns = ["vector", "match"] if matched else ["vector"]
-    asked = questions.select("query_id", *columns).dropna(subset=columns)
+    asked = questions.select("query_id", *columns).dropna(subset=["vector"])
     found = apply_blocks(
-        corpus.select("item_id", *columns).dropna(subset=columns),
+        corpus.select("item_id", *columns).dropna(subset=["vector"]),
         asked,
         _kernel(metric, k, matched, skip_self),
         HIT_SCHEMA,

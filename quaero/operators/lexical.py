@@ -98,7 +98,8 @@ def bm25_topk(
 ) -> DataFrame:
     """Best k items per question by BM25, ties by smaller item id.
 
-    ``matched=True`` ranks only items whose ``match`` value equals that of the question.
+    ``matched=True`` ranks only items whose ``match`` value equals that of the question; a question
+    whose value is null searches all items.
     """
     asked = question_terms(questions)
     few = fits(asked)
@@ -110,11 +111,14 @@ def bm25_topk(
         # many questions: one of their terms may be hot, the vocabulary has each term once
         weighted = lookup_join(asked, index.terms, ["term"], small_fits=False)
     weighted = weighted.select("query_id", "term", idf.alias("idf"))
-    keys = ["term"]
     if matched:
         weighted = weighted.join(questions.select("query_id", "match"), "query_id")
-        keys = ["term", "match"]
-    pairs = lookup_join(index.postings, weighted, keys, small_fits=few)
+        free = weighted.filter(F.col("match").isNull()).drop("match")
+        postings = index.postings.drop("match")
+        inside = lookup_join(index.postings, weighted.dropna(subset=["match"]), ["term", "match"], small_fits=few)
+        pairs = inside.drop("match").unionByName(lookup_join(postings, free, ["term"], small_fits=few))
+    else:
+        pairs = lookup_join(index.postings, weighted, ["term"], small_fits=few)
     tf = F.col("tf")
     damping = 1 - options.b + options.b * F.col("length") / stats["avgdl"]
     weight = F.col("idf") * (tf * (options.k1 + 1)) / (tf + options.k1 * damping)
@@ -127,13 +131,16 @@ def bm25_topk(
 def keep_matching(hits: DataFrame, items: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Metadata equality applied to ranked hits; may leave fewer than k per question.
 
-    ``items<item_id, match>``, ``questions<query_id, match>``; the order of the rest is kept.
+    ``items<item_id, match>``, ``questions<query_id, match>``; the order of the rest is kept. A
+    question whose value is null keeps all its hits.
     """
     few = fits(questions)
     wanted = questions.select("query_id", "match")
     labelled = lookup_join(hits.filter(F.col("rank") <= k), wanted, ["query_id"], small_fits=few)
-    kept = items_of_hits(
-        items.select("item_id", "match"), labelled, ["item_id", "match"], few
-    ).withColumnRenamed("rank", "before")
+    asking = labelled.dropna(subset=["match"])
+    kept = items_of_hits(items.select("item_id", "match"), asking, ["item_id", "match"], few)
+    columns = ["query_id", "item_id", "score", "rank"]
+    free = labelled.filter(F.col("match").isNull())
+    kept = kept.select(columns).unionByName(free.select(columns)).withColumnRenamed("rank", "before")
     ranked = top_per_key(kept, ["query_id"], [F.col("before")], k)
     return ranked.select("query_id", "item_id", "score", "rank")

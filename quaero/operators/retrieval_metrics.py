@@ -30,9 +30,12 @@ def per_query(
     ks: Sequence[int],
     keys: Sequence[str] = ("query_id",),
     corpus_relevant: str | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """One row per question and cut-off with hit, reciprocal rank, precision and NDCG.
 
+    ``asked<keys>`` names every question: those without any hit then count as misses (all zero).
+
     Precision divides by the hits returned. The ideal ranking holds the relevant hits found
     within the cut-off; with ``corpus_relevant`` (a column with the number of relevant items in
     the corpus) it holds as many as fit.
@@ -48,6 +51,9 @@ def per_query(
         F.sum(F.when(inside, gain).otherwise(0.0)).alias("dcg"),
         *extra,
     )
+    if asked is not None:
+        every = asked.select(*keys).withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])))
+        sums = every.join(sums, [*keys, "k"], "left").fillna(0, ["returned", "n_relevant", "dcg"])
     ideal_count = F.least(F.col("k"), F.col("_all")) if corpus_relevant else F.col("n_relevant")
     return sums.select(
         *keys,
@@ -82,20 +88,27 @@ def by_partition(metrics: DataFrame, partition: str = "partition") -> DataFrame:
     )
 
 
-def failures(judged: DataFrame, k: int, name: str, keys: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Questions without a relevant hit in the first k, with the first three names retrieved."""
+def failures(
+    judged: DataFrame,
+    k: int,
+    name: str,
+    keys: Sequence[str] = ("query_id",),
+    asked: DataFrame | None = None,
+) -> DataFrame:
+    """Questions without a relevant hit in the first k, with the first three names retrieved.
+
+    ``asked<keys>`` names every question: those without any hit are failures too, with no names.
+    """
     top = F.array_sort(
         F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", F.col(name).alias("name"))))
     )
-    return (
-        judged.groupBy(*keys)
-        .agg(
-            F.count_if(F.col("relevant") & (F.col("rank") <= k)).alias("found"),
-            F.concat_ws(", ", F.transform(top, lambda h: h["name"])).alias("top_3"),
-        )
-        .filter(F.col("found") == 0)
-        .drop("found")
+    found = judged.groupBy(*keys).agg(
+        F.count_if(F.col("relevant") & (F.col("rank") <= k)).alias("found"),
+        F.concat_ws(", ", F.transform(top, lambda h: h["name"])).alias("top_3"),
     )
+    if asked is not None:
+        found = asked.select(*keys).join(found, list(keys), "left").fillna(0, ["found"]).fillna("", ["top_3"])
+    return found.filter(F.col("found") == 0).drop("found")
 
 
 def long_form(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:

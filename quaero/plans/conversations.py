@@ -114,13 +114,13 @@ def answer_prompts(t):
 
 @query(
     "wrap_sources",
-    f"""WITH {ls.LEXICAL} SELECT query_id, '{SOURCES_PREAMBLE.replace("'", "''")}' || chr(10) || chr(10) ||
+    f"""WITH {ls.INDEX},{ls.bm25_sql("questions", "lex", 150)} SELECT query_id, '{SOURCES_PREAMBLE.replace("'", "''")}' || chr(10) || chr(10) ||
   string_agg('<BEGIN SOURCE>' || chr(10) || text || chr(10) || '</END SOURCE>', chr(10) || chr(10) ORDER BY rank) AS text
   FROM lex JOIN documents ON doc_id = item_id GROUP BY query_id""",
 )
 def wrap_sources(t):
     few = fits(ls.questions(t))
-    texts = items_of_hits(ls.items(t), ls.lexical_hits(t), ["item_id"], few)
+    texts = items_of_hits(ls.items(t), ls.lexical_hits(t, 150), ["item_id"], few)
     return cx.wrap_sources(texts.select("query_id", "rank", F.col("text").alias("content")))
 
 

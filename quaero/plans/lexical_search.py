@@ -81,11 +81,11 @@ DENSE = (
     + dense_sql("q_vec", "den", 10)
 )
 SAME_LANGUAGE = (
-    "JOIN questions q ON q.query_id = s.query_id JOIN documents d ON d.doc_id = s.item_id AND d.lang = q.match"
+    "JOIN questions q ON q.query_id = s.query_id JOIN documents d ON d.doc_id = s.item_id AND (q.match IS NULL OR d.lang = q.match)"
 )
 POSTFILTER = """
 lexf AS (SELECT l.query_id, item_id, score, row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank) AS rank
-  FROM lex l JOIN questions q ON q.query_id = l.query_id JOIN documents d ON d.doc_id = item_id AND d.lang = q.match)"""
+  FROM lex l JOIN questions q ON q.query_id = l.query_id JOIN documents d ON d.doc_id = item_id AND (q.match IS NULL OR d.lang = q.match))"""
 
 
 def fuse_sql(name: str, first: str, second: str, alpha: float, k: int = 10) -> str:
@@ -195,7 +195,7 @@ def bm25_topk_postfilter(t):
         "questions",
         "lex",
         10,
-        "JOIN questions w ON w.query_id = q.query_id JOIN documents d ON d.doc_id = p.item_id AND d.lang = w.match",
+        "JOIN questions w ON w.query_id = q.query_id JOIN documents d ON d.doc_id = p.item_id AND (w.match IS NULL OR d.lang = w.match)",
     )
     + f" {OUT} lex",
 )
@@ -362,9 +362,9 @@ def graded_sql(name: str, hits: str, asked: str) -> str:
 
 GRADED = LEXICAL + "," + graded_sql("graded", "lex", "questions")
 COUNTS = """
-counts AS (SELECT query_id, count(*) AS total, count(*) FILTER (WHERE grade = 'RELEVANT') AS relevant,
+counts AS (SELECT q.query_id, count(grade) AS total, count(*) FILTER (WHERE grade = 'RELEVANT') AS relevant,
   count(*) FILTER (WHERE grade = 'IRRELEVANT') AS irrelevant, count(*) FILTER (WHERE grade = 'AMBIGUOUS') AS ambiguous,
-  avg((grade = 'RELEVANT')::INT) AS relevance_ratio FROM graded GROUP BY query_id)"""
+  coalesce(avg((grade = 'RELEVANT')::INT), 0) AS relevance_ratio FROM questions q LEFT JOIN graded USING (query_id) GROUP BY q.query_id)"""
 REWRITES = f"""
 raw AS (SELECT query_id, text, ' "' || array_to_string(list_sort(list_distinct(list_filter({WORDS}, lambda w: len(w) > 7))), ' ') || '" ' AS response FROM questions),
 rewrites AS (SELECT query_id, text AS original, CASE WHEN len(trim(response, ' "')) >= 5 THEN trim(response, ' "') ELSE text END AS rewritten_query FROM raw)"""
@@ -417,7 +417,7 @@ def corrective_passes(t):
     terms = built.postings.groupBy("term").agg(F.count("*").alias("df"))
     built = lexical.LexicalIndex(built.postings, terms, built.stats)
     first = materialise(lexical_graded(lexical.bm25_topk(asked, built, 10), asked, t))
-    counts = co.grade_counts(first)
+    counts = co.grade_counts(first, asked)
     weak = counts.filter(co.needs_rewrite(counts)).select("query_id")
     again = (
         rewrites.filter(F.col("rewritten_query") != F.col("original"))
@@ -452,7 +452,7 @@ def filter_by_grade(t):
   round(relevance_ratio, 6) AS relevance_ratio, relevance_ratio < 0.5 AS rewrite FROM counts""",
 )
 def relevance_ratio(t):
-    counts = co.grade_counts(lexical_graded(lexical_hits(t), questions(t), t))
+    counts = co.grade_counts(lexical_graded(lexical_hits(t), questions(t), t), questions(t))
     return counts.withColumn("rewrite", co.needs_rewrite(counts)).withColumn(
         "relevance_ratio", F.round("relevance_ratio", 6)
     )
@@ -520,10 +520,12 @@ runs AS (SELECT 'C1' AS config, query_id, item_id, rank FROM lex UNION ALL SELEC
     + JUDGE
     + """,
 ks AS (SELECT unnest([3, 10])::BIGINT AS k),
-sums AS (SELECT config, query_id, partition, k, count(*) FILTER (WHERE rank <= k) AS returned,
+asked AS (SELECT unnest(['C1', 'C2', 'C3', 'C4', 'C5', 'C6', 'C7', 'C6_crag']) AS config, query_id,
+  CASE WHEN match = 'en' THEN 'english' ELSE 'other' END AS partition FROM questions),
+sums AS (SELECT a.config, a.query_id, a.partition, k, count(*) FILTER (WHERE rank <= k) AS returned,
   count(*) FILTER (WHERE rank <= k AND relevant) AS n_rel, min(rank) FILTER (WHERE rank <= k AND relevant) AS first,
   coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= k AND relevant), 0) AS dcg
-  FROM judged, ks GROUP BY config, query_id, partition, k),
+  FROM asked a CROSS JOIN ks LEFT JOIN judged j ON j.config = a.config AND j.query_id = a.query_id GROUP BY ALL),
 metrics AS (SELECT config, query_id, partition, k, CASE WHEN n_rel > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit,
   coalesce(1.0::DOUBLE / first, 0.0) AS rr, coalesce(n_rel::DOUBLE / nullif(returned, 0), 0.0) AS "precision",
   coalesce(dcg / nullif(list_sum(list_transform(range(1, n_rel + 1), lambda i: 1 / log2(i + 1))), 0), 0.0) AS ndcg FROM sums)"""
@@ -573,15 +575,20 @@ def ablation_judged(t, configs=ABLATION_CONFIGS):
         "rank",
         F.contains("passage", "question").alias("relevant"),
     )
-    parts = questions(t).select(
-        "query_id",
-        F.when(F.col("match") == "en", "english").otherwise("other").alias("partition"),
-    )
-    return lookup_join(judged, parts, ["query_id"])
+    return lookup_join(judged, partitions(t), ["query_id"])
+
+
+def partitions(t):
+    part = F.when(F.col("match") == "en", "english").otherwise("other")
+    return questions(t).select("query_id", part.alias("partition"))
 
 
 def ablation_metrics(t, configs=ABLATION_CONFIGS):
-    return rm.per_query(ablation_judged(t, configs), (3, 10), ["config", "query_id", "partition"])
+    """Every question counts in every configuration, with or without hits."""
+    names = F.explode(F.array(*[F.lit(c[0]) for c in configs]))
+    asked = partitions(t).withColumn("config", names)
+    keys = ["config", "query_id", "partition"]
+    return rm.per_query(ablation_judged(t, configs), (3, 10), keys, asked=asked)
 
 
 def some_configs(*names):

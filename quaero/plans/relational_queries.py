@@ -436,7 +436,7 @@ def sql_error_classes(t):
 @query("cap_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def cap_rows(t):
     found = t.orders.select("o_orderkey", "o_totalprice")
-    return rel.cap_rows(found, [F.desc("o_totalprice"), "o_orderkey"])
+    return rel.cap_rows(found, [F.desc("o_totalprice"), "o_orderkey"], 100)
 
 
 BATCH = {
@@ -493,12 +493,9 @@ def profile_sql() -> str:
     for table, (columns, primary, foreign) in PROFILED.items():
         for i, column in enumerate(columns):
             name, kind = column.split()
-            samples = (
-                f"""(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {name}::VARCHAR AS v FROM {table}
+            value = f"{name}::DECIMAL(38, 6)::VARCHAR" if kind == "double" else f"{name}::VARCHAR"
+            samples = f"""(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {value} AS v FROM {table}
   WHERE {name} IS NOT NULL ORDER BY v LIMIT 5))"""
-                if kind in ("int", "bigint", "string")
-                else "NULL::VARCHAR"
-            )
             key = quote(foreign[name]) if name in foreign else "NULL"
             parts.append(
                 f"""SELECT '{table}' AS table_name, {i}::INT AS position, '{name}' AS column_name, '{kind}' AS type, {str(name in primary).lower()} AS is_pk,
@@ -551,6 +548,9 @@ def schema_lines_for_router(t):
 l AS (SELECT row_number() OVER (ORDER BY r_name) AS i, r_name, nations, count(*) OVER () AS n FROM r)
 SELECT 'many' AS kind, 'Found ' || max(n) || ' results with columns: r_name, nations.' || chr(10) ||
   string_agg(i || '. r_name=' || r_name || ', nations=' || nations || chr(10), '' ORDER BY i) AS text FROM l
+UNION ALL SELECT 'all', 'Found ' || count(*) || ' results with columns: s_suppkey, c_custkey.' || chr(10) ||
+  string_agg(i || '. s_suppkey=' || s_suppkey || ', c_custkey=' || c_custkey || chr(10), '' ORDER BY i)
+  FROM (SELECT row_number() OVER (ORDER BY s_suppkey, c_custkey) AS i, * FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal < 0)
 UNION ALL SELECT 'one', 'Found: orders: ' || count(*) || ', biggest: ' || max(o_orderkey) FROM orders
 UNION ALL SELECT 'value', 'Result: ' || count(*) FROM lineitem
 UNION ALL SELECT 'none', 'The query returned no results.'
@@ -562,6 +562,12 @@ def result_to_text(t):
     regions = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     shapes = {
         "many": (regions.groupBy("r_name").agg(F.count("*").alias("nations")), ["r_name"]),
+        "all": (
+            t.supplier.join(t.customer, F.col("s_nationkey") == F.col("c_nationkey"))
+            .filter("c_acctbal < 0")
+            .select("s_suppkey", "c_custkey"),
+            ["s_suppkey", "c_custkey"],
+        ),
         "one": (t.orders.agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("biggest")), ["orders"]),
         "value": (t.lineitem.agg(F.count("*").alias("n")), ["n"]),
         "none": (t.orders.filter("o_totalprice < 0").select("o_orderkey"), ["o_orderkey"]),

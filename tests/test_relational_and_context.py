@@ -103,7 +103,7 @@ def test_profile_and_schema_text(spark):
     profile = rel.profile_table("items", df, ["id"], {"name": "names.name"}, samples=2)
     got = {r["column_name"]: r for r in profile.collect()}
     assert got["name"]["samples"] == ["a", "b"] and got["name"]["non_null"] == 2 and got["id"]["is_pk"]
-    assert got["price"]["samples"] is None
+    assert got["price"]["samples"] == ["1.500000", "2.500000"]
     assert rel.schema_text(profile).first()["text"] == (
         "TABLE items\n  id (int) PK [e.g., 1, 2]\n  name (string) FK→names.name [e.g., a, b]\n  price (double)\n  (~3 rows)"
     )
