@@ -33,3 +33,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def whole_text(column: str = "text") -> Column:
     """A text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -14,7 +14,7 @@ used is allocated by cost:
 
 Which shingles are common comes from a bounded sample; it decides the cost, never the result. Equal
 sets are one class from the start. Classes that meet in a segment are verified exactly, first with
-the first and the last class of it only; what is then in one component needs no
+the best connected classes they meet, in a few rounds; what is then in one component needs no
 further pair, and the rest is met pair by pair, as far as sizes and counts of shingles by residue
 allow the pair to be similar at all.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.llm.common import cut_lineage, whole_text
+from quaero.llm.common import cut_lineage, fresh_name, whole_text
 from quaero.llm.components import connected_components
 from quaero.llm.words import hashed_shingles, mix
 
@@ -40,6 +40,8 @@ BAND = 1.5  # sizes of a band: from one bound to that times BAND
 SAMPLE_ROWS = 8_192  # documents that common shingles are counted in
 COMMON_SHARE = 0.005  # ... in so many of them or more
 RESIDUES = 64
+ROUNDS = 2  # of meeting the best connected classes before the rest is met pair by pair
+CENTRES = 2  # ... so many of them a round
 BROADCAST_ROWS = 1_000_000  # ids (8 bytes each) that may be shipped to all tasks
 _SEGMENT = np.uint64(0xD6E8FEB86659FD93)  # fixed value: tells segments of different bands apart
 
@@ -276,14 +278,16 @@ def first_of_groups(
     first = found.where(F.col("_label").isNotNull()).groupBy("_label").agg(F.min(place).alias("_p"))
     alone = found.where(F.col("_label").isNull()).select(place.alias("_p")).distinct()
     kept = cut_lineage(first.select("_p").union(alone).select(F.col("_p.i").alias("_i"), F.col("_p.k").alias("_k")))
-    marked = df.withColumns({"_id": F.col(id).cast("long"), "_key": F.xxhash64(whole_text(text))})
+    own, key, i, k = (fresh_name(df, name) for name in ("_own", "_key", "_i", "_k"))
+    marked = df.withColumns({own: F.col(id).cast("long"), key: F.xxhash64(whole_text(text))})
+    kept = kept.select(F.col("_i").alias(i), F.col("_k").alias(k))
     if kept.count() <= BROADCAST_ROWS:
         kept = F.broadcast(kept)
-    out = marked.join(kept, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
+    out = marked.join(kept, F.col(own).eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)), "left_semi")
     repeated = found.where(F.col("_label").isNotNull()).groupBy("_id", "_key").count().where("count > 1")
     if not repeated.isEmpty():
         worded = F.length(F.btrim(whole_text(text), F.lit(" \t\n\x0b\f\r"))) > 0
-        out = out.where(worded).dropDuplicates(["_id", "_key"]).unionByName(out.where(~worded))
+        out = out.where(worded).dropDuplicates([own, key]).unionByName(out.where(~worded))
     return out.select(*df.columns)
 
 
@@ -294,27 +298,21 @@ def _components(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> Da
     keys = _keys(rows, size, percent, common).withColumns(
         {"_first": F.min("_class").over(bucket), "_last": F.max("_class").over(bucket)}
     )
-    shared = cut_lineage(keys.where(F.col("_first") < F.col("_last")).distinct())
-
-    def described(pairs: DataFrame) -> DataFrame:
-        own = reps.select("_class", F.struct("_n", "_residues").alias("x"))
-        out = pairs.join(own.withColumnsRenamed({"_class": "a", "x": "_xa"}), "a")
-        out = out.join(own.withColumnsRenamed({"_class": "b", "x": "_xb"}), "b")
-        return out.where(_may_link("_xa", "_xb", percent)).select(*pairs.columns)
-
-    ends = shared.select("_class", F.explode(F.array("_first", "_last")).alias("_other")).where(F.col("_class") != F.col("_other"))
-    met = ends.groupBy(F.col("_class").alias("a"), F.col("_other").alias("b")).agg(F.count(F.lit(1)).alias("_shared"))
-    order = Window.partitionBy("a").orderBy(F.desc("_shared"), "b")
-    nearest = described(met).withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1)
-    ordered = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut_lineage(_links(ordered, rows, reps, size, percent))
-    labels = connected_components(links)
+    shared = cut_lineage(keys.where(F.col("_first") < F.col("_last")).select("_key", "_class").distinct())
+    # a class that meets many others is near the origin of its copies
+    met = shared.withColumn("_met", F.count(F.lit(1)).over(bucket)).groupBy("_class").agg(F.sum("_met").alias("_weight"))
+    shared = cut_lineage(shared.join(met, "_class"))
+    links, labels = None, None
+    for _ in range(ROUNDS):
+        pairs = _may_linked(_with_centres(_labelled_keys(shared, labels)), reps, percent)
+        found = _links(pairs, rows, reps, size, percent)
+        links = cut_lineage(found if links is None else links.union(found))
+        labels = connected_components(links)
 
     # segments that still hold several components: every pair across them that may be similar
-    labelled = shared.join(labels.withColumnRenamed("node", "_class"), "_class", "left").select(
-        "_key", "_class", F.coalesce("label", "_class").alias("_label")
+    labelled = _labelled_keys(shared, labels).withColumns(
+        {"_low": F.min("_label").over(bucket), "_high": F.max("_label").over(bucket)}
     )
-    labelled = labelled.withColumns({"_low": F.min("_label").over(bucket), "_high": F.max("_label").over(bucket)})
     open_ = labelled.where(F.col("_low") < F.col("_high")).select("_key", "_class", "_label")
     open_ = cut_lineage(open_.join(reps.select("_class", "_n", "_residues"), "_class"))
     x, y = open_.alias("x"), open_.alias("y")
@@ -326,6 +324,35 @@ def _components(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> Da
         & _may_link("x", "y", percent),
     )
     pairs = across.select(F.col("x._class").alias("a"), F.col("y._class").alias("b")).distinct()
-    more = _links(pairs, rows, reps, size, percent)
-    every = connected_components(links.union(more))
+    every = connected_components(links.union(_links(pairs, rows, reps, size, percent)))
     return every.select(F.col("node").alias("_class"), F.col("label").alias("_label"))
+
+
+def _labelled_keys(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``shared`` with the ``_label`` of the component that a class is in so far."""
+    if labels is None:
+        return shared.withColumn("_label", F.col("_class"))
+    named = labels.select(F.col("node").alias("_class"), F.col("label").alias("_new"))
+    return shared.join(named, "_class", "left").withColumn("_label", F.coalesce("_new", "_class")).drop("_new")
+
+
+def _with_centres(labelled: DataFrame) -> DataFrame:
+    """Pairs ``<a, b>`` of a class and the best connected classes of other components that it meets."""
+    bucket = Window.partitionBy("_key")
+    own = F.struct("_weight", "_class", "_label")
+    out = labelled.withColumn("_one", F.max(own).over(bucket))
+    other = F.when(F.col("_label") != F.col("_one._label"), own)
+    out = out.withColumn("_two", F.max(other).over(bucket))
+    centre = F.when(F.col("_label") != F.col("_one._label"), F.col("_one")).otherwise(F.col("_two"))
+    met = out.select(F.col("_class").alias("a"), centre["_class"].alias("b")).where(F.col("b").isNotNull())
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_shared"))
+    order = Window.partitionBy("a").orderBy(F.desc("_shared"), "b")
+    some = met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= CENTRES)
+    return some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _may_linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    own = reps.select("_class", F.struct("_n", "_residues").alias("x"))
+    out = pairs.join(own.withColumnsRenamed({"_class": "a", "x": "_xa"}), "a")
+    out = out.join(own.withColumnsRenamed({"_class": "b", "x": "_xb"}), "b")
+    return out.where(_may_link("_xa", "_xb", percent)).select("a", "b")
