@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
@@ -168,15 +167,17 @@ def one_row(df: DataFrame) -> Column:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through the checkpoint folder, for results that several branches read.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a local session
-    without one gets a temporary folder.
+    Spark removes what it wrote once nothing refers to it, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return (folder or f"{warehouse}/_checkpoints").rstrip("/")

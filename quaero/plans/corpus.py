@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from quaero.functions import text as tx
 from quaero.operators import chunking as ch
 from quaero.operators import metadata as md
-from quaero.operators.sizing import lookup_join, running_sum
+from quaero.operators.sizing import lookup_join, running_sum, shared_folder
 from quaero.options import ChunkOptions
 from quaero.plans.registry import query
 from quaero.sources import files, store, tables, trace
@@ -21,23 +21,24 @@ TABLE_NAMES = (
 
 
 def work_folder(spark, name: str) -> str:
-    """A new folder for a round trip, inside the shared folder of the session if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is not None:
-        tag = spark.range(1).select(F.uuid().alias("u")).first()["u"]
-        return f"{shared.rstrip('/')}/{name}-{tag}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix=f"{name}-") + "/data"
+    """A new folder for a round trip, inside the shared folder of the session."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # -- sources ----------------------------------------------------------------------------------
 
 
-@query("discover_documents")
+@query(
+    "discover_documents",
+    "SELECT doc_id, '.txt' AS ext, (strlen(text) + 1)::BIGINT AS size FROM documents WHERE text IS NOT NULL",
+)
 def discover_documents(t):
-    found = files.discover_documents(t.spark, t.directory, (".parquet",))
-    return found.select("file_name", "ext", "size")
+    """Every document written as a text file in a folder of its id, and found again."""
+    path = work_folder(t.spark, "files")
+    t.documents.dropna(subset=["text"]).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    found = files.discover_documents(t.spark, path)
+    doc_id = F.regexp_extract("file_path", r"/doc_id=(\d+)/", 1).cast("bigint")
+    return found.select(doc_id.alias("doc_id"), "ext", "size")
 
 
 @query(
@@ -65,20 +66,20 @@ def read_text_documents(t):
 
 
 HTML_BODY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?s)<head[ >].*?</head>', ' ', 'g'), '(?s)<script[ >].*?</script>', ' ', 'g'), '(?s)<style[ >].*?</style>', ' ', 'g'),
-  '(?s)<nav[ >].*?</nav>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"""
+  '(?is)<head(\s[^>]*)?>.*?</head\s*>', ' ', 'g'), '(?is)<script(\s[^>]*)?>.*?</script\s*>', ' ', 'g'), '(?is)<style(\s[^>]*)?>.*?</style\s*>', ' ', 'g'),
+  '(?is)<nav(\s[^>]*)?>.*?</nav\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"""
 
 
 def strip_sql(x: str) -> str:
-    return rf"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+    return rf"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'),
+  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
 
 @query(
     "html_to_text",
-    rf"""SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title,
-  array_to_string(list_transform(regexp_extract_all(html, '(?s)<h[1-6]>(.*?)</h[1-6]>', 1),
-    lambda h: trim(regexp_replace(h, '<[^>]*>', '', 'g'))), ' | ') AS headings,
+    rf"""SELECT page_id, {strip_sql(r"regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1)")} AS title,
+  array_to_string(list_transform(regexp_extract_all(html, '(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]\s*>', 1),
+    lambda h: {strip_sql("h")}), ' | ') AS headings,
   {strip_sql(HTML_BODY)} AS text FROM pages""",
 )
 def html_to_text(t):

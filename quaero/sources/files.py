@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import html
 import json
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,23 +58,42 @@ def read_text_documents(spark: SparkSession, folder: str, pattern: str = "*.{txt
 
 
 def html_title(page: Column) -> Column:
-    return F.trim(F.regexp_extract(page, r"(?s)<title>(.*?)</title>", 1))
+    return strip_tags(F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))
 
 
 def html_headings(page: Column) -> Column:
     return F.transform(
-        F.regexp_extract_all(page, F.lit(r"(?s)<h[1-6]>(.*?)</h[1-6]>"), F.lit(1)),
-        lambda h: F.trim(F.regexp_replace(h, "<[^>]*>", "")),
+        F.regexp_extract_all(page, F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]\s*>"), F.lit(1)),
+        strip_tags,
     )
 
 
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def resolve_entities(text: Column) -> Column:
+    """Named and numeric character references, each resolved once; unknown ones stay."""
+    known = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+    letters = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+
+    def letter(name: Column) -> Column:
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        digits = F.when(hexadecimal, F.substring(name, 3, 6)).otherwise(
+            F.conv(F.substring(name, 2, 7), 10, 16)
+        )
+        numeric = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        named = F.when(F.startswith(name, F.lit("#")), numeric).otherwise(F.try_element_at(letters, name))
+        return F.coalesce(named, F.concat(F.lit("&"), name, F.lit(";")))
+
+    between = F.split(text, ENTITY)
+    names = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
+    whole = F.zip_with(between, names, lambda t, n: F.concat(t, F.when(n.isNull(), "").otherwise(letter(n))))
+    return F.when(F.contains(text, F.lit("&")), F.concat_ws("", whole)).otherwise(text)
+
+
 def strip_tags(fragment: Column) -> Column:
-    """Text of a fragment: tags gone, the common entities resolved, blanks collapsed."""
-    bare = F.regexp_replace(fragment, "<[^>]*>", " ")
-    for entity, letter in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        bare = F.replace(bare, F.lit(entity), F.lit(letter))
+    """Text of a fragment: tags gone, character references resolved, blanks collapsed."""
+    bare = resolve_entities(F.regexp_replace(fragment, "<[^>]*>", " "))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
@@ -82,7 +101,7 @@ def body_markup(page: Column) -> Column:
     """Page without head, scripts, styles, navigation and comments."""
     kept = page
     for tag in ("head", "script", "style", "nav"):
-        kept = F.regexp_replace(kept, f"(?s)<{tag}[ >].*?</{tag}>", " ")
+        kept = F.regexp_replace(kept, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
     return F.regexp_replace(kept, r"(?s)<!--.*?-->", " ")
 
 
@@ -90,12 +109,6 @@ def html_to_text(page: Column) -> Column:
     return strip_tags(body_markup(page))
 
 
-@F.pandas_udf(StringType())
-def unescape_entities(texts: pd.Series) -> pd.Series:
-    """All named and numeric entities; only for pages that hold unusual ones."""
-    return texts.map(lambda t: html.unescape(t) if t is not None else None)
-
-
 def csv_row_text(columns: Sequence[str]) -> Column:
     """``name: value`` lines of a row; nulls are empty."""
     return F.concat_ws(

@@ -10,6 +10,7 @@ from quaero.operators import dataset as st
 from quaero.operators import dense, lexical
 from quaero.operators import relational as rel
 from quaero.operators import retrieval_metrics as rm
+from quaero.sources import files
 
 
 def test_a_statement_of_100_000_characters_is_cleaned(spark):
@@ -80,3 +81,16 @@ def test_questions_without_hits_count(spark):
     counts = co.grade_counts(graded, asked)
     weak = {r["query_id"] for r in counts.filter(co.needs_rewrite(counts)).collect()}
     assert weak == {2} and counts.filter("query_id = 2").first()["total"] == 0
+
+
+def test_html_in_capitals_with_attributes_and_entities(spark):
+    page = (
+        '<HTML><HEAD x="y"><TITLE lang="x">A &eacute;&#233;&#xE9; &amp;lt;</TITLE></HEAD><BODY><NAV id=n>no</NAV>'
+        '<H1 class="k">One &copy;</H1><SCRIPT type="t">no()</SCRIPT><p>b &unknown; &nbsp; c &lt;</p></BODY></HTML>'
+    )
+    df = spark.createDataFrame([(page,), (None,), ("a & b",)], "h string")
+    rows = df.select(
+        files.html_title(F.col("h")).alias("t"), files.html_headings(F.col("h")).alias("hs"), files.html_to_text(F.col("h")).alias("x")
+    ).collect()
+    assert tuple(rows[0]) == ("A ééé &lt;", ["One ©"], "One © b &unknown; c <")
+    assert tuple(rows[1]) == (None, None, None) and rows[2]["x"] == "a & b"
