@@ -40,6 +40,7 @@ BAND = 1.5  # sizes of a band: from one bound to that times BAND
 SAMPLE_ROWS = 8_192  # documents that common shingles are counted in
 COMMON_SHARE = 0.005  # ... in so many of them or more
 RESIDUES = 64
+SLICE_ROWS = 500  # texts whose sets are held in a task's memory together
 ROUNDS = 2  # of meeting the best connected classes before the rest is met pair by pair
 CENTRES = 2  # ... so many of them a round
 BROADCAST_ROWS = 1_000_000  # ids (8 bytes each) that may be shipped to all tasks
@@ -169,9 +170,9 @@ def _keys(rows: DataFrame, size: int, percent: int, common: np.ndarray) -> DataF
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for batch in batches:
+        for texts in _slices(b["_text"] for b in batches):
             keys, classes = [], []
-            for sh in hashed_shingles(batch["_text"], size):
+            for sh in hashed_shingles(texts, size):
                 tokens = np.unique(sh)
                 if not len(tokens) or (c := class_of(tokens)) in seen:
                     continue
@@ -185,12 +186,19 @@ def _keys(rows: DataFrame, size: int, percent: int, common: np.ndarray) -> DataF
     return rows.select("_text").mapInPandas(emit, "_key long, _class long")
 
 
+def _slices(columns: Iterator) -> Iterator:
+    """Columns of texts in pieces, for what is made of a piece is held in memory at once."""
+    for column in columns:
+        for at in range(0, len(column), SLICE_ROWS):
+            yield column[at : at + SLICE_ROWS]
+
+
 def _tokens(rows: DataFrame, size: int) -> DataFrame:
     """``<_class, _tokens>``: the sets themselves."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(sh) for sh in hashed_shingles(batch.column(0).to_pylist(), size)]
+        for texts in _slices(b.column(0) for b in batches):
+            sets = [np.unique(sh) for sh in hashed_shingles(texts.to_pylist(), size)]
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32())
             yield pa.RecordBatch.from_arrays(

@@ -82,15 +82,11 @@ def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, and whether each decodes to its text."""
     path = public_tokenizers.path(PIECE_BPE)
     docs = table(spark, sf_dir, "documents")
-    return segmentation_digest(sentencepiece_sampling.sample_segmentations(docs, path), path)
+    return segmentation_digest(sentencepiece_sampling.sample_segmentations(docs, path))
 
 
-def segmentation_digest(found: DataFrame, path: str) -> DataFrame:
+def segmentation_digest(found: DataFrame) -> DataFrame:
     """What is kept of the segmentations here: sizes, scores, a hash of the ids, the round trip."""
-    first, last = (F.get("segmentations.ids", F.lit(k)) for k in range(2))
-    decoded = [sentencepiece_sampling.decode_ids(x, path) for x in (first, last)]
-    found = found.select("*", decoded[0].alias("_first"), decoded[1].alias("_last"))
-    same = F.coalesce(F.col("_first") == F.col("text"), F.lit(True)) & F.coalesce(F.col("_last") == F.col("text"), F.lit(True))
     return found.select(
         "doc_id",
         F.coalesce(F.size("segmentations"), F.lit(0)).cast("long").alias("n_segmentations"),
@@ -98,7 +94,7 @@ def segmentation_digest(found: DataFrame, path: str) -> DataFrame:
         F.col("segmentations.log_prob").alias("log_prob"),
         F.col("segmentations.inclusion").alias("inclusion"),
         F.transform("segmentations", lambda s: F.xxhash64(s.ids)).alias("ids_hash"),
-        same.alias("round_trip"),
+        "round_trip",
     )
 
 

@@ -18,6 +18,7 @@ draws the same again.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -34,7 +35,7 @@ from quaero.llm.words import mix
 
 SAMPLES = 2
 SHARPNESS = 1.0  # of the distribution: 0 makes all segmentations equally likely
-GROUP = 1 << 19  # characters of texts that are drawn together
+GROUP = 1 << 18  # characters of texts that are drawn together
 EDGES = 4_000_000  # edges of lattices that stay, 13 bytes each
 LONG_UNIT = 64  # longer units are laid out one by one
 SPACE = "▁"
@@ -52,7 +53,10 @@ class Model:
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.shown = list(self.pieces)
+        for b, i in self.bytes.items():
+            self.shown[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
+        self.byte_ids = np.array([self.bytes.get(b, -2 - b) for b in range(0x80)], dtype=np.int32)
         plain = [
             i for i in range(n)
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
@@ -94,20 +98,25 @@ class Model:
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids (any ids: broken byte runs become replacement marks)."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(self.pieces[i])
-        out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = "".join(map(self.shown.__getitem__, ids)).replace(SPACE, " ")
+        if not text.isascii():  # bytes beyond ASCII stand there one by one
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class _Numbers(dict):
+    """Numbers of units; a new unit gets the next one and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = number = len(self)
+        return number
+
+
 class Lattices:
     """The lattices of distinct units, one after the other: rows are end positions, edges are pieces.
 
@@ -121,41 +130,55 @@ class Lattices:
         self._clear()
 
     def _clear(self) -> None:
-        self.names: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.lengths, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.from_ = np.zeros(1, dtype=np.int64)  # where a row's edges begin
         self.cum, self.logp = np.zeros(0, np.float32), np.zeros(0, np.float32)
-        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int8)
+        self.ids, self.sizes, self.used = np.zeros(0, np.int32), np.zeros(0, np.int8), 0
 
-    def add(self, units: list[str]) -> None:
-        """Lay out the units that are not there yet."""
-        if len(self.ids) > EDGES:
+    def add(self, units: list[str] | Iterator[str], n: int) -> np.ndarray:
+        """The numbers of ``n`` units; those that are not there yet are laid out."""
+        if self.used > EDGES:
             self._clear()
-        new = sorted((u for u in units if u not in self.names), key=len)
-        if not new:
-            return
+        found = np.fromiter(map(self.numbers.__getitem__, units), dtype=np.int64, count=n)
+        if self.numbers.new:
+            self._add_new(self.numbers.new)
+            self.numbers.new = []
+        return found
+
+    def _add_new(self, new: list[str]) -> None:
         lengths = np.array([len(u) for u in new], dtype=np.int64)
-        self.names.update(zip(new, range(len(self.names), len(self.names) + len(new))))
-        rows = len(self.from_) - 1
-        self.base = np.r_[self.base, rows + np.r_[0, np.cumsum(lengths + 1)[:-1]]]
+        order = np.argsort(lengths, kind="stable")
         self.lengths = np.r_[self.lengths, lengths]
+        new, lengths = [new[i] for i in order], lengths[order]
+        base = np.empty(len(new), dtype=np.int64)
+        base[order] = len(self.from_) - 1 + np.r_[0, np.cumsum(lengths + 1)[:-1]]
+        self.base = np.r_[self.base, base]
         parts, at = [], 0
         while at < len(new):
-            length = int(lengths[at])
-            some = 1 if length > LONG_UNIT else max(1, 40_000 // (length + 1))
-            end = min(int(np.searchsorted(lengths, length, "right")), at + some)
-            parts.append(self._lay_out(new[at:end], length))
+            longest = int(lengths[at]) * 5 // 4 + 2  # units of about one length together
+            some = 1 if longest > LONG_UNIT else max(1, 40_000 // longest)
+            end = min(int(np.searchsorted(lengths, longest, "right")), at + some)
+            parts.append(self._lay_out(new[at:end], lengths[at:end]))
             at = end
-        counts, cum, logp, ids, sizes = map(np.concatenate, zip(*parts))
+        counts, *columns = map(np.concatenate, zip(*parts))
         self.from_ = np.r_[self.from_, self.from_[-1] + np.cumsum(counts)]
-        self.cum, self.logp = np.r_[self.cum, cum], np.r_[self.logp, logp]
-        self.ids, self.sizes = np.r_[self.ids, ids], np.r_[self.sizes, sizes]
-
-    def _lay_out(self, units: list[str], n: int) -> tuple[np.ndarray, ...]:
-        """Forward pass over units of ``n`` characters: edges by row, and what they hold."""
+        end = self.used + len(columns[0])
+        for name, values in zip(("cum", "logp", "ids", "sizes"), columns):
+            column = getattr(self, name)
+            if end > len(column):
+                column = np.r_[column[: self.used], np.zeros(end, column.dtype)]  # room for as many again
+                setattr(self, name, column)
+            column[self.used : end] = values
+        self.used = end
+
+    def _lay_out(self, units: list[str], lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Forward pass over units of about one length: edges by row, and what they hold."""
+        n = int(lengths[-1])
         model, width = self.model, min(self.model.longest, n)
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = codes.reshape(len(units), n).astype(np.uint64)
+        codes = np.zeros((len(units), n), dtype=np.uint64)
+        inside = np.arange(n) < lengths[:, None]
+        codes[inside] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         total = np.zeros((len(units), n + 1), dtype=np.float64)
         scores = np.full((len(units), n + 1, width), -np.inf, dtype=np.float32)  # by end position
         found = np.full((len(units), n + 1, width), -1, dtype=np.int32)
@@ -168,7 +191,9 @@ class Lattices:
                 odd = ids < 0
                 c = codes[odd]
                 weights[odd] = model.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-                ids[odd] = -2 - c.astype(np.int32)
+                spelled = -2 - c.astype(np.int32)
+                ids[odd] = np.where(c < 0x80, self.model.byte_ids[np.minimum(c, 0x7F).astype(np.int64)], spelled)
+                weights[~inside] = 0  # whatever keeps the sums behind the end finite
             found[:, size:, size - 1] = ids
             scores[:, size:, size - 1] = weights
         for end in range(1, n + 1):
@@ -178,8 +203,9 @@ class Lattices:
             top = s.max(1)
             total[:, end] = top + np.log(np.exp(s - top[:, None]).sum(1))
             s -= total[:, end][:, None].astype(np.float32)
-        edges = found != -1
-        counts = edges.sum(2).ravel()
+        real = np.arange(n + 1) <= lengths[:, None]
+        edges = (found != -1) & real[:, :, None]
+        counts = edges.sum(2)[real]
         logp = scores[edges]
         ends = np.cumsum(counts)
         sums = np.cumsum(np.exp(logp.astype(np.float64)))
@@ -281,101 +307,121 @@ def uniform(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def below(location: np.ndarray, bound: float, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+def below(location: np.ndarray, bound: np.ndarray | float, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Gumbel variables at ``location``, conditioned to stay below ``bound``."""
     noise = -np.log(-np.log(uniform(keys, places)))
     return -np.logaddexp(-bound, -(location + noise))
 
 
 class _Branch:
-    """A drawn path: its pieces by unit, and the closed node of each unit it could leave at."""
-
-    __slots__ = ("counts", "excluded", "from_", "ids", "logp", "nodes", "offsets", "prefix", "value")
-
-    def __init__(self, value, from_, counts, ids, logp, excluded) -> None:
-        self.value, self.from_, self.counts, self.ids, self.logp = value, from_, counts, ids, logp
-        self.offsets = np.r_[0, np.cumsum(counts)]
-        self.prefix = np.r_[0.0, np.cumsum(logp)]
-        self.excluded = excluded  # at unit from_: other ways that are taken already
-
-    def close(self, key: np.uint64, places: np.ndarray, gone: float) -> None:
-        rest = -np.expm1(np.minimum(self.logp, 0.0))
-        if self.from_ < len(rest):
-            rest[self.from_] = max(0.0, rest[self.from_] - gone)
-        rest[rest < 1e-6] = 0  # single-precision noise: no other way
-        with np.errstate(divide="ignore"):
-            location = self.prefix[:-1] + np.log(rest)
-        self.nodes = np.full(len(rest), -np.inf)
-        open_ = np.flatnonzero(np.isfinite(location) & (np.arange(len(rest)) >= self.from_))
-        self.nodes[open_] = below(location[open_], self.value, np.full(len(open_), key), places[open_] + (1 << 40))
+    """A drawn path from the unit where it leaves its parent, with a closed node for each unit on.
+
+    ``nodes`` are the values of the best other way through each unit; at the first unit, ways that
+    other branches took are excluded.
+    """
+
+    __slots__ = ("excluded", "from_", "ids", "logp", "nodes", "offsets", "parent", "start", "value")
+
+    def __init__(self, value: float, from_: int, parent: _Branch | None, excluded: list[tuple]) -> None:
+        self.value, self.from_, self.parent, self.excluded = value, from_, parent, excluded
+        self.start = parent.log_prob(from_) if parent else 0.0
+
+    def log_prob(self, unit: int) -> float:
+        """Log probability of the path before a unit."""
+        if unit < self.from_:
+            return self.parent.log_prob(unit)
+        return self.start + float(self.logp[: unit - self.from_].sum())
+
+    def path(self, unit: int) -> list[np.ndarray]:
+        """The ids of the path before a unit."""
+        if unit < self.from_:
+            return self.parent.path(unit)
+        before = self.parent.path(self.from_) if self.parent else []
+        return [*before, self.ids[: self.offsets[unit - self.from_]]]
 
     def way(self, unit: int) -> tuple:
-        return tuple(self.ids[self.offsets[unit] : self.offsets[unit + 1]].tolist())
+        a, b = self.offsets[unit - self.from_ : unit - self.from_ + 2]
+        return tuple(self.ids[a:b].tolist())
 
 
 def sample_group(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple]]:
     """For each text up to ``k`` distinct segmentations: ``(ids, log probability, inclusion)``."""
     units = [model.units(t) for t in texts]
     lattices = model.lattices
-    lattices.add(list(dict.fromkeys(chain.from_iterable(units))))
-    number = lattices.names.__getitem__
-    own = [np.array(list(map(number, us)), dtype=np.int64) for us in units]
-    places = [np.r_[0, np.cumsum(lattices.lengths[o])][:-1] if len(o) else o for o in own]
+    ends = np.cumsum([0, *map(len, units)])
+    own = lattices.add(chain.from_iterable(units), int(ends[-1]))
+    chars = np.r_[0, np.cumsum(lattices.lengths[own])]
+    places = chars[:-1] - np.repeat(chars[ends[:-1]], np.diff(ends))
     keys = mix(keys)
     branches: list[list[_Branch]] = [[] for _ in texts]
     # the best path of each text; its value is a Gumbel variable at 0 (all paths together)
-    todo = [(t, 0, None, None) for t in range(len(texts)) if len(own[t])]
-    results: list[list[tuple]] = [[] if len(own[t]) else [(np.zeros(0, dtype=np.int32), 0.0, 1.0)] for t in range(len(texts))]
+    todo = [(t, 0, None, 0.0) for t in range(len(texts)) if units[t]]
     for j in range(k):
         if not todo:
             break
-        noise = [mix(keys[t : t + 1] + np.array([j + 1], dtype=np.uint64) * _STEP)[0] for t, *_ in todo]
-        rest = [own[t][f + (parent is not None) :] for t, f, parent, _ in todo]
-        some = np.concatenate(rest)
-        spread = np.repeat(np.array(noise, dtype=np.uint64), [len(r) for r in rest])
-        where = np.concatenate([places[t][f + (parent is not None) :] for t, f, parent, _ in todo])
-        counts, ids, logp = lattices.draw(some, spread, where)
-        ends = np.r_[0, np.cumsum(counts)]
-        taken = [[] if p is None else [*(p.excluded if f == p.from_ else []), p.way(f)] for _, f, p, _ in todo]
-        left = [k for k, x in enumerate(todo) if x[2] is not None]
-        ways = dict(zip(left, lattices.others(
-            np.array([own[todo[k][0]][todo[k][1]] for k in left], dtype=np.int64),
-            [taken[k] for k in left],
-            np.array([noise[k] for k in left], dtype=np.uint64),
-            np.array([places[todo[k][0]][todo[k][1]] for k in left], dtype=np.int64),
-        )))
-        again, at = [], 0
-        for n, ((t, f, parent, value), r, key, excluded) in enumerate(zip(todo, rest, noise, taken)):
-            c, lp = counts[at : at + len(r)], logp[at : at + len(r)]
-            i = ids[ends[at] : ends[at + len(r)]]
-            at += len(r)
-            gone = 0.0
-            if parent is None:
-                value = float(below(np.zeros(1), np.inf, np.array([key]), np.array([1 << 41]))[0])
+        which = np.array([t for t, *_ in todo])
+        noise = mix(keys[which] + np.array([j + 1], dtype=np.uint64) * _STEP)
+        if j == 0:
+            values = below(np.zeros(len(todo)), np.inf, noise, np.full(len(todo), 1 << 41))
+        else:
+            values = np.array([value for *_, value in todo])
+        first = np.array([ends[t] + f for t, f, *_ in todo])
+        sizes = ends[which + 1] - first
+        begin = np.r_[0, np.cumsum(sizes)]
+        index = np.arange(begin[-1]) + np.repeat(first - begin[:-1], sizes)
+        spread = np.repeat(noise, sizes)
+        counts, ids, logp = lattices.draw(own[index], spread, places[index])
+        new = [_Branch(float(v), f, p, [*(p.excluded if f == p.from_ else []), p.way(f)] if p else [])
+               for (_, f, p, _), v in zip(todo, values)]
+        gone = np.zeros(len(todo))
+        ways: list[tuple | None] = [None] * len(todo)
+        if j:  # the first unit goes another way than before
+            others = lattices.others(own[first], [b.excluded for b in new], noise, places[first])
+            for n, (way, way_logp) in enumerate(others):
+                logp[begin[n]] = way_logp
+                ways[n] = way
+                gone[n] = sum(math.exp(lattices.logp_of(int(own[first[n]]), e)) for e in new[n].excluded)
+        # the other ways through each unit, as one node
+        rest = -np.expm1(np.minimum(logp, 0.0))
+        rest[begin[:-1]] = np.maximum(0.0, rest[begin[:-1]] - gone)
+        open_ = rest > 1e-6  # less is noise of single precision: no other way
+        sums = np.r_[0.0, np.cumsum(logp)]
+        before = sums[:-1] + np.repeat(np.array([b.start for b in new]) - sums[begin[:-1]], sizes)
+        nodes = np.full(len(logp), -np.inf)
+        nodes[open_] = below(
+            (before + np.log(np.where(open_, rest, 1.0)))[open_], np.repeat(values, sizes)[open_], spread[open_], places[index][open_] + (1 << 40)
+        )
+        drawn = np.r_[0, np.cumsum(counts)]
+        again = []
+        for n, (t, f, parent, _) in enumerate(todo):
+            a, z = begin[n], begin[n + 1]
+            b = new[n]
+            b.logp, b.nodes = logp[a:z], nodes[a:z]
+            if ways[n] is None:
+                b.offsets, b.ids = drawn[a : z + 1] - drawn[a], ids[drawn[a] : drawn[z]]
             else:
-                way, way_lp = ways[n]
-                c = np.r_[parent.counts[:f], len(way), c]
-                i = np.r_[parent.ids[: parent.offsets[f]], np.array(way, dtype=np.int32), i]
-                lp = np.r_[parent.logp[:f], way_lp, lp]
-                gone = float(sum(np.exp(lattices.logp_of(int(own[t][f]), e)) for e in excluded))
-            b = _Branch(value, f, c, i, lp, excluded)
-            b.close(key, places[t], gone)
+                tail = drawn[a + 1 : z + 1] - drawn[a + 1] + len(ways[n])
+                b.offsets = np.r_[0, tail]
+                b.ids = np.r_[np.array(ways[n], dtype=np.int32), ids[drawn[a + 1] : drawn[z]]]
             branches[t].append(b)
             # the best closed node of all branches is opened next
             best = max(branches[t], key=lambda x: x.nodes.max())
-            f = int(best.nodes.argmax())
-            if np.isfinite(best.nodes[f]):
-                again.append((t, f, best, float(best.nodes[f])))
+            at = int(best.nodes.argmax())
+            if np.isfinite(best.nodes[at]):
+                again.append((t, best.from_ + at, best, float(best.nodes[at])))
         if j + 1 < k:
             for _, f, parent, _ in again:
-                parent.nodes[f] = -np.inf  # its other ways move to the new branch
+                parent.nodes[f - parent.from_] = -np.inf  # its other ways move to the new branch
         todo = again
     threshold = {t: value for t, _, _, value in todo}
+    results: list[list[tuple]] = []
     for t, bs in enumerate(branches):
+        n, one = len(units[t]), [] if units[t] else [(np.zeros(0, dtype=np.int32), 0.0, 1.0)]
         for b in bs:
-            lp = float(b.prefix[-1])
+            lp = b.log_prob(n)
             inclusion = float(-np.expm1(-np.exp(lp - threshold[t]))) if t in threshold else 1.0
-            results[t].append((_spelled(model, b.ids), lp, inclusion))
+            one.append((_spelled(model, np.concatenate(b.path(n))), lp, inclusion))
+        results.append(one)
     return results
 
 
@@ -414,47 +460,53 @@ def _as_arrow(found: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(one) for one in found])].astype(np.int32), structs)
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > GROUP:
+    for k, n in enumerate(sizes.tolist()):
+        if size and size + n > GROUP:
             yield start, k
             start, size = k, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def sample_segmentations(
     df: DataFrame, path: str, id: str = "doc_id", text: str = "text", k: int = SAMPLES
 ) -> DataFrame:
-    """``<id, text, segmentations>`` of every row: up to ``k`` distinct ones, the best value first.
+    """``<id, text, segmentations, round_trip>`` of every row: up to ``k`` distinct ones.
 
     Each has its ids, its log probability, and the probability that it is among the ``k`` given the
-    noise that came next. A null text has none (null); an empty text has one, without pieces; a text
+    noise that came next; the best noise comes first. ``round_trip``: all of them decode to the text.
+    A null text has none (null, and a true round trip); an empty text has one, without pieces; a text
     with fewer than ``k`` ways has them all. The noise depends on the id (a null id is a key too) and
-    the text, so equal rows are segmented equally. Other columns are not read.
+    the text, so equal rows are segmented equally. A text that holds the model's own space mark gets
+    a space for it when decoded. Other columns are not read.
     """
     rows = df.select(
         F.col(id).alias("_id"),
         F.col(text).cast("string").alias("_text"),
         F.xxhash64(F.col(id), F.col(text)).alias("_key"),
     )
-    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, _text string, segmentations {SEGMENTATIONS}"
+    kind = rows.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, _text string, segmentations {SEGMENTATIONS}, round_trip boolean"
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
             ids, texts, keys = batch.columns
-            plain = [t or "" for t in texts.to_pylist()]
-            seeds = np.asarray(keys).astype(np.int64).view(np.uint64)
-            for a, b in _groups(plain):
-                found = sample_group(model, plain[a:b], seeds[a:b], k)
-                made = _as_arrow(found)
+            sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
+            for a, b in _groups(sizes):
                 some = texts.slice(a, b - a)
+                plain = [t or "" for t in some.to_pylist()]
+                seeds = np.asarray(keys.slice(a, b - a)).astype(np.int64).view(np.uint64)
+                found = sample_group(model, plain, seeds, k)
+                same = [all(model.decode(s[0].tolist()) == t for s in one) for t, one in zip(plain, found)]
+                made = _as_arrow(found)
                 if some.null_count:
                     made = pc.if_else(some.is_valid(), made, pa.scalar(None, made.type))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), some, made], ["_id", "_text", "segmentations"])
+                columns = [ids.slice(a, b - a), some, made, pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_text", "segmentations", "round_trip"])
 
     return rows.mapInArrow(sample, schema).withColumnsRenamed({"_id": id, "_text": text})
 
