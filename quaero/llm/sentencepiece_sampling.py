@@ -460,10 +460,10 @@ def _as_arrow(found: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(one) for one in found])].astype(np.int32), structs)
 
 
-def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def _groups(sizes: np.ndarray, group: int = GROUP) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, n in enumerate(sizes.tolist()):
-        if size and size + n > GROUP:
+        if size and size + n > group:
             yield start, k
             start, size = k, 0
         size += n
@@ -472,7 +472,7 @@ def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def sample_segmentations(
-    df: DataFrame, path: str, id: str = "doc_id", text: str = "text", k: int = SAMPLES
+    df: DataFrame, path: str, id: str = "doc_id", text: str = "text", k: int = SAMPLES, group: int = GROUP
 ) -> DataFrame:
     """``<id, text, segmentations, round_trip>`` of every row: up to ``k`` distinct ones.
 
@@ -481,7 +481,8 @@ def sample_segmentations(
     A null text has none (null, and a true round trip); an empty text has one, without pieces; a text
     with fewer than ``k`` ways has them all. The noise depends on the id (a null id is a key too) and
     the text, so equal rows are segmented equally. A text that holds the model's own space mark gets
-    a space for it when decoded. Other columns are not read.
+    a space for it when decoded. Other columns are not read. ``group``: characters of texts that are
+    drawn together; fewer take less memory and more time.
     """
     rows = df.select(
         F.col(id).alias("_id"),
@@ -496,7 +497,7 @@ def sample_segmentations(
         for batch in batches:
             ids, texts, keys = batch.columns
             sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
-            for a, b in _groups(sizes):
+            for a, b in _groups(sizes, group):
                 some = texts.slice(a, b - a)
                 plain = [t or "" for t in some.to_pylist()]
                 seeds = np.asarray(keys.slice(a, b - a)).astype(np.int64).view(np.uint64)
