@@ -74,7 +74,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that stood in the corpus before."""
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), windows=True)
 
 
 @query("op6_sentencepiece_sampling")

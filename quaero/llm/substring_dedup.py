@@ -5,6 +5,12 @@ first one (by document, then by place) stays, and the sentences under any later
 here end at clause marks too, so that a passage set into the middle of other text still
 holds whole runs. Runs of very few words are no passage and are not compared.
 
+Passages without such marks are found by their words: of any ``AMONG`` windows of ``WINDOW`` words in
+a row the one with the least hash is compared too (winnowing). Whatever two texts share of
+``WINDOW + AMONG - 1`` words or more holds such a window, wherever sentences end, and windows of a
+longer passage touch each other: only fewer than ``AMONG`` words at either end of it can stay. A
+character of a script without spaces is a word here.
+
 Runs are counted with map-side sums. A run that many documents share (more than one in
 ``HOT_SHARE`` of all runs; there can be no more such runs than that) is split over ``SALTS`` tasks
 when it is joined back.
@@ -20,22 +26,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaero.llm.common import cut_lineage, whole_text
-from quaero.llm.words import sentences
+from quaero.llm.words import sentences, tokens, winnowed
 
 RUN = 3  # sentences of a run
 RUN_WORDS = 12  # ... and words it has at least
 MARKS = b".!?;:,"
+WINDOW = 39  # words of a window; with AMONG, every passage of over 50 words holds one
+AMONG = 13
+WORDS_AT = 1 << 30  # places from here on are words (windows), those before are sentences (runs)
 HOT_SHARE = 10_000
 SALTS = 64
 
 
-def _runs(df: DataFrame) -> DataFrame:
-    """``<_id, _key, _at, _hash>``: each run of sentences of each text."""
+def _runs(df: DataFrame, windows: bool) -> DataFrame:
+    """``<_id, _key, _at, _hash>``: each run of sentences of each text, and its chosen windows if asked for."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, ats, hashes = [], [], []
-            for k, (h, n, _) in enumerate(sentences(batch["_text"], MARKS)):
+            for k, (text, (h, n, _)) in enumerate(zip(batch["_text"], sentences(batch["_text"], MARKS))):
+                if windows:
+                    every, _, lines = tokens(text)
+                    at, window = winnowed(every, lines, WINDOW, AMONG)
+                    rows.append(np.full(len(at), k))
+                    ats.append(at + WORDS_AT)
+                    hashes.append(window)
                 if len(h) < RUN:
                     continue
                 run, words = h[: len(h) - RUN + 1].copy(), n[: len(n) - RUN + 1].copy()
@@ -60,9 +75,12 @@ def _runs(df: DataFrame) -> DataFrame:
     return df.select("_id", "_key", "_text").mapInPandas(hashed, "_id long, _key int, _at int, _hash long")
 
 
-def repeated_runs(rows: DataFrame) -> DataFrame:
-    """``<_id, _key, _at>``: runs of ``<_id, _key, _text>`` that stood before, in all of the corpus."""
-    runs = _runs(rows)
+def repeated_runs(rows: DataFrame, windows: bool = False) -> DataFrame:
+    """``<_id, _key, _at>``: runs of ``<_id, _key, _text>`` that stood before, in all of the corpus.
+
+    A window has in the upper half of ``_at`` how many of its words are those of its first place.
+    """
+    runs = _runs(rows, windows)
     place = F.struct("_id", "_key", "_at")
     groups = runs.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
     repeated = cut_lineage(groups.where(F.col("_n") > 1))
@@ -77,40 +95,55 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
         "_id", "_key", "_at", "_hash",
         F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt"),
     )
+    same = F.struct("_id", "_key").eqNullSafe(F.struct("_first._id", "_first._key"))
+    overlap = F.when(
+        same & (F.col("_at") >= WORDS_AT), F.greatest(F.col("_first._at") + WINDOW - F.col("_at"), F.lit(0))
+    ).otherwise(0)
     return (
         salted.join(firsts, ["_hash", "_salt"])
         .where(~F.struct("_id", "_key", "_at").eqNullSafe(F.col("_first")))
-        .select("_id", "_key", "_at")
+        .select("_id", "_key", (F.shiftleft(overlap.cast("long"), 32) + F.col("_at")).alias("_at"))
     )
 
 
-def without_sentences(text: str, n: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> tuple[str, int, int]:
-    """The text without the sentences under the runs, and how many sentences it had and lost."""
-    gone = np.zeros(len(n) + RUN, dtype=bool)
-    for j in range(RUN):
-        gone[runs + j] = True
-    gone = gone[: len(n)]
-    if not gone.any():
+def without_repeats(text: str, n: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> tuple[str, int, int]:
+    """The text without the runs and windows, how many sentences it had, and how many lost words."""
+    if not len(runs):
         return text, len(n), 0
-    bounds = [0, *starts[1:].tolist(), len(text)]
-    kept = [text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~gone)]
-    return "".join(kept), len(n), int(gone.sum())
-
-
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    bounds = np.r_[0, starts[1:], len(text)]
+    at, skip = runs & 0xFFFFFFFF, runs >> 32
+    windows = at >= WORDS_AT
+    first, last = bounds[at[~windows]], bounds[at[~windows] + RUN]
+    if windows.any():
+        places = np.r_[0, tokens(text)[1][1:], len(text)]
+        begin = at[windows] - WORDS_AT
+        first, last = np.r_[first, places[begin + skip[windows]]], np.r_[last, places[begin + WINDOW]]
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.r_[True, first[1:] > last[:-1]]
+    first, last = first[new], last[np.r_[new[1:], True]]
+    kept = [text[a:b] for a, b in zip([0, *last.tolist()], [*first.tolist(), len(text)])]
+    met = np.searchsorted(last, starts, side="right")
+    lost = np.r_[first, len(text)][met] < bounds[1:]
+    return "".join(kept), len(n), int(lost.sum())
+
+
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", windows: bool = False) -> DataFrame:
     """``<id, n_sentences, n_removed, text>`` of every row: the text without repeated passages.
 
+    Runs of sentences are always compared, windows of words (any passage of over 50 words) with ``windows``.
     ``id`` is an integer; null ids come first. Rows that are equal in id and text count as one row
     (all keep or lose the same sentences). A null text stays null, with no sentences; a text of
-    fewer than ``RUN`` sentences is never shortened. Other columns are not read. A document
-    whose sentences are all repeats keeps its row, with an empty text.
+    fewer than ``RUN`` sentences is shortened by windows only. ``n_removed`` counts
+    sentences that went or lost words. Other columns are not read. A document whose sentences are
+    all repeats keeps its row, with an empty text.
     """
     rows = df.select(
         F.col(id).cast("long").alias("_id"),
         F.hash(whole_text(text)).alias("_key"),
         F.col(text).cast("string").alias("_text"),
     )
-    found = repeated_runs(rows.where(F.col("_text").isNotNull()))
+    found = repeated_runs(rows.where(F.col("_text").isNotNull()), windows)
     per_row = found.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_runs"))
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
@@ -118,7 +151,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
         for texts, runs in batches:
             found = sentences((t or "" for t in texts), MARKS)
             out = [
-                (None, 0, 0) if t is None else without_sentences(t, n, starts, np.array([] if r is None else r, dtype=np.int64))
+                (None, 0, 0) if t is None else without_repeats(t, n, starts, np.array([] if r is None else r, dtype=np.int64))
                 for t, r, (_, n, starts) in zip(texts, runs, found)
             ]
             yield pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])

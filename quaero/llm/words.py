@@ -201,3 +201,62 @@ def sentences(texts: Iterable[str], marks: bytes) -> Iterator[Sentences]:
         cuts = np.searchsorted(start, offsets)
         for a, b, offset in zip(cuts[:-1], cuts[1:], offsets):
             yield h[a:b], n[a:b], start[a:b] - offset
+
+
+def _tokens(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, but each character of a script without spaces (Han, kana, Thai, Lao, Khmer, Burmese) is one."""
+    after = np.r_[raw[1:], np.uint8(0)]
+    three = (raw >= 0xE3) & (raw <= 0xE9)
+    three |= (raw == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    three |= (raw == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+    four = (raw == 0xF0) & (after >= 0xA0)
+    if not (three.any() or four.any()):
+        return starts, ends
+    alone = np.r_[np.flatnonzero(three), np.flatnonzero(four)]
+    behind = np.r_[np.flatnonzero(three) + 3, np.flatnonzero(four) + 4]
+    behind = behind[behind < len(raw)]
+    every = np.unique(np.r_[starts, alone, behind[~_SPACES[raw[behind]]]])
+    return every, np.minimum(np.r_[every[1:], len(raw)], ends[np.searchsorted(ends, every, side="right")])
+
+
+def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's words (see ``_tokens``), their first characters, and their line numbers."""
+    at = line = 0
+    parts = []
+    for piece in pieces(text):
+        raw, starts, ends = _bytes(piece, True)
+        ends_of_lines = np.r_[0, np.cumsum(raw == 10)]
+        if len(starts):
+            starts, ends = _tokens(raw, starts, ends)
+            parts.append((run_hashes(_BYTES[raw], starts, ends), _chars(raw)[starts] + at, ends_of_lines[starts] + line))
+        at += len(piece)
+        line += int(ends_of_lines[-1])
+    if not parts:
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none
+    words, chars, lines = map(np.concatenate, zip(*parts))
+    return words, chars, lines
+
+
+def winnowed(words: np.ndarray, lines: np.ndarray, size: int, among: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of chosen runs of ``size`` words: of any ``among`` in a row the least is chosen.
+
+    Two texts that share ``size + among - 1`` words in a row so share a chosen run. The first and the
+    last run of the text and of each line are chosen as well.
+    """
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64), words[:0]
+    starts = np.arange(n)
+    hashes = run_hashes(words, starts, starts + size)
+    chosen = np.zeros(n, dtype=bool)
+    chosen[[0, n - 1]] = True
+    if n >= among:
+        chosen[np.arange(n - among + 1) + np.lib.stride_tricks.sliding_window_view(hashes, among).argmin(1)] = True
+    edges = np.flatnonzero(np.diff(lines)) + 1
+    first, last = np.r_[0, edges], np.r_[edges, len(words)]
+    long = last - first >= size
+    chosen[first[long]] = True
+    chosen[last[long] - size] = True
+    at = np.flatnonzero(chosen)
+    return at, hashes[at]

@@ -186,11 +186,57 @@ def test_hot_passages_are_split(spark, monkeypatch):
     assert real(t[2] for t in plain) >= 3 and "kappa" in plain[0][3] and "kappa" not in plain[1][3]
 
 
+def passage_cases():
+    """Passages of 51 words in other text: without marks, with marks behind symbols, and in Chinese."""
+    rng = np.random.default_rng(8)
+    cases = []
+    for k in range(60):
+        mark = ("", '."', ".###", "।", "؟")[k % 5]
+        passage = [w + mark * (i % 7 == 6) for i, w in enumerate(words(51, 3000 + k).split())]
+        texts = []
+        for j in range(2):
+            n, m = rng.integers(0, 40, 2)
+            texts.append(" ".join([*words(int(n), 4000 + 2 * k + j).split(), *passage, *words(int(m), 5000 + 2 * k + j).split()]))
+        cases.append((texts, passage))
+    for k in range(20):
+        own = lambda n: "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 20_000, n))
+        passage = own(51)
+        cases.append(([own(30) + passage + own(9), own(5) + passage + own(40)], list(passage)))
+    return cases
+
+
+def test_any_passage_of_over_50_words_is_found(spark):
+    """The second place loses words of the passage, at most AMONG - 1 stay at an end, and nothing else goes."""
+    cases = passage_cases()
+    docs = spark.createDataFrame([(2 * k + j, t) for k, (texts, _) in enumerate(cases) for j, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, windows=True).collect()}
+    for k, (texts, passage) in enumerate(cases):
+        assert got[2 * k]["text"] == texts[0]
+        glue = " " if " " in texts[1] else ""
+        joined = glue.join(passage)
+        before, behind = texts[1].split(joined)
+        left = got[2 * k + 1]["text"]
+        assert got[2 * k + 1]["n_removed"] > 0 and left.startswith(before) and left.endswith(behind.strip())
+        stays = left[len(before) : len(left) - len(behind)]
+        assert len(stays.split() if glue else stays) <= 2 * (substring_dedup.AMONG - 1)
+
+
+def test_a_repeated_sentence_without_end_goes_whole(spark):
+    text = words(5_000, 77)
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "ha " * 200)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(docs, windows=True).collect()}
+    assert got[1] == (0, text) and got[2] == (1, "")
+    assert got[3] == (1, "ha " * substring_dedup.WINDOW)  # the first window stays whole
+
+
 def test_repeats_of_odd_rows(odd, none):
     rows = substring_dedup.remove_repeats(odd).collect()
     assert len(rows) == len(ODD)
     assert [r["text"] for r in rows if r["doc_id"] == 2] == [None]
     assert substring_dedup.remove_repeats(none).collect() == []
+    rows = substring_dedup.remove_repeats(odd, windows=True).collect()
+    assert len(rows) == len(ODD) and [r["text"] for r in rows if r["doc_id"] in (5, 9)] == ["", ""]
+    assert substring_dedup.remove_repeats(none, windows=True).collect() == []
 
 
 def test_repeated_rows_count_as_one(spark):
