@@ -6,6 +6,11 @@ approximated from a few landmark texts (Nystroem), and kernel ridge regression i
 language against the rest. A text's n-grams are hashed into ``N_GRAM_BITS`` bits, so a text of any
 length is a bit row of fixed size; a batch of rows meets the landmarks in one matrix product and
 the regression in a second.
+
+Whether a text is in a language at all is another question than which one is nearest: it is asked of
+the share of a text's n-grams that the learned texts of that language hold. What share is enough is
+set by those texts themselves, each against the others, and doesn't depend on how many languages
+there are.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ LANDMARKS = 160
 RIDGE = 1e-3
 BATCH = 64  # rows of a matrix product
 PIECE = 1 << 20  # characters of a text that are hashed at once
+LOWEST_PART = 0.01  # the share of known n-grams that all but this part of the learned texts reach ...
+SLACK = 0.85  # ... times this is asked of a text
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 # Odd multipliers of the rolling n-gram hash.
@@ -52,15 +59,26 @@ def mark_ngrams(text: str, row: np.ndarray) -> None:
 
 @dataclass
 class Model:
-    """Landmarks (a bit row each), their norms, and weights landmark x language."""
+    """Landmarks (a bit row each), weights landmark x language, and the n-grams of each language."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    held: np.ndarray  # a bit row for each language
+    least: float  # share of known n-grams that a text of one of the languages has
 
     def margins(self, rows: np.ndarray) -> np.ndarray:
         return kernel(rows, self.landmarks) @ self.weights
 
+    def known(self, rows: np.ndarray, languages: np.ndarray) -> np.ndarray:
+        """Share of each row's n-grams that its language holds; few n-grams count with their uncertainty."""
+        return _known(rows, (rows @ self.held.T)[np.arange(len(rows)), languages])
+
+
+def _known(rows: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    n = np.maximum(rows.sum(1), 1)
+    return np.minimum(1.0, shared / n + 1 / np.sqrt(n))
+
 
 def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Presence kernel of bit rows: shared n-grams over the geometric mean of both counts."""
@@ -86,7 +104,13 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model:
     share *= len(labels) / share.sum()
     gram = against.T @ (against * share[:, None]) + RIDGE * len(labels) * among
     weights = np.linalg.solve(gram, against.T @ (targets * share[:, None]))
-    return Model(languages, landmarks.astype(np.float32), weights.astype(np.float32))
+    # texts that hold each n-gram, by language; a text's own n-grams need another text to be known
+    own = np.array([languages.index(x) for x in labels])
+    texts = np.eye(len(languages), dtype=np.float32)[own].T @ rows
+    shared = (rows @ (texts > 1).T.astype(np.float32))[np.arange(len(rows)), own]
+    least = SLACK * float(np.quantile(_known(rows, shared), LOWEST_PART))
+    held = (texts > 0).astype(np.float32)
+    return Model(languages, landmarks.astype(np.float32), weights.astype(np.float32), held, least)
 
 
 def _bits(df: DataFrame) -> DataFrame:
@@ -141,27 +165,29 @@ def train(
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All rows and columns, and ``_language: struct<lang, score>``, from the text alone.
+    """All rows and columns, and ``_language: struct<lang, score, known>``, from the text alone.
 
-    The score is the winning margin brought to 0 to 1. A text that is null or has no letter, or
-    any text when nothing could be learned, is ``und`` with score 0. Ties go to the first language
+    The score is the winning margin brought to 0 to 1, ``known`` the share of the text's n-grams that
+    the language holds (below ``model.least``, the text is in none of the languages). A text that is null or has no letter, or
+    any text when nothing could be learned, is ``und`` with score and share 0. Ties go to the first language
     by name.
     """
     packed = None
     if model is not None:
         bits = np.packbits(model.landmarks.astype(np.uint8), axis=1)
-        # landmarks and weights have a fixed size: a bit row and a weight row each
-        packed = df.sparkSession.sparkContext.broadcast((model.languages, bits, model.weights))
+        held = np.packbits(model.held.astype(np.uint8), axis=1)
+        # landmarks, weights and languages have a fixed size: a bit row and a weight row each
+        packed = df.sparkSession.sparkContext.broadcast((model.languages, bits, model.weights, held, model.least))
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, known double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if packed is not None:
-            languages, bits, weights = packed.value
-            landmarks = np.unpackbits(bits, axis=1).astype(np.float32)
-            fitted = Model(languages, landmarks, weights)
+            languages, bits, weights, held, least = packed.value
+            landmarks, held = (np.unpackbits(b, axis=1).astype(np.float32) for b in (bits, held))
+            fitted = Model(languages, landmarks, weights, held, least)
         for texts in batches:
             names = [UNDETERMINED] * len(texts)
-            scores = np.zeros(len(texts))
+            scores, shares = np.zeros(len(texts)), np.zeros(len(texts))
             lettered = [i for i, t in enumerate(texts) if t is not None and _has_letter(t)]
             for at in range(0, len(lettered) if packed is not None else 0, BATCH):
                 block = lettered[at : at + BATCH]
@@ -169,10 +195,11 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 for k, i in enumerate(block):
                     mark_ngrams(texts.iloc[i], rows[k])
                 margins = fitted.margins(rows)
+                shares[block] = fitted.known(rows, margins.argmax(1))
                 for i, m in zip(block, margins):
                     names[i] = languages[int(m.argmax())]
                     scores[i] = min(1.0, max(0.0, (float(m.max()) + 1) / 2))
-            yield pd.DataFrame({"lang": names, "score": scores})
+            yield pd.DataFrame({"lang": names, "score": scores, "known": shares})
 
     return df.withColumn("_language", identify(F.col(text).cast("string")))
 

@@ -1,6 +1,7 @@
 """Sampled segmentations, and the pipeline stage by stage."""
 
 import math
+import random
 from collections import Counter
 from itertools import pairwise
 
@@ -149,6 +150,26 @@ def test_stages(spark, documents):
     assert docs.count() == seen["sentencepiece"].count()
 
 
+def test_texts_of_no_learned_language_are_dropped(spark):
+    """Gibberish and an unseen language go, with three languages or four; short clean texts stay."""
+    rng = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").cache()
+    gibberish = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)) for n in (8, 20, 100)]
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными и равными"]
+    clean = [" ".join(r["text"].split()[:6]) for r in docs.where("n_chars > 500").orderBy("doc_id").limit(40).collect()]
+    extra = spark.createDataFrame(
+        [(-1 - k, t, None, "x", len(t)) for k, t in enumerate(gibberish + foreign)] + [(-100 - k, t, None, "x", len(t)) for k, t in enumerate(clean)],
+        docs.schema,
+    )
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.union(extra), SF).collect()}
+    assert not kept & {-1 - k for k in range(5)}
+    assert len(kept & {-100 - k for k in range(40)}) >= 39
+    assert sum(d >= 0 for d in kept) >= 0.995 * docs.where("text rlike '[a-z]'").count()
+    unseen = docs.where("lang = 'es'").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, docs.where("lang <> 'es'").union(unseen), SF)
+    assert kept.where("source is not null").join(unseen, "doc_id").count() <= 0.05 * unseen.count()
+
+
 def test_stages_of_odd_rows(spark, odd, none):
     plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
