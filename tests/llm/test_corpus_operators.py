@@ -372,6 +372,25 @@ def test_outliers_of_a_language_and_source_are_rejected(spark):
     assert all(kept[d] for d, *_ in good) and not any(kept[d] for d, *_ in bad)
 
 
+def test_each_statistic_alone_rejects(spark):
+    def lines(k):
+        return "\n".join(words(8, 50 * k + i) for i in range(12))
+
+    good = [(k, lines(k), "en", "s") for k in range(200)]
+    phrase = words(7, 99_000)
+    outliers = {
+        "long words": " ".join(w * 2 for w in words(96, 90_001).split()),
+        "symbols": " ".join(f"{w}#" for w in words(96, 90_002).split()),
+        "duplicate lines": "\n".join(f"{words(8, 90_100 + i)}\nok" for i in range(12)),
+        "repeated words": f"{words(40, 90_003)} {phrase} {words(40, 90_004)} {phrase}",
+    }
+    df = spark.createDataFrame(good + [(1000 + k, t, "en", "s") for k, t in enumerate(outliers.values())], "doc_id long, text string, lang string, source string")
+    rows = {r["doc_id"]: r for r in quality_rules.quality_verdicts(df).collect()}
+    assert all(rows[d]["kept"] for d, *_ in good)
+    for k, name in enumerate(outliers):
+        assert not rows[1000 + k]["base_failed"] and not rows[1000 + k]["kept"], (name, rows[1000 + k])
+
+
 def test_groups_too_large_to_ship_are_joined_with_salt(spark, monkeypatch, documents):
     plain = sorted(map(str, quality_rules.quality_verdicts(documents).collect()))
     monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
