@@ -35,11 +35,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of [0-9a-f]+ kept from 24 characters on
 CONTEXT_WORDS = (
     "password", "passwd", "passphrase", "passcode", "pwd", "pass", "secret", "token", "credential",
-    "credentials", "authorization", "bearer", "api key", "api-key", "access key", "private key",
+    "credentials", "authorization", "bearer", "api key", "access key", "private key",
     "client secret", "login",
 )
+_CONTEXT_WORD = "|".join(w.replace(" ", "[ _-]?") for w in CONTEXT_WORDS)
+# as a word of its own or a part of an identifier (db_password, dbPassword, secret_key, tokenValue)
 CONTEXT = re.compile(
-    rf"""(?<![A-Za-z])(?i:{"|".join(CONTEXT_WORDS)})["']?(?:\s{{0,3}}[:=]\s{{0,3}}|\s(?i:is)\s)["'`]?([^\s"'`<>,;]{{{MIN_VALUE},}})"""
+    rf"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{_CONTEXT_WORD})(?:[_-][A-Za-z0-9]{{1,24}}|[A-Z][a-z0-9]{{1,24}}){{0,3}}"""
+    rf"""["']?(?:\s{{0,3}}[:=]\s{{0,3}}|\s(?i:is)\s)["'`]?(?:(?i:bearer|basic|digest|token)\s{{1,3}})?([^\s"'`<>,;]{{{MIN_VALUE},}})"""
 )
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "authorization", "bearer", "key", "login")
 COMMON_WORDS = (
@@ -129,16 +132,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Values of credential contexts that no pattern covers and that cost too many guesses."""
+    """Values of credential contexts that no pattern covers whole and that cost too many guesses."""
     lower = text.lower()
     if not any(h in lower for h in CONTEXT_HINTS):
         return []
-    spans = []
-    for m in CONTEXT.finditer(text):
+    spans, at = [], 0
+    while m := CONTEXT.search(text, at):
         start, end = m.span(1)
+        at = start if text[end - 1] in ":=" else end  # what stands after a word may be the next context
         end -= len(m[1]) - len(m[1].rstrip(".!?:)]}"))
         value = text[start:end]
-        if len(value) < MIN_VALUE or any(s < end and start < e for s, _, e in base):
+        if len(value) < MIN_VALUE or any(s <= start and end <= e for s, _, e in base):
             continue
         if log10_guesses(value, word_ranks(text, value)) >= MIN_LOG10_GUESSES:
             spans.append((start, 3, end))
