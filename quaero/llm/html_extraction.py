@@ -45,6 +45,11 @@ JUNK_WORDS = frozenset(
     "signup login share sharing social related recommended comment comments reply replies disqus "
     "widget pager pagination toolbar masthead topbar skip disclaimer".split()
 )
+#: what a name of junk words can hold besides (``cookie-notice``, ``ad-slot-3``, ``share-buttons``)
+JUNK_PARTS = frozenset(
+    "area bar block body bottom box button buttons container content header inner item items left link links "
+    "list main page panel posts primary right section site slot top unit wrap wrapper [0-9]+".split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div td body blockquote figure center".split())
 
@@ -53,31 +58,65 @@ TOKENS = re.compile(
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|<[!?][^>]*>""",
     re.S | re.I,
 )
-_MARKS = re.compile(r"""(?:\b(?:class|id|role))\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_LETTERS = re.compile(r"[a-z]+")
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_ATTRIBUTES = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_JUNK_NAME = re.compile(rf"(?:(?:{'|'.join(sorted(JUNK_PARTS))})[-_]+)*(?:{'|'.join(sorted(JUNK_WORDS))})(?:[-_]+(?:{'|'.join(sorted(JUNK_WORDS | JUNK_PARTS))}))*")
 
 
 class Node:
-    __slots__ = ("children", "chars", "commas", "junk", "link_chars", "order", "parent", "score", "tag")
+    __slots__ = ("children", "chars", "commas", "junk", "link_chars", "named", "order", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, order: int, junk: bool) -> None:
-        self.tag, self.parent, self.order, self.junk = tag, parent, order, junk
+    def __init__(self, tag: str, parent: Node | None, order: int, junk: bool, named: bool = False) -> None:
+        self.tag, self.parent, self.order, self.junk, self.named = tag, parent, order, junk, named
         self.children: list[Node | str] = []
         self.chars = self.commas = self.link_chars = 0
         self.score = 0.0
 
 
-def _is_junk(tag: str, attrs: str, inside_main: bool) -> bool:
+def _kind(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
+    """Whether an element is junk by its tag or hidden, and whether its class or role names junk."""
     if tag in JUNK_TAGS or tag == "header" and not inside_main:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body"):
-        return False
-    if tag not in MAIN_TAGS:
-        for m in _MARKS.finditer(attrs):
-            if not JUNK_WORDS.isdisjoint(_LETTERS.findall((m[1] or m[2] or m[3] or "").lower())):
-                return True
-    return bool(_HIDDEN.search(attrs))
+        return False, False
+    junk = named = False
+    for m in _ATTRIBUTES.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden":
+            junk |= value != "false"
+        elif name == "aria-hidden":
+            junk |= value.strip() == "true"
+        elif name == "style":
+            junk |= bool(_NO_DISPLAY.search(value))
+        elif name in ("class", "role") and tag not in MAIN_TAGS and tag not in HEADINGS:
+            named |= any(_JUNK_NAME.fullmatch(x) for x in value.split())
+    return junk, named
+
+
+def _spare_wrappers(nodes: list[Node]) -> None:
+    """Elements named like junk are junk, but for those that hold the article.
+
+    On a page without an article element that is whatever holds most of the paragraphs.
+    """
+    points, mains = [0.0] * len(nodes), [False] * len(nodes)
+    dead = [False] * len(nodes)
+    for n in nodes[1:]:
+        dead[n.order] = n.junk or dead[n.parent.order]
+    inside = [False] * len(nodes)
+    for n in nodes[1:]:  # a paragraph in a link list or a form earns nothing
+        inside[n.order] = n.tag in ("p", "pre") or inside[n.parent.order]
+    for n in reversed(nodes):
+        if dead[n.order]:
+            continue
+        if inside[n.order]:
+            points[n.order] += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        if n.parent is not None:
+            points[n.parent.order] += points[n.order]
+            mains[n.parent.order] |= mains[n.order] or n.tag in MAIN_TAGS
+    for n in nodes[1:]:
+        if n.named and not mains[n.order] and (mains[0] or 2 * points[n.order] <= points[0]):
+            n.junk = True
 
 
 def parse(page: str) -> list[Node]:
@@ -111,7 +150,7 @@ def parse(page: str) -> list[Node]:
             if open_[k].tag in FENCES:
                 break
         parent = open_[-1]
-        node = Node(tag, parent, len(nodes), _is_junk(tag, m["attrs"], mains > 0))
+        node = Node(tag, parent, len(nodes), *_kind(tag, m["attrs"], mains > 0))
         parent.children.append(node)
         nodes.append(node)
         if tag not in VOID and not m["attrs"].endswith("/"):
@@ -119,6 +158,7 @@ def parse(page: str) -> list[Node]:
             mains += tag in MAIN_TAGS
     if at < len(page):
         open_[-1].children.append(entities.unescape(page[at:]))
+    _spare_wrappers(nodes)
     return nodes
 
 

@@ -195,6 +195,25 @@ def test_main_text(page, text):
     assert html_extraction.main_text(page) == " ".join(text.split())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='site has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='comments-enabled'><p>{LONG}</p></div>", LONG),
+        (f"<div class='sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='widget'><p>{LONG}</p></div><div class='widget'><p>short one</p></div>", LONG),
+        (f"<article><h2 id='related-work'>Related work</h2><p>{LONG}</p><h3 class='side'>Effects</h3></article>", f"Related work {LONG} Effects"),
+        (f"<article><p id='social-history'>{LONG}</p><div class='side-effects'>Sleep</div></article>", f"{LONG} Sleep"),
+        (f"<article class='overflow-hidden'><p>{LONG}<a href='/hidden-gems'>gems</a></p></article>", f"{LONG}gems"),
+        (f"<article><p>{LONG}</p><p hidden>no</p><p aria-hidden=true>no</p><p style='display: none'>no</p></article>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='comments'><p>{LONG}<p>{LONG}<p>{LONG}</div><div class='site-footer'><p>{LONG}</div>", LONG),
+        (f"<article><p>{LONG}</p><div class='ad-slot-3'>no</div><div class='x share-buttons'>no</div></article>", LONG),
+    ],
+)
+def test_names_of_wrappers_headings_and_links(page, text):
+    assert html_extraction.main_text(page) == " ".join(text.split())
+
+
 def test_html_rows_and_columns(odd, none):
     got = html_extraction.extract_main_text(odd, html="text", text="spans")
     assert got.count() == len(ODD) and got.columns == odd.columns
