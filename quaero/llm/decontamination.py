@@ -1,7 +1,8 @@
 """Benchmark passages in documents, found by SimHash windows of the size of each item.
 
-For an item of L words, every window of L words of a document that shares a shingle with the item's
-benchmark is fingerprinted (SimHash over weighted shingles). Fingerprints meet in a multi-index: two
+For an item of L words, every window of L words of a document (the whole document, if it is shorter)
+that shares a shingle with the item's benchmark is fingerprinted (SimHash over shingles by the square
+roots of their weights: the cosine that it estimates then has the weights themselves). Fingerprints meet in a multi-index: two
 fingerprints within ``RADIUS`` bits agree in at least one of ``BLOCKS`` blocks to ``RADIUS // BLOCKS``
 bits, so looking each block up with all its near variants misses none of them. Candidates
 are then compared exactly: the weight of shared shingles over the weight of all.
@@ -28,7 +29,7 @@ from quaero.llm.words import hashed_shingles, hashed_words, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 19
 BLOCKS = 4  # of 16 bits
 ITEMS = 20_000  # items of a block
 BLOCK_WORDS = 4_000_000  # ... and words
@@ -74,7 +75,7 @@ class Items:
         prints = []
         for k in keep:
             sh = shingles(words[k], SHINGLE)
-            prints.append(fingerprints(sh, self.weigh(sh), np.array([0]), len(sh))[0])
+            prints.append(fingerprints(sh, np.sqrt(self.weigh(sh)), np.array([0]), len(sh))[0])
         self.prints = np.array(prints, dtype=np.uint64)
         self.blocks = []  # for each block: items by value, and where each value's items begin
         for b in range(BLOCKS):
@@ -103,9 +104,8 @@ class Items:
         for p, a in zip(near[real], at[real]):
             owners = self.owners[self.owner_from[a] : self.owner_from[a + 1]]
             for length in np.unique(self.lengths[owners]):
-                n = length - SHINGLE + 1
-                if n <= len(sh):
-                    found.setdefault(int(length), []).append((max(0, p - n + 1), min(p, len(sh) - n)))
+                n = min(length - SHINGLE + 1, len(sh))
+                found.setdefault(int(length), []).append((max(0, p - n + 1), min(p, len(sh) - n)))
         out = {}
         for length, spans in found.items():
             edge = np.zeros(len(sh) + 1, dtype=np.int64)
@@ -138,23 +138,24 @@ class Items:
     def search(self, sh: np.ndarray) -> list[tuple]:
         """``(item, first word, words, similarity)`` of the best window of each item among shingles."""
         best: dict[int, tuple[float, int]] = {}
+        roots = np.sqrt(self.weigh(sh))
         for length, starts in (self.windows(sh) if len(self.known) and len(sh) else {}).items():
-            n = length - SHINGLE + 1
+            n = min(length - SHINGLE + 1, len(sh))
             for at in range(0, len(starts), 256):
                 some = starts[at : at + 256]
                 low, high = some[0], some[-1] + n
                 part = sh[low:high] if high - low <= 64 * (256 + n) else None
                 if part is None:  # windows far apart
-                    prints = np.concatenate([fingerprints(sh[s : s + n], self.weigh(sh[s : s + n]), np.array([0]), n) for s in some])
+                    prints = np.concatenate([fingerprints(sh[s : s + n], roots[s : s + n], np.array([0]), n) for s in some])
                 else:
-                    prints = fingerprints(part, self.weigh(part), some - low, n)
+                    prints = fingerprints(part, roots[low:high], some - low, n)
                 for w, item in self.candidates(prints, length):
                     s = int(some[w])
                     score = self.similarity(sh[s : s + n], item)
                     if score >= SIMILARITY and (item not in best or (-score, s) < (-best[item][0], best[item][1])):
                         best[item] = (score, s)
         return sorted(
-            ((self.ids[i], s, int(self.lengths[i]), score) for i, (score, s) in best.items()),
+            ((self.ids[i], s, min(int(self.lengths[i]), len(sh) + SHINGLE - 1), score) for i, (score, s) in best.items()),
             key=lambda x: (x[1], str(x[0])),
         )
 

@@ -289,6 +289,46 @@ def test_benchmark_items_in_texts(spark, odd, none):
     assert decontamination.benchmark_matches(none, bench).count() == 0
 
 
+def test_document_shorter_than_the_item():
+    item = words(45, 51).split()
+    items = decontamination.Items([7], [" ".join(item)])
+    for cut, found in ((0, True), (1, True), (2, True), (4, True), (20, False)):
+        text = " ".join(item[: len(item) - cut])
+        (sh,) = decontamination.hashed_shingles([text], 5, False)
+        got = items.search(sh)
+        assert bool(got) is found
+        if found:
+            assert got[0][:3] == (7, 0, 45 - cut) and abs(got[0][3] - (41 - cut) / 41) < 1e-9
+
+
+def recall(weighted):
+    """Found windows over those of similarity 0.8 or little more, by brute force."""
+    met = hits = 0
+    common = words(44, 5).split()
+    texts = [f"{' '.join(common)} own{k}" if weighted else words(45, 7_000 + k) for k in range(40)]
+    items = decontamination.Items(list(range(40)), texts)
+    rng = random.Random(4)
+    for k in [*range(40)] * 10:
+        w = texts[k].split()
+        if weighted:
+            w[-1] = f"x{rng.random()}"  # the heavy shingle of the item alone differs
+        else:
+            n = rng.choice([3, 4])
+            for i in rng.choice([range(n), range(45 - n, 45)]):
+                w[i] = f"x{rng.random()}"
+        (sh,) = decontamination.hashed_shingles([" ".join(w)], 5, False)
+        if 0.8 <= items.similarity(sh, k) < 0.9:
+            met += 1
+            hits += any(m[0] == k for m in items.search(sh))
+    assert met > 30
+    return hits / met
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_recall_of_fingerprints(weighted):
+    assert recall(weighted) >= 0.99
+
+
 def test_benchmark_in_blocks(spark, monkeypatch, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = decontamination.benchmark_matches(documents, bench).select("doc_id", "matches.item_id").collect()
