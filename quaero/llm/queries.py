@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from quaero.llm import (
     decontamination,
+    fill_in_middle,
     html_extraction,
     language_id,
     ngram_jaccard,
+    quality_classifier,
     quality_rules,
     secret_scans,
     sentencepiece_sampling,
     sharding,
     substring_dedup,
     token_counts,
+    tokenizer_alignment,
 )
 from quaero.llm.common import table
 
@@ -149,3 +152,61 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two tokenizers end together in every document, and how common the linked tokens are."""
+    docs = table(spark, sf_dir, "documents")
+    paths = public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE)
+    return tokenizer_alignment.link_scores(tokenizer_alignment.align(docs, *paths))
+
+
+@query("op12_quality_classifier")
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of documents that are not held out."""
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_classifier.score_quality(docs, labels)
+
+
+@query("op13_fill_in_middle")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into lines and put together as suffix, prefix, middle or prefix, suffix, middle."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output"), 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+TWINS["op13_fill_in_middle"] = """
+with texts as (
+    select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents
+), lines as (
+    select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as l,
+           [('0x' || substr(h, 1 + 8 * k, 8))::bigint for k in range(4)] as d
+    from texts
+), cuts as (
+    select *, len(l) as n, least(d[1] % (len(l) + 1), d[2] % (len(l) + 1)) as a,
+           greatest(d[1] % (len(l) + 1), d[2] % (len(l) + 1)) as b
+    from lines
+), parts as (
+    select doc_id, t, n, array_to_string(l[:a], '') as p, array_to_string(l[a + 1:b], '') as m,
+           array_to_string(l[b + 1:], '') as s,
+           case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain'
+                when d[4] % 100 < 50 then 'spm' else 'psm' end as form
+    from cuts
+)
+select doc_id, n::bigint as n, form,
+       case when form <> 'plain' then length(p)::bigint end as prefix_chars,
+       case when form <> 'plain' then length(m)::bigint end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256
+from parts
+"""

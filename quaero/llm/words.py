@@ -18,6 +18,10 @@ _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# kinds of bytes: 0 white space, 1 letters and digits (and all beyond ASCII), 2 other characters
+_KINDS = np.full(256, 2, dtype=np.int8)
+_KINDS[_SPACES] = 0
+_KINDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,6 +121,29 @@ def hashed_words(texts: Iterable[str], lower: bool = True) -> Iterator[np.ndarra
             yield words[a:b]
 
 
+def _runs(piece: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of bytes of one kind (letters and digits, others), and where they start."""
+    raw = np.frombuffer(piece.encode("utf-8", "replace"), dtype=np.uint8)
+    kinds = _KINDS[raw]
+    edges = np.flatnonzero(np.diff(np.r_[np.int8(-1), kinds, np.int8(-1)]))
+    starts, ends = edges[:-1], edges[1:]
+    words = kinds[starts] > 0
+    starts, ends = starts[words], ends[words]
+    return run_hashes(_BYTES[raw], starts, ends), starts
+
+
+def byte_runs(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For groups of texts, hashes of their runs of one kind and where each text's runs begin (and end)."""
+    for group in _groups(texts):
+        if len(group) == 1:
+            found = np.concatenate([_runs(piece)[0] for piece in pieces(group[0])])
+            yield found, np.array([0, len(found)])
+            continue
+        hashes, starts = _runs("\n".join(group))
+        sizes = [len(t.encode("utf-8", "replace")) + 1 for t in group]
+        yield hashes, np.searchsorted(starts, np.cumsum([0, *sizes]))
+
+
 def hashed_shingles(texts: Iterable[str], size: int, whole: bool = True) -> Iterator[np.ndarray]:
     """For each text, hashes of all its runs of ``size`` words.
 
