@@ -128,6 +128,18 @@ def test_long_texts_are_cut_where_both_tokenizers_begin_a_token(tokenizers):
     assert tokenizers[0].cuts and tokenizers[1].cuts
 
 
+def test_ranks_give_the_tokens_of_the_library(tokenizers, documents):
+    a = tokenizers[0]
+    assert a.ranked is not None
+    every = [chr(c) for c in range(0x0, 0x2060) if ta._OLD_SCRIPTS.fullmatch(chr(c))]
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(every) for _ in range(80)) for _ in range(400)]
+    texts += [f"x{c}{c}1 {c} {c}a{c}\n{c}  {c}" for c in every]
+    texts += [r["text"] for r in documents.select("text").collect() if r["text"]]
+    library = a.tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+    assert [np.asarray(x).tolist() for x in a.encode(texts)] == [e.ids for e in library]
+
+
 def test_alignment_of_odd_rows(odd, none):
     rows = ta.link_scores(ta.align(odd, BYTES, PIECES)).collect()
     assert len(rows) == odd.count()
