@@ -33,7 +33,11 @@ PIECE = 1 << 18  # characters of a long text that are encoded at once
 COMMON_PAIRS = 1 << 16  # pairs whose counts go to every task (13 bytes each)
 PARTIAL_ROWS = 1 << 18  # partial counts that a task keeps before it hands them on
 
-BATCH_ROWS = 1_000  # rows that a task holds as Arrow at once
+# a row holds all tokens of a text: fewer rows are read from Parquet, and given to Python, at once
+ROWS_AT_ONCE = {
+    "spark.sql.parquet.columnarReaderBatchSize": 256,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 512,
+}
 
 _BLANK = "▁"
 _OLD_SCRIPTS = re.compile("[\x00-\u036f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e]*+")
@@ -239,14 +243,16 @@ def _by_size(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as Parquet in the shared folder; while they are written, Arrow batches are small."""
-    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    folder, rows = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", int(spark.conf.get(setting))
-    spark.conf.set(setting, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    """The rows as Parquet in the shared folder; rows are wide, so few are read and held at once meanwhile."""
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = {setting: spark.conf.get(setting) for setting in ROWS_AT_ONCE}
+    for setting, rows in ROWS_AT_ONCE.items():
+        spark.conf.set(setting, str(rows))
     try:
         df.write.option("compression", "zstd").parquet(folder)
     finally:
-        spark.conf.set(setting, str(rows))
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     return spark.read.parquet(folder)
 
 
