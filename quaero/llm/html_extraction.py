@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +37,7 @@ CLOSED_BY = {
     "th": {"td", "th", "tr", "tbody", "tfoot"},
     "option": {"option"},
 }
+CLOSES = {t: [x for x, by in CLOSED_BY.items() if t in by] for t in frozenset().union(*CLOSED_BY.values())}
 FENCES = frozenset("table ul ol dl menu body article section main div td th blockquote".split())
 JUNK_TAGS = frozenset("nav footer aside form button select menu dialog head label input".split())
 JUNK_WORDS = frozenset(
@@ -50,14 +52,18 @@ JUNK_PARTS = frozenset(
     "area bar block body bottom box button buttons container content header inner item items left link links "
     "list main page panel posts primary right section site slot top unit wrap wrapper [0-9]+".split()
 )
+IN_TEXT = frozenset(("button", "label"))  # words of a sentence, where they stand in a paragraph
 MAIN_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div td body blockquote figure center".split())
 
-TOKENS = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|<[!?][^>]*>""",
-    re.S | re.I,
+#: names of reader comments, in a class or an id (``comments``, ``commentlist``, ``user-comments``)
+COMMENT_NAME = re.compile(
+    r"(?:[a-z0-9]+[-_])*comments?(?:[-_]?(?:list|area|section|thread|box|feed|block|wrap|wrapper|container|[0-9]+))?"
 )
+
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+_QUOTE = re.compile(r""">|=\s*["']""")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _ATTRIBUTES = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -74,9 +80,9 @@ class Node:
         self.score = 0.0
 
 
-def _kind(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element is junk by its tag or hidden, and whether its class or role names junk."""
-    if tag in JUNK_TAGS or tag == "header" and not inside_main:
+def _kind(tag: str, attrs: str, inside_main: bool, in_text: bool) -> tuple[bool, bool]:
+    """Whether an element is junk by its tag or hidden, and whether its names are names of junk."""
+    if tag in JUNK_TAGS and not in_text or tag == "header" and not inside_main:
         return True, False
     if not attrs or tag in ("html", "body"):
         return False, False
@@ -90,7 +96,9 @@ def _kind(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
         elif name == "style":
             junk |= bool(_NO_DISPLAY.search(value))
         elif name in ("class", "role") and tag not in MAIN_TAGS and tag not in HEADINGS:
-            named |= any(_JUNK_NAME.fullmatch(x) for x in value.split())
+            named |= any(_JUNK_NAME.fullmatch(x) or COMMENT_NAME.fullmatch(x) for x in value.split())
+        elif name == "id" and tag not in MAIN_TAGS and tag not in HEADINGS:
+            named |= COMMENT_NAME.fullmatch(value.strip()) is not None
     return junk, named
 
 
@@ -119,42 +127,99 @@ def _spare_wrappers(nodes: list[Node]) -> None:
             n.junk = True
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Behind the ``>`` of a tag; one inside a quoted value doesn't count. -1 if there is none."""
+    while m := _QUOTE.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0][-1], m.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """``(start, end, tag, closing, attributes)`` of all markup in one pass; no tag for what is skipped whole.
+
+    Where quotes never let a tag end, no quote of the page counts from there on, so that no
+    part of a broken page is read again and again. Markup without any end goes as far as the page.
+    """
+    at, quotes = 0, True
+    while m := _OPEN.search(page, at):
+        start, tag = m.start(), m["tag"]
+        if tag is None:
+            mark = "-->" if m["comment"] else ">"
+            close = page.find(mark, m.end())
+            at = len(page) if close < 0 else close + len(mark)
+            yield start, at, None, False, ""
+            continue
+        at = _tag_end(page, m.end()) if quotes else -1
+        if at < 0:
+            quotes = False
+            at = page.find(">", m.end()) + 1 or len(page)
+        tag, closing = tag.lower(), m["end"] == "/"
+        attrs = page[m.end() : at - 1] if page[at - 1] == ">" else page[m.end() : at]
+        if tag in _RAW_ENDS and not closing:
+            if not (tag in ("svg", "math") and attrs.endswith("/")):
+                close = _RAW_ENDS[tag].search(page, at)
+                at = close.end() if close else len(page)
+            yield start, at, None, False, ""
+        else:
+            yield start, at, tag, closing, attrs
+
+
 def parse(page: str) -> list[Node]:
     """All elements in page order; the first is the root. Broken markup is closed as browsers do."""
     root = Node("html", None, 0, False)
     nodes, open_ = [root], [root]
     mains = at = 0
-    for m in TOKENS.finditer(page):
-        if m.start() > at:
-            open_[-1].children.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m["tag"]
+    counts: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
+
+    blocks: list[int] = []  # places of the open block elements
+
+    def close(k: int) -> None:
+        nonlocal mains
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+        for n in open_[k:]:
+            counts[n.tag] -= 1
+            mains -= n.tag in MAIN_TAGS
+        del open_[k:]
+
+    for start, end, tag, closing, attrs in tokens(page):
+        if start > at:
+            open_[-1].children.append(entities.unescape(page[at:start]))
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            for k in range(len(open_) - 1, 0, -1):
+        if closing:
+            for k in range(len(open_) - 1 if counts[tag] else 0, 0, -1):
                 if open_[k].tag == tag:
-                    mains -= sum(n.tag in MAIN_TAGS for n in open_[k:])
-                    del open_[k:]
+                    close(k)
                     break
                 if open_[k].tag in MAIN_TAGS and tag not in MAIN_TAGS and tag not in ("body", "html"):
                     break  # a stray end tag doesn't close the article
             continue
         if tag == "html":
             continue
-        for k in range(len(open_) - 1, 0, -1):  # elements that this one closes
+        closable = any(counts[x] for x in CLOSES.get(tag, ()))
+        for k in range(len(open_) - 1 if closable else 0, 0, -1):  # elements that this one closes
             if tag in CLOSED_BY.get(open_[k].tag, ()):
-                del open_[k:]
+                close(k)
                 break
             if open_[k].tag in FENCES:
                 break
         parent = open_[-1]
-        node = Node(tag, parent, len(nodes), *_kind(tag, m["attrs"], mains > 0))
+        in_paragraph = bool(blocks) and open_[blocks[-1]].tag == "p" and not counts["form"]
+        node = Node(tag, parent, len(nodes), *_kind(tag, attrs, mains > 0, tag in IN_TEXT and in_paragraph))
         parent.children.append(node)
         nodes.append(node)
-        if tag not in VOID and not m["attrs"].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
+            if tag in BLOCKS:
+                blocks.append(len(open_))
             open_.append(node)
+            counts[tag] += 1
             mains += tag in MAIN_TAGS
     if at < len(page):
         open_[-1].children.append(entities.unescape(page[at:]))
@@ -162,6 +227,17 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _has_paragraph(top: Node, dead: list[bool]) -> bool:
+    """Whether a paragraph with text stands somewhere below the element."""
+    stack = [top]
+    while stack:
+        n = stack.pop()
+        if n.tag == "p" and n.chars:
+            return True
+        stack.extend(c for c in n.children if not isinstance(c, str) and not dead[c.order])
+    return False
+
+
 def best_container(nodes: list[Node]) -> tuple[Node, list[Node]]:
     """The container with the highest score, and its siblings that are kept with it."""
     dead = [False] * len(nodes)
@@ -215,7 +291,7 @@ def best_container(nodes: list[Node]) -> tuple[Node, list[Node]]:
                 continue
             links = c.link_chars / c.chars
             text = c.tag in ("p", "pre", "h1", "h2", "h3", "blockquote", "ul", "ol", "table")
-            if c.tag in CONTAINERS and value(c) >= least or text and links < 0.25:
+            if c.tag in CONTAINERS and (value(c) >= least or links < 0.25 and _has_paragraph(c, dead)) or text and links < 0.25:
                 kept.append(c)
     return best, sorted(kept, key=lambda n: n.order)
 

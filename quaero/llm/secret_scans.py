@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,6 +66,8 @@ _NEIGHBOURS |= {
 _DATE = re.compile(r"(?:\d{1,2}[-/.]?\d{1,2}[-/.]?(?:19|20)\d\d|(?:19|20)\d\d[-/.]?\d{1,2}[-/.]?\d{1,2})")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _REPEAT = re.compile(r"(.{1,8}?)\1+")
+_BETWEEN = re.compile(r"""[\s"'`<>,;:=]+""")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 _ALPHABETS = ((re.compile(r"[0-9]"), 10), (re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[^0-9A-Za-z]"), 33))
 
 
@@ -112,11 +115,43 @@ def log10_guesses(value: str, ranks: dict[str, int], repeats: bool = True) -> fl
     return best[-1]
 
 
-def word_ranks(text: str, value: str) -> dict[str, int]:
-    """Words a guesser would try: common ones, and those of the text itself beside the value."""
-    words = dict.fromkeys(COMMON_WORDS)
-    words.update(dict.fromkeys(re.findall(r"[^\W\d_]{3,}", text.replace(value, " ").lower())))
-    return {w: k for k, w in enumerate(words, 1)}
+class Guesser:
+    """Words a guesser would try for the values of one text: common ones, and those of the text itself.
+
+    A word that the text holds in the value only is no such word. Texts are read once, however many
+    values they hold: a text and a value are cut into the same pieces, and a word is left out for
+    a value if all its places in the text are pieces of that value.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.pieces = Counter(_pieces(text))
+        self.counts: Counter[str] = Counter()
+        for piece, n in self.pieces.items():
+            for w in _words(piece):
+                self.counts[w] += n
+        words = dict.fromkeys(COMMON_WORDS)
+        words.update(dict.fromkeys(self.counts))
+        self.ranks = {w: k for k, w in enumerate(words, 1)}
+
+    def log10_guesses(self, value: str) -> float:
+        own: Counter[str] = Counter()
+        for piece in set(_pieces(value)):
+            for w in _words(piece):
+                own[w] += self.pieces[piece]
+        only = [w for w, n in own.items() if n >= self.counts[w] and w not in COMMON_WORDS]
+        kept = {w: self.ranks.pop(w) for w in only if w in self.ranks}
+        cost = log10_guesses(value, self.ranks)
+        self.ranks |= kept
+        return cost
+
+
+def _pieces(text: str) -> list[str]:
+    """Stretches between white space, quotes and assignments, without the marks behind a word."""
+    return [p for p in (x.rstrip(".!?)]}") for x in _BETWEEN.split(text)) if p]
+
+
+def _words(piece: str) -> list[str]:
+    return _LETTERS.findall(piece.lower())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -136,15 +171,24 @@ def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     lower = text.lower()
     if not any(h in lower for h in CONTEXT_HINTS):
         return []
-    spans, at = [], 0
+    spans, at, guesser = [], 0, None
+    covered, known = 0, {}  # base spans by start, as far as they are passed; costs by value
+    ends = sorted((s, e) for s, _, e in base)
+    reach = -1
     while m := CONTEXT.search(text, at):
         start, end = m.span(1)
         at = start if text[end - 1] in ":=" else end  # what stands after a word may be the next context
         end -= len(m[1]) - len(m[1].rstrip(".!?:)]}"))
         value = text[start:end]
-        if len(value) < MIN_VALUE or any(s <= start and end <= e for s, _, e in base):
+        while covered < len(ends) and ends[covered][0] <= start:
+            reach = max(reach, ends[covered][1])
+            covered += 1
+        if len(value) < MIN_VALUE or end <= reach:
             continue
-        if log10_guesses(value, word_ranks(text, value)) >= MIN_LOG10_GUESSES:
+        guesser = guesser or Guesser(text)
+        if value not in known:
+            known[value] = guesser.log10_guesses(value)
+        if known[value] >= MIN_LOG10_GUESSES:
             spans.append((start, 3, end))
     return spans
 
