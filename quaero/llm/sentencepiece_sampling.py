@@ -8,7 +8,8 @@ Gumbel variable of the node's total probability, bounded by its parent's, so noi
 nodes that are opened only. The value that comes next after the k-th gives each path's inclusion
 probability.
 
-Pieces never reach across the start of a word, so the lattice is a chain of short lattices (units).
+Pieces never reach across the start of a word, nor across every ``LONGEST_UNIT``-th character of a longer
+one, so the lattice is a chain of short lattices (units).
 Opening a node means drawing the rest of its path, and all "other ways" through a unit
 stay one closed node until they are the best. The units of many texts go through the same array
 operations; noise depends on the row key and the place in the text only, so a lost task
@@ -22,7 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -36,10 +37,12 @@ from quaero.llm.words import mix
 SAMPLES = 2
 SHARPNESS = 1.0  # of the distribution: 0 makes all segmentations equally likely
 GROUP = 1 << 18  # characters of texts that are drawn together
-EDGES = 4_000_000  # edges of lattices that stay, 13 bytes each
+EDGES = 3_000_000  # edges of lattices that stay, 17 bytes each
+LONGEST_UNIT = 4_096  # a word of more characters is cut into units of so many
+LISTED = 64  # ways of a unit that are listed where sums can't tell what is left
 LONG_UNIT = 64  # longer units are laid out one by one
 SPACE = "▁"
-_UNITS = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+_UNITS = re.compile(rf"\n|{SPACE}{{0,{LONGEST_UNIT}}}[^{SPACE}\n]{{1,{LONGEST_UNIT}}}|{SPACE}{{1,{LONGEST_UNIT}}}")
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # fixed value: stride of the noise counter
 
 
@@ -56,6 +59,10 @@ class Model:
         self.shown = list(self.pieces)
         for b, i in self.bytes.items():
             self.shown[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
+        spelled = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for b, i in self.bytes.items():
+            spelled[i] = bytes([b])
+        self.spelled = pa.array(spelled, pa.large_binary())
         self.byte_ids = np.array([self.bytes.get(b, -2 - b) for b in range(0x80)], dtype=np.int32)
         plain = [
             i for i in range(n)
@@ -96,6 +103,14 @@ class Model:
     def units(self, text: str) -> list[str]:
         return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def spells(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the pieces are a blank and these bytes, one after the other."""
+        if not len(ids):
+            return not raw
+        found = self.spelled.take(pa.array(ids))
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)
+        return bytes(memoryview(found.buffers()[2])[ends[0] : ends[len(ids)]]) == b" " + raw
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids (any ids: broken byte runs become replacement marks)."""
         text = "".join(map(self.shown.__getitem__, ids)).replace(SPACE, " ")
@@ -121,7 +136,8 @@ class Lattices:
     """The lattices of distinct units, one after the other: rows are end positions, edges are pieces.
 
     The edges of a row are the pieces that end there, by size; ``cum`` is the probability that the
-    piece is this one or a shorter one. Lattices stay for the next texts until ``EDGES`` are there;
+    piece is this one or a shorter one, ``other`` the log probability that it isn't this one. ``many`` is
+    the number of ways through a unit. Lattices stay for the next texts until ``EDGES`` are there;
     then the table starts anew.
     """
 
@@ -133,7 +149,8 @@ class Lattices:
         self.numbers = _Numbers()
         self.lengths, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.from_ = np.zeros(1, dtype=np.int64)  # where a row's edges begin
-        self.cum, self.logp = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.cum, self.logp, self.other = (np.zeros(0, np.float32) for _ in range(3))
+        self.many = np.zeros(0)
         self.ids, self.sizes, self.used = np.zeros(0, np.int32), np.zeros(0, np.int8), 0
 
     def add(self, units: list[str] | Iterator[str], n: int) -> np.ndarray:
@@ -149,22 +166,24 @@ class Lattices:
     def _add_new(self, new: list[str]) -> None:
         lengths = np.array([len(u) for u in new], dtype=np.int64)
         order = np.argsort(lengths, kind="stable")
-        self.lengths = np.r_[self.lengths, lengths]
+        self.lengths = np.concatenate([self.lengths, lengths])
         new, lengths = [new[i] for i in order], lengths[order]
         base = np.empty(len(new), dtype=np.int64)
         base[order] = len(self.from_) - 1 + np.r_[0, np.cumsum(lengths + 1)[:-1]]
         self.base = np.r_[self.base, base]
-        parts, at = [], 0
+        parts, many, at = [], np.empty(len(new)), 0
         while at < len(new):
             longest = int(lengths[at]) * 5 // 4 + 2  # units of about one length together
             some = 1 if longest > LONG_UNIT else max(1, 40_000 // longest)
             end = min(int(np.searchsorted(lengths, longest, "right")), at + some)
-            parts.append(self._lay_out(new[at:end], lengths[at:end]))
+            *part, many[order[at:end]] = self._lay_out(new[at:end], lengths[at:end])
+            parts.append(part)
             at = end
+        self.many = np.r_[self.many, many]
         counts, *columns = map(np.concatenate, zip(*parts))
-        self.from_ = np.r_[self.from_, self.from_[-1] + np.cumsum(counts)]
+        self.from_ = np.concatenate([self.from_, self.from_[-1] + np.cumsum(counts)])
         end = self.used + len(columns[0])
-        for name, values in zip(("cum", "logp", "ids", "sizes"), columns):
+        for name, values in zip(("cum", "logp", "other", "ids", "sizes"), columns):
             column = getattr(self, name)
             if end > len(column):
                 column = np.r_[column[: self.used], np.zeros(end, column.dtype)]  # room for as many again
@@ -196,8 +215,12 @@ class Lattices:
                 weights[~inside] = 0  # whatever keeps the sums behind the end finite
             found[:, size:, size - 1] = ids
             scores[:, size:, size - 1] = weights
+        many = np.zeros((len(units), n + 1))
+        many[:, 0] = 1
         for end in range(1, n + 1):
             sizes = min(width, end)
+            there = found[:, end, :sizes] != -1
+            many[:, end] = np.minimum((there * many[:, end - sizes : end][:, ::-1]).sum(1), 1e300)
             s = scores[:, end, :sizes]
             s += total[:, end - sizes : end][:, ::-1].astype(np.float32)
             top = s.max(1)
@@ -206,21 +229,33 @@ class Lattices:
         real = np.arange(n + 1) <= lengths[:, None]
         edges = (found != -1) & real[:, :, None]
         counts = edges.sum(2)[real]
-        logp = scores[edges]
+        flat = np.flatnonzero(edges)
+        logp = scores.ravel()[flat]
         ends = np.cumsum(counts)
-        sums = np.cumsum(np.exp(logp.astype(np.float64)))
+        mass = np.exp(logp.astype(np.float64))
+        sums = np.cumsum(mass)
         before = np.r_[0.0, sums][ends - counts]
         cum = (sums - np.repeat(before, counts)).astype(np.float32)
         cum[ends[counts > 0] - 1] = 2  # the longest piece ends the range
-        return counts, cum, logp, found[edges], np.nonzero(edges)[2].astype(np.int8) + np.int8(1)
-
-    def draw(self, units: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation of each unit: piece counts, all ids, log probabilities.
+        # an edge that weighs more than the others of its row: add these up, for 1 less the edge cancels out
+        most = mass > 0.5
+        some = counts > 0
+        others = np.zeros(len(counts))
+        others[some] = np.add.reduceat(np.where(most, 0.0, mass), (ends - counts)[some])
+        rest = 1.0 - mass
+        rest[most] = np.repeat(others, counts)[most]
+        with np.errstate(divide="ignore"):
+            other = np.log(rest).astype(np.float32)
+        sizes = (flat % width + 1).astype(np.int8)
+        return counts, cum, logp, other, found.ravel()[flat], sizes, many[np.arange(len(units)), lengths]
+
+    def draw(self, units: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A segmentation of each unit: piece counts, all ids, log probabilities, and those of any other.
 
         ``keys`` and ``places`` (the unit's first character in its text) decide the noise.
         """
         n = len(units)
-        at, logp = self.lengths[units].copy(), np.zeros(n)
+        at, logp, rest = self.lengths[units].copy(), np.zeros(n), np.zeros(n)
         counts = np.zeros(n, dtype=np.int64)
         active, steps = np.arange(n), []
         while len(active):
@@ -231,7 +266,9 @@ class Lattices:
                 edge[pending] += 1
                 pending = pending[self.cum[edge[pending]] <= noise[pending]]
             steps.append((active, self.ids[edge]))
-            logp[active] += self.logp[edge]
+            sofar = logp[active]
+            rest[active] += np.exp(sofar + self.other[edge])  # another way parts here
+            logp[active] = sofar + self.logp[edge]
             at[active] -= self.sizes[edge]
             counts[active] += 1
             active = active[at[active] > 0]
@@ -239,7 +276,8 @@ class Lattices:
         out = np.empty(offsets[-1], dtype=np.int32)
         for k, (who, ids) in enumerate(steps):  # the last piece of a unit was drawn first
             out[offsets[who + 1] - 1 - k] = ids
-        return counts, out, logp
+        with np.errstate(divide="ignore"):
+            return counts, out, logp, np.log(rest)
 
     def edges(self, unit: int, at: int) -> range:
         row = self.base[unit] + at
@@ -251,7 +289,7 @@ class Lattices:
         left = np.arange(len(units))
         for attempt in range(16):
             own = mix(keys[left] + np.uint64(attempt + 1))
-            counts, ids, logp = self.draw(units[left], own, places[left])
+            counts, ids, logp, _ = self.draw(units[left], own, places[left])
             ends = np.r_[0, np.cumsum(counts)]
             again = []
             for k, who in enumerate(left):
@@ -268,18 +306,16 @@ class Lattices:
         return out
 
     def _rest(self, unit: int, excluded: list[tuple], key: np.ndarray, place: np.ndarray) -> tuple:
-        """What is excluded holds nearly all: list the other ways, the most likely first."""
-        left = 1.0 - sum(np.exp(self.logp_of(unit, e)) for e in excluded)
-        want = float(uniform(mix(key), place)[0]) * max(left, 0.0)
-        last = None
-        for ids, logp in self.ways(unit):
-            if ids in excluded:
-                continue
-            last = (ids, logp)
-            want -= np.exp(logp)
-            if want <= 0:
-                break
-        return last
+        """What is excluded holds nearly all: draw among the most likely of the other ways."""
+        listed = self.listed(unit, excluded)
+        left = np.exp(np.array([logp for _, logp in listed]) - listed[0][1])
+        want = float(uniform(mix(key), place)[0]) * left.sum()
+        return listed[min(int(np.searchsorted(np.cumsum(left), want)), len(listed) - 1)]
+
+    def listed(self, unit: int, excluded: list[tuple]) -> list[tuple]:
+        """The ``LISTED`` most likely ways that aren't excluded."""
+        gone = set(excluded)
+        return list(islice((w for w in self.ways(unit) if w[0] not in gone), LISTED))
 
     def ways(self, unit: int) -> Iterator[tuple[tuple, float]]:
         """All segmentations of a unit, most likely first (A* with exact remainders)."""
@@ -370,26 +406,29 @@ def sample_group(model: Model, texts: list[str], keys: np.ndarray, k: int) -> li
         begin = np.r_[0, np.cumsum(sizes)]
         index = np.arange(begin[-1]) + np.repeat(first - begin[:-1], sizes)
         spread = np.repeat(noise, sizes)
-        counts, ids, logp = lattices.draw(own[index], spread, places[index])
+        counts, ids, logp, rest = lattices.draw(own[index], spread, places[index])
         new = [_Branch(float(v), f, p, [*(p.excluded if f == p.from_ else []), p.way(f)] if p else [])
                for (_, f, p, _), v in zip(todo, values)]
-        gone = np.zeros(len(todo))
+        # the other ways through each unit, as one node
+        open_ = lattices.many[own[index]] > 1
         ways: list[tuple | None] = [None] * len(todo)
         if j:  # the first unit goes another way than before
             others = lattices.others(own[first], [b.excluded for b in new], noise, places[first])
             for n, (way, way_logp) in enumerate(others):
+                unit, gone = int(own[first[n]]), [*new[n].excluded, way]
                 logp[begin[n]] = way_logp
                 ways[n] = way
-                gone[n] = sum(math.exp(lattices.logp_of(int(own[first[n]]), e)) for e in new[n].excluded)
-        # the other ways through each unit, as one node
-        rest = -np.expm1(np.minimum(logp, 0.0))
-        rest[begin[:-1]] = np.maximum(0.0, rest[begin[:-1]] - gone)
-        open_ = rest > 1e-6  # less is noise of single precision: no other way
+                open_[begin[n]] = lattices.many[unit] > len(gone)
+                if open_[begin[n]]:
+                    left = 1.0 - sum(math.exp(lattices.logp_of(unit, e)) for e in gone)
+                    if left < 1e-4:  # little more than what single precision loses: add up what is left
+                        left = sum(math.exp(lp) for _, lp in lattices.listed(unit, gone))
+                    rest[begin[n]] = math.log(max(left, 1e-300))
         sums = np.r_[0.0, np.cumsum(logp)]
         before = sums[:-1] + np.repeat(np.array([b.start for b in new]) - sums[begin[:-1]], sizes)
         nodes = np.full(len(logp), -np.inf)
         nodes[open_] = below(
-            (before + np.log(np.where(open_, rest, 1.0)))[open_], np.repeat(values, sizes)[open_], spread[open_], places[index][open_] + (1 << 40)
+            (before + np.maximum(rest, -700.0))[open_], np.repeat(values, sizes)[open_], spread[open_], places[index][open_] + (1 << 40)
         )
         drawn = np.r_[0, np.cumsum(counts)]
         again = []
@@ -502,7 +541,7 @@ def sample_segmentations(
                 plain = [t or "" for t in some.to_pylist()]
                 seeds = np.asarray(keys.slice(a, b - a)).astype(np.int64).view(np.uint64)
                 found = sample_group(model, plain, seeds, k)
-                same = [all(model.decode(s[0].tolist()) == t for s in one) for t, one in zip(plain, found)]
+                same = [all(model.spells(s[0], t) for s in one) for t, one in zip(map(str.encode, plain), found)]
                 made = _as_arrow(found)
                 if some.null_count:
                     made = pc.if_else(some.is_valid(), made, pa.scalar(None, made.type))

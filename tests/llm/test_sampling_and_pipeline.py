@@ -187,3 +187,31 @@ def test_run_is_registered(spark):
 def test_every_operator_has_a_query():
     names = [k for k in entry.queries() if k.startswith("op")]
     assert {k.split("_")[0] for k in names if k[2].isdigit()} >= {f"op{n}" for n in range(1, 11)}
+
+
+@pytest.mark.parametrize("text", ["a", "b", "ab", "the", "1", "é", "a b", "🙂", "e"])
+def test_short_texts_give_all_their_segmentations(text):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece_sampling.Model(path)
+    lattices = model.lattices
+    own = lattices.add(iter(units := model.units(text)), len(units))
+    every = {()}
+    for u in own:
+        every = {a + w for a in every for w, _ in lattices.ways(int(u))}
+    number = int(np.prod(lattices.many[own]))
+    assert number == len(every)
+    some = min(number, 40)
+    for key in range(12):
+        found = sentencepiece_sampling.sample_group(model, [text], np.array([key], dtype=np.uint64), some + 3)[0]
+        got = [tuple(s[0].tolist()) for s in found]
+        want = {tuple(sentencepiece_sampling._spelled(model, np.array(w, dtype=np.int32)).tolist()) for w in every}
+        assert len(set(got)) == len(got) == min(number, some + 3) and set(got) <= want
+
+
+def test_a_word_without_end_is_laid_out_in_parts():
+    model = sentencepiece_sampling.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "x" * 20_000 + " " * 9_000 + "é" * 5_000
+    units = model.units(text)
+    assert max(map(len, units)) <= 2 * sentencepiece_sampling.LONGEST_UNIT and "".join(units)[1:].replace("▁", " ") == text
+    for ids, _, _ in sentencepiece_sampling.sample_group(model, [text], np.array([5], dtype=np.uint64), 2)[0]:
+        assert model.decode(ids.tolist()) == text and model.spells(ids, text.encode())
