@@ -15,8 +15,10 @@ used is allocated by cost:
 Which shingles are common comes from a bounded sample; it decides the cost, never the result. Equal
 sets are one class from the start. Classes that meet in a segment are verified exactly, first with
 the best connected classes they meet, in a few rounds; what is then in one component needs no
-further pair, and the rest is met pair by pair, as far as sizes and counts of shingles by residue
-allow the pair to be similar at all.
+further pair, and the rest is met pair by pair, as far as sizes and odd sketches allow the pair to be
+similar at all. A sketch holds, for each of its bits, whether an odd number of the set's shingles fall
+on it: every shingle that only one of two sets holds turns one bit, so two sets differ in no fewer
+shingles than their sketches differ in bits.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ PERCENT = 80  # similarity of a link, in percent
 BAND = 1.5  # sizes of a band: from one bound to that times BAND
 SAMPLE_ROWS = 8_192  # documents that common shingles are counted in
 COMMON_SHARE = 0.005  # ... in so many of them or more
-RESIDUES = 64
+SKETCH = 16  # 64-bit words of a set's odd sketch
 SLICE_ROWS = 500  # texts whose sets are held in a task's memory together
 ROUNDS = 2  # of meeting the best connected classes before the rest is met pair by pair
 CENTRES = 2  # ... so many of them a round
@@ -124,28 +126,33 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def _described(rows: DataFrame, size: int) -> DataFrame:
-    """``<_id, _key, _n, _class, _residues>``: a document's set in short; no class without a shingle."""
+    """``<_id, _key, _n, _class, _odd>``: a document's set in short; no class without a shingle."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, classes, residues = [], [], []
+            n, classes, sketches = [], [], []
             for sh in hashed_shingles(batch.column(2).to_pylist(), size):
                 tokens = np.unique(sh)
                 n.append(len(tokens))
                 classes.append(class_of(tokens) if len(tokens) else None)
-                counts = np.bincount((tokens & np.uint64(RESIDUES - 1)).astype(np.int64), minlength=RESIDUES)
-                residues.append(np.minimum(counts, 32_767).astype(np.int16))
-            flat = pa.array(np.concatenate(residues) if residues else np.zeros(0, np.int16), pa.int16())
-            offsets = pa.array(np.arange(len(n) + 1) * RESIDUES, pa.int32())
+                sketches.append(odd_sketch(tokens))
+            flat = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64), pa.int64())
+            offsets = pa.array(np.arange(len(n) + 1) * SKETCH, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["_id", "_key", "_n", "_class", "_residues"],
+                ["_id", "_key", "_n", "_class", "_odd"],
             )
 
-    schema = "_id long, _key long, _n long, _class long, _residues array<smallint>"
+    schema = "_id long, _key long, _n long, _class long, _odd array<bigint>"
     return rows.select("_id", "_key", "_text").mapInArrow(describe, schema)
 
 
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """The sketch of a set: for each bit, whether an odd number of shingles fall on it."""
+    places = (mix(tokens) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
     """Shingles of many documents, from a sample of at most ``SAMPLE_ROWS`` different ones."""
     every = max(1, rows.count() // SAMPLE_ROWS)
@@ -210,12 +217,11 @@ def _tokens(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Necessary for a link: the sizes fit, and counts by residue don't differ too much."""
+    """Necessary for a link: the sizes fit, and the sketches don't differ too much."""
     total = F.col(f"{a}._n") + F.col(f"{b}._n")
     small, large = F.least(f"{a}._n", f"{b}._n"), F.greatest(f"{a}._n", f"{b}._n")
-    gaps = F.zip_with(F.col(f"{a}._residues"), F.col(f"{b}._residues"), lambda x, y: F.abs(x.cast("int") - y.cast("int")))
-    differ = F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
-    return (100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * total)
+    words = [F.bit_count(F.col(f"{a}._odd")[k].bitwiseXOR(F.col(f"{b}._odd")[k])) for k in range(SKETCH)]
+    return (100 * small >= percent * large) & ((100 + percent) * sum(words, F.lit(0)) <= (100 - percent) * total)
 
 
 def _links(pairs: DataFrame, rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -241,10 +247,10 @@ def _labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """``<_id, _key, _n, _label>``: rows are linked, step by step, if labels are equal and not null."""
     docs = cut_lineage(_described(rows, size))
     reps = docs.where(F.col("_class").isNotNull()).groupBy("_class").agg(
-        F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_residues").alias("_residues")
+        F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_odd").alias("_odd")
     )
     labels = _components(rows, cut_lineage(reps), size, percent)
-    return docs.drop("_residues").join(labels, "_class", "left").select(
+    return docs.drop("_odd").join(labels, "_class", "left").select(
         "_id", "_key", "_n", F.coalesce("_label", "_class").alias("_label")
     )
 
@@ -322,7 +328,7 @@ def _components(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> Da
         {"_low": F.min("_label").over(bucket), "_high": F.max("_label").over(bucket)}
     )
     open_ = labelled.where(F.col("_low") < F.col("_high")).select("_key", "_class", "_label")
-    open_ = cut_lineage(open_.join(reps.select("_class", "_n", "_residues"), "_class"))
+    open_ = cut_lineage(open_.join(reps.select("_class", "_n", "_odd"), "_class"))
     x, y = open_.alias("x"), open_.alias("y")
     across = x.join(
         y,
@@ -360,7 +366,7 @@ def _with_centres(labelled: DataFrame) -> DataFrame:
 
 
 def _may_linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    own = reps.select("_class", F.struct("_n", "_residues").alias("x"))
+    own = reps.select("_class", F.struct("_n", "_odd").alias("x"))
     out = pairs.join(own.withColumnsRenamed({"_class": "a", "x": "_xa"}), "a")
     out = out.join(own.withColumnsRenamed({"_class": "b", "x": "_xb"}), "b")
     return out.where(_may_link("_xa", "_xb", percent)).select("a", "b")
