@@ -56,36 +56,49 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def split_items(items: DataFrame) -> DataFrame:
-    """Texts split once into word arrays, placed by item: ``<item_id[, match], words>``."""
+    """Texts split into word arrays: ``<item_id[, match], words>``."""
     carried = ["match"] if "match" in items.columns else []
-    words = tx.tokens(F.lower("text")).alias("words")
-    return items.select("item_id", *carried, words).repartition("item_id")
+    return items.select("item_id", *carried, tx.tokens(F.lower("text")).alias("words"))
 
 
-def build_index(items: DataFrame, only_terms: DataFrame | None = None) -> LexicalIndex:
+def build_index(
+    items: DataFrame, only_terms: DataFrame | None = None, few_terms: bool | None = None
+) -> LexicalIndex:
     """Postings and statistics of ``items<item_id, text[, match]>`` or of split items.
 
-    Counting per item, the join with question terms and the sums per item need no shuffle after
-    that of the split items, and all parts of the index read the same exchange. ``only_terms<term>``
-    keeps just the postings of those terms; lengths and document counts always cover the whole
-    corpus. A ``match`` column (a metadata value to filter by) is carried into the postings.
+    Words are counted in the task that reads their text; what is shuffled is one narrow row for each
+    term of an item, and one without a term for the item itself, which the corpus statistics are
+    made of. All parts of the index read the same exchange. ``only_terms<term>`` keeps just the
+    postings of those terms (``few_terms``: they were found small enough to broadcast); lengths and
+    document counts always cover the whole corpus. A ``match`` column (a metadata value to filter
+    by) is carried into the postings.
     """
     carried = ["match"] if "match" in items.columns else []
     words = items if "words" in items.columns else split_items(items)
     length = F.size("words").cast("bigint")
-    # the outer form keeps the optimiser from repeating the split in an extra filter
-    exploded = words.select(
-        "item_id", *carried, length.alias("length"), F.explode_outer("words").alias("term")
-    )
-    if only_terms is None:
-        exploded = exploded.filter(F.col("term").isNotNull())
-    else:
-        exploded = lookup_join(exploded, only_terms.select("term").distinct(), ["term"], "left_semi")
-    postings = exploded.groupBy("item_id", *carried, "term", "length").agg(
-        F.count("*").alias("tf")
+    marked = F.concat(F.coalesce("words", F.array()), F.array(F.lit(None).cast("string")))
+    exploded = words.select("item_id", *carried, length.alias("length"), F.explode(marked).alias("term"))
+    if only_terms is not None:
+        wanted = only_terms.select("term").distinct()
+        if few_terms is None:
+            few_terms = fits(wanted)
+        if few_terms:
+            # the rows without a term are looked up like the others
+            every = wanted.select(F.col("term").alias("_term")).unionByName(
+                wanted.sparkSession.createDataFrame([(None,)], "_term string")
+            )
+            exploded = exploded.join(F.broadcast(every), F.col("term").eqNullSafe(F.col("_term")), "left_semi")
+        else:
+            kept = lookup_join(exploded.dropna(subset=["term"]), wanted, ["term"], "left_semi", small_fits=False)
+            exploded = kept.unionByName(exploded.filter(F.col("term").isNull()))
+    # told apart by an aggregate, for a filter on the key would go below the exchange and part the plans
+    counted = exploded.groupBy("item_id", *carried, "term", "length").agg(
+        F.count("*").alias("tf"), F.max(F.col("term").isNull()).alias("_item")
     )
+    postings = counted.filter(~F.col("_item")).drop("_item")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl"))
+    rows = counted.filter("_item")
+    stats = rows.agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum(F.when(F.col("length").isNotNull(), F.col("tf")))).alias("avgdl"))
     return LexicalIndex(postings, terms, stats)
 
 

@@ -6,11 +6,13 @@ file name ``L<label>_<id>`` matches the pattern ``^l<label>_``. Partition = pari
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quaero.operators import dense, fusion
+from quaero.operators import cells, dense, fusion
 from quaero.operators import retrieval_metrics as rm
-from quaero.operators.sizing import fits, items_of_hits, materialise
+from quaero.operators.sizing import fits, items_of_hits, materialise, one_row, shared_folder
 from quaero.plans.registry import query
 
 KS = (3, 5, 10)
@@ -181,6 +183,46 @@ def vector_topk_ann(t):
     return dense.recall_against(dense.vector_topk(asked, corpus, 10), found)
 
 
+def every_hundredth(t):
+    """Questions of the stored search: all vectors whose id is divisible by 100."""
+    asked = vectors(t).where(F.pmod("item_id", F.lit(100)) == 0)
+    return asked.select(F.col("item_id").alias("query_id"), "vector")
+
+
+def stored_hits(t):
+    """Every vector is written to its cell with its code; a question reads 40 of 64 cells."""
+    path = f"{shared_folder(t.spark)}/cells-{uuid.uuid4().hex}"
+    corpus = vectors(t).select("item_id", "vector")
+    index = cells.CellIndex(t.spark, path, cells.train(corpus, cells=64, parts=16))
+    cells.write_cells(corpus, path, index.quantizer)
+    return cells.search(index, every_hundredth(t), 10, probes=40, shortlist=20)
+
+
+@query("vector_topk_stored")
+def vector_topk_stored(t):
+    """Hits of the stored approximate search."""
+    return stored_hits(t)
+
+
+@query(
+    "vector_topk_stored_recall",
+    """SELECT count(*) AS n_questions, 10 * count(*) AS n_hits, count(*) AS found_themselves, true AS recall_reached
+FROM embeddings WHERE vec_id % 100 = 0""",
+)
+def vector_topk_stored_recall(t):
+    """What the stored search finds of the exact hits: 0.9 or more; every question finds itself first."""
+    found = materialise(stored_hits(t))
+    asked = every_hundredth(t)
+    recall = dense.recall_against(dense.vector_topk(asked, vectors(t), 10), found)
+    shares = recall.agg(F.count("*").alias("n_questions"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+    hits = found.agg(
+        F.count("*").alias("n_hits"),
+        F.count_if((F.col("rank") == 1) & (F.col("query_id") == F.col("item_id"))).alias("found_themselves"),
+    )
+    both = one_row(shares)
+    return hits.select(both["n_questions"].alias("n_questions"), "n_hits", "found_themselves", both["recall_reached"].alias("recall_reached"))
+
+
 def _metric(name):
     return f"""WITH {PER_QUERY} SELECT query_id, k, round("{name}", 6) AS "{name}" FROM metrics"""
 

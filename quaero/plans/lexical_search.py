@@ -6,14 +6,16 @@ passage is its metadata filter.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quaero.fixed_values import ABLATION_CONFIGS
 from quaero.functions import text as tx
 from quaero.operators import corrective as co
-from quaero.operators import dense, fusion, lexical, prefilter
+from quaero.operators import dense, fusion, lexical, postings, prefilter
 from quaero.operators import retrieval_metrics as rm
-from quaero.operators.sizing import fits, items_of_hits, lookup_join, materialise
+from quaero.operators.sizing import fits, items_of_hits, lookup_join, materialise, shared_folder
 from quaero.options import FusionOptions
 from quaero.plans.registry import query
 
@@ -181,6 +183,14 @@ def bm25_topk(t):
     return lexical_hits(t)
 
 
+@query("bm25_stored_topk", f"WITH {LEXICAL} {OUT} lex")
+def bm25_stored_topk(t):
+    """The index is written once, then the questions read only the blocks their best items can be in."""
+    path = f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}"
+    postings.write_index(items(t).select("item_id", "text"), path)
+    return postings.Search(postings.BlockIndex(t.spark, path), questions(t)).run()
+
+
 @query("bm25_topk_postfilter", f"WITH {LEXICAL}, {POSTFILTER} {OUT} lexf")
 def bm25_topk_postfilter(t):
     return lexical.keep_matching(lexical_hits(t), items(t), questions(t), 10)

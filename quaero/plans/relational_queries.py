@@ -140,7 +140,10 @@ def sql_join_group_top1(t):
     return joined.groupBy("c_name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c_name").limit(1)
 
 
-COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+COUNTED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query(
@@ -462,6 +465,7 @@ def run_sql_batch(t):
 
 # -- profiling --------------------------------------------------------------------------------
 
+# columns, primary key and foreign keys of every table: a Parquet file tells no keys
 PROFILED = {
     "region": (("r_regionkey int", "r_name string"), ("r_regionkey",), {}),
     "nation": (
@@ -474,6 +478,11 @@ PROFILED = {
         ("c_custkey",),
         {"c_nationkey": "nation.n_nationkey"},
     ),
+    "supplier": (
+        ("s_suppkey bigint", "s_name string", "s_nationkey int", "s_acctbal double"),
+        ("s_suppkey",),
+        {"s_nationkey": "nation.n_nationkey"},
+    ),
     "part": (
         ("p_partkey bigint", "p_name string", "p_brand string", "p_type string", "p_size int", "p_retailprice double"),
         ("p_partkey",),
@@ -485,21 +494,50 @@ PROFILED = {
         ("o_orderkey",),
         {"o_custkey": "customer.c_custkey"},
     ),
-}
+    "lineitem": (
+        ("l_orderkey bigint", "l_partkey bigint", "l_suppkey bigint", "l_linenumber int", "l_quantity double",
+         "l_extendedprice double", "l_discount double", "l_tax double", "l_returnflag string", "l_linestatus string",
+         "l_shipdate timestamp_ntz"),
+        ("l_orderkey", "l_linenumber"),
+        {"l_orderkey": "orders.o_orderkey", "l_partkey": "part.p_partkey", "l_suppkey": "supplier.s_suppkey"},
+    ),
+    "events": (
+        ("event_id bigint", "ts timestamp_ntz", "user_id bigint", "event_type string", "value double", "props string"),
+        ("event_id",),
+        {},
+    ),
+    "documents": (
+        ("doc_id bigint", "text string", "lang string", "source string", "n_chars bigint"),
+        ("doc_id",),
+        {},
+    ),
+    "embeddings": (("vec_id bigint", "embedding array<float>", "label int"), ("vec_id",), {}),
+    "pages": (("page_id bigint", "url string", "html string"), ("page_id",), {}),
+    "benchmark": (("item_id bigint", "text string"), ("item_id",), {}),
+    "labels": (("doc_id bigint", "quality int", "toxic int"), ("doc_id",), {"doc_id": "documents.doc_id"}),
+    "conversations": (("conv_id bigint", "turn bigint", "role string", "text string"), ("conv_id", "turn"), {}),
+}
+DESCRIBED = {"documents": "Texts of the corpus", "labels": "Judgements of documents"}
+DESCRIBED_COLUMNS = {"documents": {"lang": "language code"}, "labels": {"quality": "1 is good", "toxic": "1 is toxic"}}
 
 
 def profile_sql() -> str:
+    text = lambda value: "NULL" if value is None else quote(value)
     parts = []
     for table, (columns, primary, foreign) in PROFILED.items():
         for i, column in enumerate(columns):
             name, kind = column.split()
-            value = f"{name}::DECIMAL(38, 6)::VARCHAR" if kind == "double" else f"{name}::VARCHAR"
-            samples = f"""(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {value} AS v FROM {table}
+            value = f"{name}::DECIMAL(38, 6)::VARCHAR" if kind == "double" else f"substr({name}::VARCHAR, 1, 100)"
+            samples = f"""(SELECT list(v ORDER BY v) FROM (SELECT DISTINCT {value} AS v FROM {table}
   WHERE {name} IS NOT NULL ORDER BY v LIMIT 5))"""
-            key = quote(foreign[name]) if name in foreign else "NULL"
+            if kind.startswith("array"):
+                samples = "NULL::VARCHAR[]"
+            told = DESCRIBED_COLUMNS.get(table, {}).get(name)
             parts.append(
-                f"""SELECT '{table}' AS table_name, {i}::INT AS position, '{name}' AS column_name, '{kind}' AS type, {str(name in primary).lower()} AS is_pk,
-  {key} AS fk, (SELECT count(*) FROM {table}) AS row_count, (SELECT count({name}) FROM {table}) AS non_null, {samples} AS samples"""
+                f"""SELECT '{table}' AS table_name, {text(DESCRIBED.get(table))}::VARCHAR AS table_description, {i}::BIGINT AS position,
+  '{name}' AS column_name, '{kind}' AS type, {str(name in primary).lower()} AS is_pk, {text(foreign.get(name))}::VARCHAR AS fk,
+  {str(name not in primary).lower()} AS nullable, {text(told)}::VARCHAR AS description,
+  (SELECT count(*) FROM {table}) AS row_count, (SELECT count({name}) FROM {table}) AS non_null, {samples} AS samples"""
             )
     return "profile AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -507,12 +545,20 @@ def profile_sql() -> str:
 def profile(t):
     out = None
     for name, (_, primary, foreign) in PROFILED.items():
-        one = rel.profile_table(name, getattr(t, name), primary, foreign)
+        one = rel.profile_table(
+            name,
+            getattr(t, name),
+            primary,
+            foreign,
+            not_null=primary,
+            description=DESCRIBED.get(name),
+            column_descriptions=DESCRIBED_COLUMNS.get(name),
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("profile_schema", f"WITH {profile_sql()} SELECT * REPLACE (position::BIGINT AS position) FROM profile")
+@query("profile_schema", f"WITH {profile_sql()} SELECT * REPLACE (array_to_string(samples, ', ') AS samples) FROM profile")
 def profile_schema(t):
     return profile(t).withColumns(
         {
@@ -522,22 +568,24 @@ def profile_schema(t):
     )
 
 
+LINE = """'  ' || column_name || ' (' || type || ')' || CASE WHEN is_pk THEN ' PK' ELSE '' END || coalesce(' FK→' || fk, '')"""
+
+
 @query(
     "schema_text",
-    f"""WITH {profile_sql()}, lines AS (SELECT table_name, row_count, position, '  ' || column_name || ' (' || type || ')' || CASE WHEN is_pk THEN ' PK' ELSE '' END ||
-  coalesce(' FK→' || fk, '') || coalesce(' [e.g., ' || array_to_string(string_split(samples, ', ')[1:3], ', ') || ']', '') AS line FROM profile)
-SELECT table_name, 'TABLE ' || table_name || chr(10) || string_agg(line, chr(10) ORDER BY position) || chr(10) || '  (~' || max(row_count) || ' rows)' AS text
+    f"""WITH {profile_sql()}, lines AS (SELECT *, {LINE} || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END ||
+  coalesce(' -- ' || description, '') || coalesce(' [e.g., ' || array_to_string(samples[1:3], ', ') || ']', '') AS line FROM profile)
+SELECT table_name, 'TABLE ' || table_name || coalesce(chr(10) || '  -- ' || max(table_description), '') || chr(10) ||
+  string_agg(line, chr(10) ORDER BY position) ||
+  coalesce(chr(10) || '  FOREIGN KEYS: ' || string_agg(column_name || '→' || fk, ', ' ORDER BY position) FILTER (WHERE fk IS NOT NULL), '') ||
+  chr(10) || '  (~' || max(row_count) || ' rows)' AS text
 FROM lines GROUP BY table_name""",
 )
 def schema_text(t):
     return rel.schema_text(profile(t))
 
 
-@query(
-    "schema_lines_for_router",
-    f"""WITH {profile_sql()} SELECT table_name, position::BIGINT AS position, '  ' || column_name || ' (' || type || ')' || CASE WHEN is_pk THEN ' PK' ELSE '' END ||
-  coalesce(' FK→' || fk, '') AS line FROM profile""",
-)
+@query("schema_lines_for_router", f"WITH {profile_sql()} SELECT table_name, position, {LINE} AS line FROM profile")
 def schema_lines_for_router(t):
     return rel.schema_lines_for_router(profile(t)).withColumn("position", F.col("position").cast("bigint"))
 

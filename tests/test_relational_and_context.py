@@ -105,7 +105,7 @@ def test_profile_and_schema_text(spark):
     assert got["name"]["samples"] == ["a", "b"] and got["name"]["non_null"] == 2 and got["id"]["is_pk"]
     assert got["price"]["samples"] == ["1.500000", "2.500000"]
     assert rel.schema_text(profile).first()["text"] == (
-        "TABLE items\n  id (int) PK [e.g., 1, 2]\n  name (string) FK→names.name [e.g., a, b]\n  price (double) [e.g., 1.500000, 2.500000]\n  (~3 rows)"
+        "TABLE items\n  id (int) PK [e.g., 1, 2]\n  name (string) FK→names.name [e.g., a, b]\n  price (double) [e.g., 1.500000, 2.500000]\n  FOREIGN KEYS: name→names.name\n  (~3 rows)"
     )
 
 
