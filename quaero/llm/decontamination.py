@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import whole_text
+from quaero.llm.common import lean, whole_text
 from quaero.llm.words import hashed_shingles, hashed_words, shingles
 
 SHINGLE = 5
@@ -180,6 +180,7 @@ MATCHES = "array<struct<item_id:long,first_word:long,n_words:long,similarity:dou
 
 def _search(block: Broadcast):
     @F.pandas_udf(MATCHES)
+    @lean
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         items = Items(*block.value)
         names = ("item_id", "first_word", "n_words", "similarity")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.llm.common import whole_text
+from quaero.llm.common import lean, whole_text
 
 UNDETERMINED = "und"
 N_GRAM_BITS = 1 << 15
@@ -116,6 +116,7 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model:
 def _bits(df: DataFrame) -> DataFrame:
     """``<_lang, _rank, _row>``: the packed n-gram bits of ``_text``, a fixed number of bytes a row."""
 
+    @lean
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -180,6 +181,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         packed = df.sparkSession.sparkContext.broadcast((model.languages, bits, model.weights, held, model.least))
 
     @F.pandas_udf("lang string, score double, known double")
+    @lean
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if packed is not None:
             languages, bits, weights, held, least = packed.value

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.llm.common import cut_lineage, fresh_name, whole_text
+from quaero.llm.common import cut_lineage, fresh_name, lean, whole_text
 from quaero.llm.components import connected_components
 from quaero.llm.words import hashed_shingles, mix
 
@@ -43,7 +43,7 @@ SAMPLE_ROWS = 8_192  # documents that common shingles are counted in
 COMMON_SHARE = 0.005  # ... in so many of them or more
 SKETCH = 16  # 64-bit words of a set's odd sketch
 SLICE_ROWS = 500  # texts whose sets are held in a task's memory together
-ROUNDS = 2  # of meeting the best connected classes before the rest is met pair by pair
+ROUNDS = 1  # of meeting the best connected classes before the rest is met pair by pair
 CENTRES = 2  # ... so many of them a round
 BROADCAST_ROWS = 1_000_000  # ids (8 bytes each) that may be shipped to all tasks
 _SEGMENT = np.uint64(0xD6E8FEB86659FD93)  # fixed value: tells segments of different bands apart
@@ -128,6 +128,7 @@ def class_of(tokens: np.ndarray) -> int:
 def _described(rows: DataFrame, size: int) -> DataFrame:
     """``<_id, _key, _n, _class, _odd>``: a document's set in short; no class without a shingle."""
 
+    @lean
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, classes, sketches = [], [], []
@@ -158,6 +159,7 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
     every = max(1, rows.count() // SAMPLE_ROWS)
     sample = rows.select("_text").where(F.pmod(F.xxhash64("_text"), F.lit(every)) == 0).limit(SAMPLE_ROWS)
 
+    @lean
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for sh in hashed_shingles(batch["_text"], size):
@@ -175,6 +177,7 @@ def _keys(rows: DataFrame, size: int, percent: int, common: np.ndarray) -> DataF
     """``<_key, _class>``: the index keys of each class, once in each task that meets it."""
     shipped = rows.sparkSession.sparkContext.broadcast(common)
 
+    @lean
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for texts in _slices(b["_text"] for b in batches):
@@ -203,6 +206,7 @@ def _slices(columns: Iterator) -> Iterator:
 def _tokens(rows: DataFrame, size: int) -> DataFrame:
     """``<_class, _tokens>``: the sets themselves."""
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _slices(b.column(0) for b in batches):
             sets = [np.unique(sh) for sh in hashed_shingles(texts.to_pylist(), size)]

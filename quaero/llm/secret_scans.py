@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import whole_text
+from quaero.llm.common import lean, whole_text
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 8.0  # a value of a credential context that costs more is a secret
@@ -207,6 +207,7 @@ def secret_spans(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
+    @lean
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([[dict(zip(("kind", "start", "end"), s)) for s in find_spans(t)] for t in texts], dtype=object)
@@ -229,6 +230,7 @@ def mask_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns, with the secrets in ``text`` masked; a null text stays null."""
 
     @F.pandas_udf("string")
+    @lean
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: None if t is None else masked(t))
