@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.llm.common import lean
 from quaero.llm.words import mix
 
 SAMPLES = 2
@@ -69,7 +70,16 @@ class Model:
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
         ]
         self.longest = max(len(self.pieces[i]) for i in plain)
-        hashes = np.array([self.hash(self.pieces[i]) for i in plain], dtype=np.uint64)
+        lengths = np.array([len(self.pieces[i]) for i in plain])
+        codes = np.zeros((len(plain), self.longest), dtype=np.uint64)
+        inside = np.arange(self.longest) < lengths[:, None]
+        codes[inside] = np.frombuffer("".join(self.pieces[i] for i in plain).encode("utf-32-le"), dtype=np.uint32)
+        hashes, h = np.zeros(len(plain), dtype=np.uint64), np.zeros(len(plain), dtype=np.uint64)
+        self.prefixes = np.zeros(1 << 22, dtype=bool)  # runs that a longer piece begins with, by hash
+        for size in range(1, self.longest + 1):
+            h = self.extend(h, codes[:, size - 1])
+            hashes[lengths == size] = mix(h[lengths == size])
+            self.prefixes[(mix(h[lengths > size]) >> np.uint64(42)).astype(np.int64)] = True
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(plain, dtype=np.int32)[order]
         # the rank of a piece stands for its frequency: weight by Zipf's law
@@ -84,11 +94,9 @@ class Model:
     def extend(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(32))) * _STEP + codes
 
-    def hash(self, piece: str) -> int:
-        h = np.zeros(1, dtype=np.uint64)
-        for c in piece:
-            h = self.extend(h, np.array([ord(c)], dtype=np.uint64))
-        return int(mix(h)[0])
+    def begins(self, h: np.ndarray) -> np.ndarray:
+        """Which hashed runs may begin a longer piece (a few more than do)."""
+        return self.prefixes[(mix(h) >> np.uint64(42)).astype(np.int64)]
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: no piece) and weights of hashed character runs."""
@@ -193,39 +201,48 @@ class Lattices:
 
     def _lay_out(self, units: list[str], lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         """Forward pass over units of about one length: edges by row, and what they hold."""
-        n = int(lengths[-1])
-        model, width = self.model, min(self.model.longest, n)
+        n, model = int(lengths[-1]), self.model
         codes = np.zeros((len(units), n), dtype=np.uint64)
-        inside = np.arange(n) < lengths[:, None]
-        codes[inside] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        total = np.zeros((len(units), n + 1), dtype=np.float64)
-        scores = np.full((len(units), n + 1, width), -np.inf, dtype=np.float32)  # by end position
-        found = np.full((len(units), n + 1, width), -1, dtype=np.int32)
-        h = np.zeros_like(codes)
-        for size in range(1, width + 1):  # all runs of one size at once
-            h = model.extend(h[:, : n - size + 1], codes[:, size - 1 :])
-            ids, weights = model.look_up(h.ravel())
-            ids, weights = ids.reshape(h.shape), weights.reshape(h.shape)
+        codes[np.arange(n) < lengths[:, None]] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = codes.ravel()
+        ends = np.repeat(np.arange(len(units)) * n + lengths, lengths)  # behind each unit's last character
+        at = ends - 1 - (np.arange(len(ends)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        h, edges = np.zeros(len(at), dtype=np.uint64), []
+        for size in range(1, model.longest + 1):  # all runs of one size at once, as long as they begin a piece
+            h = model.extend(h, codes[at + size - 1])
+            ids, weights = model.look_up(h)
             if size == 1 and (ids < 0).any():  # characters without a piece are spelled in bytes
                 odd = ids < 0
-                c = codes[odd]
+                c = codes[at[odd]]
                 weights[odd] = model.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
                 spelled = -2 - c.astype(np.int32)
-                ids[odd] = np.where(c < 0x80, self.model.byte_ids[np.minimum(c, 0x7F).astype(np.int64)], spelled)
-                weights[~inside] = 0  # whatever keeps the sums behind the end finite
-            found[:, size:, size - 1] = ids
-            scores[:, size:, size - 1] = weights
+                ids[odd] = np.where(c < 0x80, model.byte_ids[np.minimum(c, 0x7F).astype(np.int64)], spelled)
+            real = ids != -1
+            edges.append((at[real], ids[real], weights[real]))
+            going = model.begins(h) & (at + size < ends)
+            if not going.any():
+                break
+            at, ends, h = at[going], ends[going], h[going]
+        width = len(edges)
+        total = np.zeros((len(units), n + 1), dtype=np.float64)
+        scores = np.full((len(units), n + 1, width), -np.inf, dtype=np.float32)  # by end position
+        found = np.full((len(units), n + 1, width), -1, dtype=np.int32)
+        for size, (first, ids, weights) in enumerate(edges, 1):
+            unit, start = first // n, first % n
+            found[unit, start + size, size - 1] = ids
+            scores[unit, start + size, size - 1] = weights
         many = np.zeros((len(units), n + 1))
         many[:, 0] = 1
-        for end in range(1, n + 1):
-            sizes = min(width, end)
-            there = found[:, end, :sizes] != -1
-            many[:, end] = np.minimum((there * many[:, end - sizes : end][:, ::-1]).sum(1), 1e300)
-            s = scores[:, end, :sizes]
-            s += total[:, end - sizes : end][:, ::-1].astype(np.float32)
-            top = s.max(1)
-            total[:, end] = top + np.log(np.exp(s - top[:, None]).sum(1))
-            s -= total[:, end][:, None].astype(np.float32)
+        with np.errstate(divide="ignore", invalid="ignore"):  # behind the end of a shorter unit
+            for end in range(1, n + 1):
+                sizes = min(width, end)
+                there = found[:, end, :sizes] != -1
+                many[:, end] = np.minimum((there * many[:, end - sizes : end][:, ::-1]).sum(1), 1e300)
+                s = scores[:, end, :sizes]
+                s += total[:, end - sizes : end][:, ::-1].astype(np.float32)
+                top = s.max(1)
+                total[:, end] = top + np.log(np.exp(s - top[:, None]).sum(1))
+                s -= total[:, end][:, None].astype(np.float32)
         real = np.arange(n + 1) <= lengths[:, None]
         edges = (found != -1) & real[:, :, None]
         counts = edges.sum(2)[real]
@@ -531,6 +548,7 @@ def sample_segmentations(
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, _text string, segmentations {SEGMENTATIONS}, round_trip boolean"
 
+    @lean
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
