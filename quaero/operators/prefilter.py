@@ -1,22 +1,29 @@
 """Find known metadata values in questions: substring, then word overlap, then fuzzy windows.
 
 ``questions<query_id, text>`` and ``values<value>``; a match is ``<query_id, value, score>``.
-Candidates come from equi joins on words or word endings, never from all pairs.
+Candidates come from equi joins on words, word endings, character runs or letters, never from all pairs.
+
+The fuzzy tier compares a value with windows of a question by their matching blocks. What a wanted
+similarity says of these blocks makes an index that loses no pair (:func:`run_plan`): few characters
+may be left over, few left over means few blocks, and few blocks means that one of any so many
+character runs of the value stands in the question. The rarest runs of each value are its keys.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.functions import text as tx
 from quaero.operators.blocks import apply_blocks
-from quaero.operators.sizing import lookup_join
+from quaero.operators.sizing import lookup_join, materialise
 from quaero.options import PrefilterOptions
 
 _SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -108,48 +115,78 @@ def match_token_overlap(questions: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
+LONGEST_RUN = 6  # characters of a run that values and questions are met on
+
+
+def run_plan(length: int, wanted: float, slack: int) -> tuple[int, int]:
+    """``(size, runs)``: of any so many runs of ``size`` characters of the value one is in the question.
+
+    A window of w characters whose similarity to the value is ``wanted`` or more has M >= wanted *
+    (length + w) / 2 characters in matching blocks. Between two blocks at least one character of either
+    side is left over, so there are at most 1 + length + w - 2M blocks, and each holds all but size - 1
+    of its characters as starts of runs. ``(0, 0)``: no window can be that similar. ``(1, n)``: only
+    letters can be told, of any n of the value (counting repeats) one is in the window.
+    """
+    shortest = max(1, math.ceil(wanted * length / (2 - wanted) - 1e-9)) if wanted < 2 else length + slack + 1
+    matched = {w: max(1, math.ceil(wanted * (length + w) / 2 - 1e-9)) for w in range(min(shortest, length), length + slack + 1)}
+    matched = {w: m for w, m in matched.items() if m <= min(w, length)}
+    if not matched:
+        return 0, 0
+    for size in range(min(LONGEST_RUN, length), 1, -1):
+        kept = min(m - (1 + length + w - 2 * m) * (size - 1) for w, m in matched.items())
+        if kept >= 1:
+            return size, length - size + 1 - kept + 1
+    return 1, length - min(matched.values()) + 1
+
+
+def letter_tokens(text: str) -> list[str]:
+    """Each letter with how often it has stood there, so that sets of tokens count repeats."""
+    seen: Counter[str] = Counter()
+    out = []
+    for c in text:
+        seen[c] += 1
+        out.append(f"{c}{seen[c]}")
+    return out
+
+
+def _best_ratio(value: str, text: str, floor: float, slack: int) -> float:
+    """Highest similarity of the value to a window; windows that cannot win are ruled out by letter counts."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    starts = np.arange(max(1, len(text) - len(value) + 1))
+    width = len(value) + slack
+    ends = np.minimum(starts + width, len(codes))
+    bounds = np.zeros(len(starts), dtype=np.int64)
+    for letter in set(value):
+        seen = np.concatenate([[0], np.cumsum(codes == ord(letter))])
+        bounds += np.minimum(value.count(letter), seen[ends] - seen[starts])
+    bounds = 2.0 * bounds / (len(value) + ends - starts)
+    best = 0.0
+    for at in np.argsort(-bounds, kind="stable"):
+        if bounds[at] < floor or bounds[at] <= best:
+            break
+        start = int(starts[at])
+        best = max(best, SequenceMatcher(None, value, text[start : start + width]).ratio())
+    return best
+
+
+def _damping(words: Sequence[str], asked: Sequence[str], options: PrefilterOptions) -> float:
+    known = set(asked)
+    few = len(words) >= 2 and sum(w in known for w in words) < 2
+    return options.single_overlap_damping if few else 1.0
+
+
 def _fuzzy_kernel(options: PrefilterOptions):
-    """Best fuzzy value per question; windows that cannot win are ruled out by letter counts."""
-
-    def windows_bound(value: str, text: str, starts: np.ndarray, width: int) -> np.ndarray:
-        """Upper bound of matching letters per window: common letters counted with repeats."""
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        ends = np.minimum(starts + width, len(codes))
-        bound = np.zeros(len(starts), dtype=np.int64)
-        for letter in set(value):
-            seen = np.concatenate([[0], np.cumsum(codes == ord(letter))])
-            bound += np.minimum(value.count(letter), seen[ends] - seen[starts])
-        return 2.0 * bound / (len(value) + ends - starts)
-
-    def best_ratio(value: str, text: str, floor: float) -> float:
-        starts = np.arange(max(1, len(text) - len(value) + 1))
-        width = len(value) + options.window_slack
-        bounds = windows_bound(value, text, starts, width)
-        best = 0.0
-        for at in np.argsort(-bounds, kind="stable"):
-            if bounds[at] < floor or bounds[at] <= best:
-                break
-            start = int(starts[at])
-            best = max(best, SequenceMatcher(None, value, text[start : start + width]).ratio())
-        return best
+    """Best fuzzy value per question, for values that no run or letter rules out."""
 
     def run(frames: Iterator[pd.DataFrame], values: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        known = [
-            (value, norm, list(words))
-            for value, norm, words in sorted(
-                zip(values["value"], values["norm"], values["words"]), key=lambda v: v[0]
-            )
-            if len(norm) >= options.min_fuzzy_length
-        ]
+        known = sorted(zip(values["value"], values["norm"], values["words"]), key=lambda v: v[0])
         for frame in frames:
             out = []
-            for query_id, text, words in zip(frame["query_id"], frame["norm"], frame["words"]):
-                asked, best, found = set(words), 0.0, None
-                for value, norm, value_words in known:
-                    few = len(value_words) >= 2 and sum(w in asked for w in value_words) < 2
-                    factor = options.single_overlap_damping if few else 1.0
-                    floor = max(options.threshold, best) / factor
-                    score = factor * best_ratio(norm, text, floor)
+            for query_id, text, asked in zip(frame["query_id"], frame["norm"], frame["words"]):
+                best, found = 0.0, None
+                for value, norm, words in known:
+                    factor = _damping(words, asked, options)
+                    score = factor * _best_ratio(norm, text, max(options.threshold, best) / factor, options.window_slack)
                     if score > best and score >= options.threshold:
                         best, found = score, value
                 if found is not None:
@@ -159,20 +196,133 @@ def _fuzzy_kernel(options: PrefilterOptions):
     return run
 
 
+def _value_runs(known: DataFrame, options: PrefilterOptions) -> DataFrame:
+    """``<value, several, size, needed, key>``: runs of the values of two and more words, all letters of the others.
+
+    ``needed``: so many of the value's keys, the rarest, are enough. A value that nothing can be told
+    of has the key null; one that no window can be similar enough to has no row.
+    """
+    several_wanted = options.threshold / options.single_overlap_damping if options.single_overlap_damping else math.inf
+
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for value, norm, words in zip(frame["value"], frame["norm"], frame["words"]):
+                several = len(words) >= 2
+                wanted = several_wanted if several else options.threshold
+                size, needed = run_plan(len(norm), wanted, options.window_slack) if wanted <= 1 else (0, 0)
+                if size > 1 and needed <= len(norm) - size + 1:
+                    rows += [(value, size, needed, norm[i : i + size]) for i in range(len(norm) - size + 1)]
+                elif size and needed < len(norm):
+                    # one letter more than is needed: two of them are there, and both are the key
+                    rows += [(value, 1, needed + 1, t) for t in letter_tokens(norm)]
+                elif size:
+                    rows.append((value, 0, 0, None))
+            yield pd.DataFrame(rows, columns=["value", "size", "needed", "key"])
+
+    return known.mapInPandas(emit, "value string, size int, needed int, key string")
+
+
+def fuzzy_candidates(
+    asked: DataFrame, known: DataFrame, options: PrefilterOptions = PrefilterOptions()
+) -> tuple[DataFrame, DataFrame]:
+    """``(<query_id, value>, <value>)``: all pairs that can be similar enough, and values without an index.
+
+    ``asked<query_id, norm, words>``, ``known<value, norm, words>``. A value of several words two of
+    which are in the question meets it on these words. Without them its similarity is damped, so
+    it must be all but equal, and long runs of it must be there. Values of one word are met on pairs
+    of their rarest letters.
+    """
+    several = known.filter(F.size("words") >= 2)
+    per_word = several.select("value", F.explode("words").alias("word")).groupBy("value", "word").agg(F.count("*").alias("times"))
+    words = asked.select("query_id", F.explode("words").alias("word")).distinct()
+    by_words = (
+        lookup_join(words, per_word, ["word"])
+        .groupBy("query_id", "value")
+        .agg(F.sum("times").alias("n"))
+        .filter("n >= 2")
+        .select("query_id", "value")
+    )
+
+    keys = materialise(_value_runs(known, options))
+    indexed = keys.dropna(subset=["key"])
+    counts = indexed.groupBy("key", "size").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("value").orderBy("often", "key")
+    chosen = materialise(
+        lookup_join(indexed, counts, ["key", "size"])
+        .withColumn("place", F.row_number().over(rarest))
+        .filter(F.col("place") <= F.col("needed"))
+    )
+    sizes = sorted(r["size"] for r in chosen.select("size").distinct().collect())  # 1 to LONGEST_RUN
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for query_id, norm in zip(frame["query_id"], frame["norm"]):
+                for size in sizes:
+                    if size > 1:
+                        found = {norm[i : i + size] for i in range(len(norm) - size + 1)}
+                    else:
+                        found = set(letter_tokens(norm))
+                    rows += [(query_id, size, key) for key in found]
+            yield pd.DataFrame(rows, columns=["query_id", "size", "key"])
+
+    said = asked.select("query_id", "norm").mapInPandas(runs, "query_id long, size int, key string")
+    by_runs = lookup_join(said.filter("size > 1"), chosen.filter("size > 1").select("value", "size", "key"), ["size", "key"])
+
+    # letters: only those that are a key of some value; two of them make the key
+    letters = chosen.filter("size = 1").select("value", "key")
+    useful = lookup_join(said.filter("size = 1").drop("size"), letters.select("key").distinct(), ["key"], "left_semi")
+    pairs = []
+    for side, name in ((letters, "value"), (useful, "query_id")):
+        listed = side.groupBy(name).agg(F.sort_array(F.collect_set("key")).alias("keys"))  # letters of one text
+        first = listed.select(name, "keys", F.posexplode("keys").alias("at", "one"))
+        both = F.explode(F.slice("keys", F.col("at") + 2, F.greatest(F.size("keys") - F.col("at") - 1, F.lit(0))))
+        pairs.append(first.select(name, "one", both.alias("two")))
+    by_letters = lookup_join(pairs[1], pairs[0], ["one", "two"])
+
+    columns = ["query_id", "value"]
+    found = by_words.unionByName(by_runs.select(columns)).unionByName(by_letters.select(columns)).distinct()
+    return found, keys.filter(F.col("key").isNull()).select("value").distinct()
+
+
 def match_fuzzy_window(
     questions: DataFrame, values: DataFrame, options: PrefilterOptions = PrefilterOptions()
 ) -> DataFrame:
     """Best value per question by sequence similarity over sliding windows, if above threshold.
 
-    The similarity has no join key, so the value list meets every question: shipped to the tasks
-    if counted as small, block by block otherwise.
+    Only the pairs of :func:`fuzzy_candidates` are compared. Values that the threshold leaves without
+    an index (a very low one) meet every question, block by block.
     """
-    asked = normal_questions(questions).withColumn(
-        "words", tx.expand_numerals(tx.significant_tokens(F.col("norm")))
+    asked = materialise(
+        normal_questions(questions).withColumn("words", tx.expand_numerals(tx.significant_tokens(F.col("norm"))))
+    )
+    known = materialise(
+        known_values(values)
+        .withColumn("words", tx.significant_tokens(F.col("norm")))
+        .filter(F.length("norm") >= options.min_fuzzy_length)
     )
-    known = known_values(values).withColumn("words", tx.significant_tokens(F.col("norm")))
-    found = apply_blocks(asked, known, _fuzzy_kernel(options), MATCH_SCHEMA)
-    return best_match(found)
+    pairs, others = fuzzy_candidates(asked, known, options)
+    named = lookup_join(pairs, known.withColumnsRenamed({"norm": "value_norm", "words": "value_words"}), ["value"])
+    paired = lookup_join(named, asked, ["query_id"])
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for query_id, value, norm, text, words, said in zip(
+                *(frame[c] for c in ("query_id", "value", "value_norm", "norm", "value_words", "words"))
+            ):
+                factor = _damping(words, said, options)
+                score = factor * _best_ratio(norm, text, options.threshold / factor, options.window_slack)
+                if score >= options.threshold:
+                    rows.append((query_id, value, score))
+            yield pd.DataFrame(rows, columns=["query_id", "value", "score"])
+
+    columns = ("query_id", "value", "value_norm", "norm", "value_words", "words")
+    found = paired.select(*columns).mapInPandas(compare, MATCH_SCHEMA)
+    left = others.join(known, "value")
+    rest = apply_blocks(asked, left, _fuzzy_kernel(options), MATCH_SCHEMA)
+    return best_match(found.unionByName(rest))
 
 
 def best_match(matches: DataFrame) -> DataFrame:

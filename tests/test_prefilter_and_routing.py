@@ -8,7 +8,7 @@ from quaero.fixed_values import STOPWORDS
 from quaero.functions.text import normalise_literal
 from quaero.operators import prefilter as pf
 from quaero.operators import routing as rt
-from quaero.options import RouterOptions
+from quaero.options import PrefilterOptions, RouterOptions
 
 VALUES = ["Software I", "Software II", "Diseño de Bases", "Redes", "c++", "Álgebra lineal", "!!"]
 QUESTIONS = {
@@ -205,3 +205,64 @@ def test_empty_result_fallback(spark):
     assert got["try_hybrid"][1] == ("hybrid", "structured,unstructured")
     with pytest.raises(ValueError):
         rt.empty_result_fallback(routes, tables, docs, "try_sql")
+
+
+def test_run_plan_loses_no_window():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    met = 0
+    for _ in range(6000):
+        m = rng.randrange(4, 30)
+        value = "".join(rng.choice("abcde f") for _ in range(m))
+        window = list(value)
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(len(window) + 1)
+            if rng.random() < 0.5 and len(window) > 2:
+                del window[min(at, len(window) - 1)]
+            else:
+                window.insert(at, rng.choice("abcdefgh"))
+        window = "".join(window)
+        if not window or len(window) > m + 5:
+            continue
+        ratio = SequenceMatcher(None, value, window).ratio()
+        for wanted in (0.5, 0.65, 0.8, 0.93):
+            if ratio < wanted:
+                continue
+            size, needed = pf.run_plan(m, wanted, 5)
+            assert size >= 1
+            if size > 1:
+                met += 1
+                gone = sum(value[i : i + size] not in window for i in range(m - size + 1))
+            else:
+                gone = len(set(pf.letter_tokens(value)) - set(pf.letter_tokens(window)))
+            assert gone < needed
+    assert met > 500
+    assert pf.run_plan(4, 1.2, 5) == (0, 0)
+
+
+@pytest.mark.parametrize("options", [PrefilterOptions(), PrefilterOptions(threshold=0.8), PrefilterOptions(threshold=0.4), PrefilterOptions(threshold=0.05)])
+def test_fuzzy_candidates_against_all_pairs(spark, options):
+    import random
+
+    rng = random.Random(int(options.threshold * 100))
+    vocabulary = ["copper", "bolt", "nut", "steel", "washer", "zinc", "long", "short", "blue", "screw", "x9", "plate"]
+    values = sorted({" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 4))) for _ in range(40)})
+    texts = []
+    for _ in range(30):
+        t = list("find the " * rng.randrange(2) + rng.choice(values) + " please" * rng.randrange(2))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice("abcxyz")
+        texts.append("".join(t))
+    texts += ["", "b", "qqqq wwww"]
+    questions = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    frame = spark.createDataFrame([(v,) for v in values], "value string")
+    got = {r["query_id"]: (r["value"], round(r["score"], 9)) for r in pf.match_fuzzy_window(questions, frame, options).collect()}
+    for i, text in enumerate(texts):
+        assert got.get(i) == fuzzy_brute(text, [v for v in values if len(v) > 3], threshold=options.threshold), text
+    asked = pf.normal_questions(questions).withColumn("words", pf.tx.expand_numerals(pf.tx.significant_tokens(F.col("norm"))))
+    known = pf.known_values(frame).withColumn("words", pf.tx.significant_tokens(F.col("norm"))).filter(F.length("norm") >= 4)
+    pairs, others = pf.fuzzy_candidates(asked, known, options)
+    if options.threshold >= 0.65:
+        assert others.count() == 0 and pairs.count() < 0.6 * len(texts) * known.count()
