@@ -240,7 +240,32 @@ def fixed_chunks(t, options=SMALL_CHUNKS):
     return ch.chunk_fixed(t.documents.select("doc_id", "text"), options)
 
 
-@query("chunk_fixed")
+BLANKS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def packed_sql(size: int, overlap: int) -> str:
+    """Sentences packed to chunks: a walk from chunk to chunk over the places where pieces start and stop."""
+    cut = f"list_transform(range(0, length(w), {size}), lambda k: substr(w, k::INT + 1, {size}))"
+    words = r"regexp_extract_all(x, '\s*\S+\s*')"
+    return rf"""
+sentences AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '[^.!?\n]*(?:[.!?\n]+\s*|$)'), lambda x: x <> '') AS s
+  FROM documents WHERE text <> ''),
+pieces AS (SELECT doc_id, text, flatten(list_transform(s, lambda x: CASE WHEN length(x) <= {size} THEN [x]
+  ELSE flatten(list_transform(CASE WHEN len({words}) > 0 THEN {words} ELSE [x] END, lambda w: {cut})) END)) AS p FROM sentences),
+placed AS (SELECT doc_id, i, length(x) AS n, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+  FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM pieces)),
+places AS (SELECT doc_id, list(stop - n ORDER BY i) AS starts, list(stop ORDER BY i) AS stops FROM placed GROUP BY doc_id),
+walk AS (SELECT doc_id, 0 AS k, 1::BIGINT AS first, starts, stops, len(list_filter(stops, lambda x: x <= {size})) + 1 AS j FROM places
+  UNION ALL SELECT doc_id, k + 1, f, starts, stops, len(list_filter(stops, lambda x: x <= starts[f] + {size})) + 1
+  FROM (SELECT *, len(list_filter(starts, lambda x: x < greatest(starts[j] - {overlap}, stops[j] - {size}))) + 1 AS f
+    FROM walk WHERE j <= len(stops))),
+cuts AS (SELECT w.doc_id, k, trim(substr(text, starts[first]::INT + 1, (coalesce(starts[j], stops[-1]) - starts[first])::INT), {BLANKS}) AS content
+  FROM walk w JOIN pieces p ON p.doc_id = w.doc_id),
+packed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, content, length(content) // 4 AS tokens
+  FROM cuts WHERE content <> '')"""
+
+
+@query("chunk_fixed", f"WITH RECURSIVE {packed_sql(512, 64)} SELECT doc_id, chunk_index, content, tokens FROM packed")
 def chunk_fixed(t):
     return fixed_chunks(t)
 
