@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions import text as tx
+from quaero.operators.sizing import lookup_join, running_sum
 from quaero.options import ChunkOptions
 
 SPANS = "array<struct<start:int,stop:int>>"
@@ -233,3 +234,16 @@ def extract_heading(text: Column) -> Column:
         )
 
     return F.aggregate(lines, start, step, lambda s: s["heading"])
+
+
+def number_chunks(chunks: DataFrame, key: str = "file_id") -> DataFrame:
+    """Add ``corpus_index``: the position of each chunk in the corpus, documents in order of an integer key.
+
+    Works for the chunks of any chunker: only one count per document is put in order, by sums over
+    blocks, and no chunk moves but to meet its document's start.
+    """
+    sizes = chunks.groupBy(key).agg(F.count("*").alias("_n"))
+    running = running_sum(sizes, [], key, "_n", "_upto")
+    starts = running.select(key, (F.col("_upto") - F.col("_n")).alias("_start"))
+    numbered = lookup_join(chunks, starts, [key])
+    return numbered.withColumn("corpus_index", F.col("_start") + F.col("chunk_index")).drop("_start")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quaero.functions import text as tx
@@ -124,3 +124,20 @@ def pseudonymise(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return replaced.withColumn(
         column, F.coalesce("fake", F.col(column).cast("string"))
     ).drop("real", "fake")
+
+
+def pseudonymise_counted(df: DataFrame, column: str, mapping: DataFrame) -> tuple[DataFrame, Observation]:
+    """The replaced frame, and what an action over it has seen: ``rows``, ``touched``, ``unknown``.
+
+    Counts come from the pass that writes the frame, whatever that is; ``unknown`` values are neither
+    blank nor in the mapping and stay as they are.
+    """
+    seen = Observation()
+    keyed = df.withColumn("real", _clean(F.col(column)))
+    replaced = lookup_join(keyed, mapping, ["real"], "left").observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.count("fake").alias("touched"),
+        F.count_if(F.col("real").isNotNull() & F.col("fake").isNull()).alias("unknown"),
+    )
+    return replaced.withColumn(column, F.coalesce("fake", F.col(column).cast("string"))).drop("real", "fake"), seen

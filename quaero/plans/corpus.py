@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quaero.functions import text as tx
 from quaero.operators import chunking as ch
 from quaero.operators import metadata as md
+from quaero.operators import packing
 from quaero.operators.sizing import lookup_join, running_sum, shared_folder
 from quaero.options import ChunkOptions
 from quaero.plans.registry import query
@@ -212,6 +213,33 @@ def import_records_dedup(t):
 # -- chunking ---------------------------------------------------------------------------------
 
 
+@query("import_records_unique", """SELECT DISTINCT lang AS "contentType", text FROM documents""")
+def import_records_unique(t):
+    return files.unique_records(t.documents.select(F.col("lang").alias("contentType"), "text"))
+
+
+@query(
+    "read_with_failures",
+    """SELECT sum(length(text) + 1)::BIGINT AS chars, 'not UTF-8' AS reason, true AS adds_up FROM documents WHERE doc_id % 7 <> 3""",
+)
+def read_with_failures(t):
+    """Every seventh document is written in another encoding: its files appear as failures, the others are read."""
+    path = work_folder(t.spark, "encodings")
+    other = F.pmod("doc_id", F.lit(7)) == 3
+    t.documents.filter(~other).select("text").write.option("maxRecordsPerFile", 50).text(f"{path}/plain")
+    t.documents.filter(other).select("text").write.option("encoding", "UTF-16").json(f"{path}/other")
+    rows, failures = files.read_with_failures(t.spark, path)
+    names = rows.select("file_path", F.lit(None).cast("string").alias("reason")).unionByName(failures.select("file_path", "reason"))
+    listed = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,json}")
+    n = listed.load(path).agg(F.count("*").alias("n"))
+    return (
+        names.agg(F.max("reason").alias("reason"), F.count("*").alias("found"))
+        .join(F.broadcast(n), F.lit(True))
+        .join(F.broadcast(rows.agg(F.sum(F.length("text")).alias("chars"))), F.lit(True))
+        .select("chars", "reason", (F.col("found") == F.col("n")).alias("adds_up"))
+    )
+
+
 @query("estimate_tokens", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
 def estimate_tokens(t):
     return t.documents.select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
@@ -270,6 +298,14 @@ def chunk_fixed(t):
     return fixed_chunks(t)
 
 
+@query("chunk_parts", f"WITH RECURSIVE {packed_sql(512, 64)} SELECT doc_id, chunk_index, content, tokens FROM packed")
+def chunk_parts(t):
+    """The same chunks of documents that come line by line."""
+    lines = F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\n]+\n*|\n+"), F.lit(0)))
+    parts = t.documents.select("doc_id", lines.alias("part", "text"))
+    return packing.chunk_parts(parts, SMALL_CHUNKS)
+
+
 @query(
     "chunk_fixed_invariants",
     """SELECT doc_id, true AS all_within_size, true AS all_in_text FROM documents WHERE trim(text) <> ''""",
@@ -373,16 +409,7 @@ def extract_heading(t):
 )
 def number_chunks(t):
     """Position within the document, and within the corpus through per-document counts."""
-    chunks = document_chunks(t).select("file_id", "chunk_index")
-    # closed form: the number of windows follows from the length, so no chunk is shuffled
-    length = F.length("text")
-    windows = F.when(length > 0, F.floor(F.greatest(length - 201, F.lit(0)) / 3800) + 1).otherwise(0)
-    sizes = t.documents.select(F.col("doc_id").alias("file_id"), windows.alias("n"))
-    running = running_sum(sizes, [], "file_id", "n", "upto")
-    starts = running.select("file_id", (F.col("upto") - F.col("n")).alias("start"))
-    return lookup_join(chunks, starts, ["file_id"]).select(
-        "file_id", "chunk_index", (F.col("start") + F.col("chunk_index")).alias("corpus_index")
-    )
+    return ch.number_chunks(document_chunks(t).select("file_id", "chunk_index"))
 
 
 # -- metadata ---------------------------------------------------------------------------------

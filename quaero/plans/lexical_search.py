@@ -7,6 +7,7 @@ passage is its metadata filter.
 from __future__ import annotations
 
 import uuid
+from functools import cache
 
 from pyspark.sql import functions as F
 
@@ -545,24 +546,34 @@ MEANS = """count(*) AS n_queries, round(avg(hit), 6) AS hit, round(avg(rr), 6) A
 
 
 def ablation_runs(t, configs=ABLATION_CONFIGS, k=10):
-    """Ranked hits per configuration. Each base list is computed once and then only re-weighted."""
+    """Ranked hits per configuration. A base list is computed once, when a configuration asks for it first."""
     asked = questions(t)
-    base_lexical = materialise(lexical_hits(t, k))
-    # texts are embedded once for the plain and the filtered search
-    corpus = materialise(with_vectors(items(t)).select("item_id", "match", "vector"))
-    base_dense = materialise(dense_hits(t, k, corpus=corpus))
-    filtered_dense = materialise(dense_hits(t, k, matched=True, corpus=corpus))
-    filtered_lexical = lexical.keep_matching(base_lexical, items(t), asked, k)
+
+    @cache
+    def corpus():
+        # texts are embedded once for the plain and the filtered search
+        return materialise(with_vectors(items(t)).select("item_id", "match", "vector"))
+
+    @cache
+    def dense_list(filtered):
+        return materialise(dense_hits(t, k, matched=filtered, corpus=corpus()))
+
+    @cache
+    def lexical_list(filtered):
+        if filtered:
+            return lexical.keep_matching(lexical_list(False), items(t), asked, k)
+        return materialise(lexical_hits(t, k))
+
     fused, reranked = {}, {}
     out = None
     for name, use_bm25, use_vector, use_rrf, use_filter, use_rerank, use_grading, alpha in configs:
-        dense_list = filtered_dense if use_filter else base_dense
-        lexical_list = filtered_lexical if use_filter else base_lexical
         if use_rrf:
-            weighted = [(dense_list, alpha), (lexical_list, 1 - alpha)]
-            run = fused.setdefault((use_filter, alpha), fusion.rrf_fuse(weighted, k))
+            if (use_filter, alpha) not in fused:
+                weighted = [(dense_list(use_filter), alpha), (lexical_list(use_filter), 1 - alpha)]
+                fused[use_filter, alpha] = fusion.rrf_fuse(weighted, k)
+            run = fused[use_filter, alpha]
         else:
-            run = dense_list if use_vector else lexical_list
+            run = dense_list(use_filter) if use_vector else lexical_list(use_filter)
         if use_rerank:
             # scoring pairs reads the texts: once per fused list, whoever uses it
             if (use_filter, alpha) not in reranked:

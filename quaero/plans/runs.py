@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quaero.functions.ranks import nearest_rank
 from quaero.operators import behaviour as bh
 from quaero.operators import dataset as st
 from quaero.operators import latency as lt
-from quaero.operators.sizing import materialise, one_row
+from quaero.operators.sizing import materialise, one_row, shared_folder
 from quaero.plans.registry import query
 from quaero.sources import trace
 
@@ -380,6 +382,26 @@ def pseudonymise_ids(t):
     return out
 
 
+@query(
+    "pseudonymised_cells",
+    """SELECT 'customer' AS "table", count(*) AS rows, count(c_custkey) AS touched, 0 AS unknown FROM customer
+UNION ALL SELECT 'orders', count(*), count(o_custkey) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+  count(o_custkey) FILTER (WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) FROM orders
+UNION ALL SELECT 'events', count(*), count(user_id) FILTER (WHERE user_id IN (SELECT c_custkey FROM customer)),
+  count(user_id) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer)) FROM events""",
+)
+def pseudonymised_cells(t):
+    """Cells that a map of the customers' ids touches, counted while the replaced tables are written."""
+    mapping = materialise(st.pseudonym_map([(t.customer, "c_custkey")]))
+    rows = []
+    for name, column in (("customer", "c_custkey"), ("orders", "o_custkey"), ("events", "user_id")):
+        replaced, seen = st.pseudonymise_counted(getattr(t, name), column, mapping)
+        replaced.write.parquet(f"{shared_folder(t.spark)}/pseudonyms-{uuid.uuid4().hex}")
+        got = seen.get
+        rows.append((name, got["rows"], got["touched"], got["unknown"]))
+    return t.spark.createDataFrame(rows, "table string, rows long, touched long, unknown long")
+
+
 @query(
     "retrieved_docs_flat",
     """WITH d AS (SELECT page_id::VARCHAR AS query_id, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda p: p <> '') AS docs FROM pages)

@@ -71,3 +71,21 @@ def stream_ingest_chunks(t):
     flows.ingest_stream(docs, ch.chunk_char_windows, path, path + "-checkpoint").awaitTermination()
     stored = flows.latest_chunks(t.spark, path)
     return stored.groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+
+
+@query(
+    "stream_file_totals",
+    f"WITH {CHUNKS} SELECT file_id, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM chunks GROUP BY file_id",
+)
+def stream_file_totals(t):
+    """Totals of every file, kept by a stream that brings each document twice: the second replaces the first."""
+    folder = work_folder(t.spark, "arrivals")
+    docs = t.documents.select(F.col("doc_id").alias("file_id"), "source", "text")
+    docs.write.parquet(folder)
+    docs.write.mode("append").parquet(folder)
+    path = work_folder(t.spark, "file-totals")
+    stream = t.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 100).parquet(folder)
+    came = F.concat(F.date_format("_metadata.file_modification_time", "yyyyMMddHHmmssSSS"), F.lit(" "), "_metadata.file_name")
+    arrivals = stream.select("*", came.alias("arrived"))
+    flows.run_file_totals(arrivals, ch.chunk_char_windows, path, path + "-checkpoint").awaitTermination()
+    return flows.totals_now(t.spark.read.parquet(path))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quaero.fixed_values import DOCUMENT_EXTENSIONS
+from quaero.operators.sizing import lookup_join
 
 
 def extension(path: Column) -> Column:
@@ -57,6 +58,33 @@ def read_text_documents(spark: SparkSession, folder: str, pattern: str = "*.{txt
     )
 
 
+def read_with_failures(
+    spark: SparkSession, folder: str, pattern: str = "*.{txt,md,json}", max_bytes: int = 1 << 30
+) -> tuple[DataFrame, DataFrame]:
+    """``(<text, file_name, file_path>, <file_name, file_path, reason>)``: every file with any
+    bytes is in one of the two.
+
+    Files are listed without their contents first; the reader lists none of 0 bytes. A file fails if it
+    holds more than ``max_bytes``, anything that is no UTF-8, or if it is listed but cannot be read
+    (gone or broken).
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    listed = source.load(folder).select("path", "length")
+    small = source.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(folder)
+    small = small.filter(F.col("length") <= max_bytes)
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    read = small.select("path", valid.alias("_valid"), F.when(valid, F.col("content").cast("string")).alias("text"))
+    named = [base_name(F.col("path")).alias("file_name"), F.col("path").alias("file_path")]
+    judged = lookup_join(listed, read.select("path", "_valid"), ["path"], "left")
+    reason = (
+        F.when(F.col("length") > max_bytes, "too large")
+        .when(F.col("_valid").isNull(), "cannot be read")
+        .when(~F.col("_valid"), "not UTF-8")
+    )
+    failures = judged.select(*named, reason.alias("reason")).filter("reason IS NOT NULL")
+    return read.filter("_valid").select("text", *named), failures
+
+
 def html_title(page: Column) -> Column:
     return strip_tags(F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))
 
@@ -71,8 +99,25 @@ def html_headings(page: Column) -> Column:
 ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
+#: references that most pages hold no others than; the ampersand comes last, so that none is resolved twice
+FREQUENT = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "\u00a9", "middot": "\u00b7", "amp": "&"}
+RARE = rf"&(?!(?:{'|'.join(FREQUENT)});)" + ENTITY[1:]
+
+
 def resolve_entities(text: Column) -> Column:
-    """Named and numeric character references, each resolved once; unknown ones stay."""
+    """Named and numeric character references, each resolved once; unknown ones stay.
+
+    Texts with frequent references only are a few plain replacements; a table of all names is
+    searched for the others.
+    """
+    plain = text
+    for name, character in FREQUENT.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    rare = F.regexp_like(text, F.lit(RARE))
+    return F.when(text.isNull() | ~F.contains(text, F.lit("&")), text).when(~rare, plain).otherwise(_resolve_any(text))
+
+
+def _resolve_any(text: Column) -> Column:
     known = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
     letters = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
@@ -88,7 +133,7 @@ def resolve_entities(text: Column) -> Column:
     between = F.split(text, ENTITY)
     names = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
     whole = F.zip_with(between, names, lambda t, n: F.concat(t, F.when(n.isNull(), "").otherwise(letter(n))))
-    return F.when(F.contains(text, F.lit("&")), F.concat_ws("", whole)).otherwise(text)
+    return F.concat_ws("", whole)
 
 
 def strip_tags(fragment: Column) -> Column:
@@ -143,6 +188,20 @@ def json_text(documents: pd.Series) -> pd.Series:
     return documents.map(flat)
 
 
+def unique_records(records: DataFrame) -> DataFrame:
+    """The records without exact copies.
+
+    Copies meet on a digest of the whole record, and one row's columns are kept of each; partial
+    aggregation keeps one per task, so a record that is there a million times moves once per task.
+    """
+    digest = F.sha2(F.to_json(F.struct(*records.columns)), 256)
+    return (
+        records.groupBy(digest.alias("_digest"))
+        .agg(F.any_value(F.struct(*records.columns)).alias("_record"))
+        .select("_record.*")
+    )
+
+
 def import_records(records: DataFrame, type_column: str = "contentType") -> DataFrame:
     """Records per type after dropping exact copies.
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -83,3 +84,26 @@ def test_heading_block(spark):
     assert heading(spark, "before\n### Only\n\nafter") == "Only"
     assert heading(spark, "no heading\n#hash") == ""
     assert heading(spark, "\n" .join(["line"] * 20 + ["# late"])) == ""
+
+
+def test_parts_are_packed_like_the_whole_document(spark):
+    from quaero.operators import packing
+
+    rng = random.Random(8)
+
+    def sentence():
+        n = rng.choice([1, 3, 8, 20, 60])
+        return " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 9 if n < 60 else 90))) for _ in range(n)) + rng.choice([".", "!", "?", "..."])
+
+    docs = {}
+    for k, n in enumerate([0, 1, 2, 7, 60, 300]):
+        docs[k] = ["".join(sentence() + rng.choice([" ", "\n"]) for _ in range(rng.randrange(1, 4))) for _ in range(n)]
+    docs[9] = ["", "x" * 700 + ".", None, "One. Two.", "\n\n", "Three."]
+    rows = [(k, i, t) for k, parts in docs.items() for i, t in enumerate(parts)]
+    for options in (ChunkOptions(size=32, overlap=8), ChunkOptions(size=16, overlap=0), ChunkOptions(size=64, overlap=50)):
+        parts = spark.createDataFrame(rows, "doc_id long, part int, text string").repartition(5)
+        got = sorted(tuple(r) for r in packing.chunk_parts(parts, options).collect())
+        whole = spark.createDataFrame([(k, "".join(p or "" for p in ps)) for k, ps in docs.items()], "doc_id long, text string")
+        want = ch.chunk_fixed(whole, options).select("doc_id", "chunk_index", "content", "tokens")
+        assert got == sorted(tuple(r) for r in want.collect())
+        assert len(got) > 100
