@@ -67,7 +67,7 @@ def build_index(
     """Postings and statistics of ``items<item_id, text[, match]>`` or of split items.
 
     Words are counted in the task that reads their text; what is shuffled is one narrow row for each
-    term of an item, and one without a term for the item itself, which the corpus statistics are
+    term of an item, and one with an empty term for the item itself, which the corpus statistics are
     made of. All parts of the index read the same exchange. ``only_terms<term>`` keeps just the
     postings of those terms (``few_terms``: they were found small enough to broadcast); lengths and
     document counts always cover the whole corpus. A ``match`` column (a metadata value to filter
@@ -76,24 +76,22 @@ def build_index(
     carried = ["match"] if "match" in items.columns else []
     words = items if "words" in items.columns else split_items(items)
     length = F.size("words").cast("bigint")
-    marked = F.concat(F.coalesce("words", F.array()), F.array(F.lit(None).cast("string")))
+    # the empty word stands for the item: it is never null, so no part of the plan filters for that
+    marked = F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit("")))
     exploded = words.select("item_id", *carried, length.alias("length"), F.explode(marked).alias("term"))
     if only_terms is not None:
         wanted = only_terms.select("term").distinct()
         if few_terms is None:
             few_terms = fits(wanted)
         if few_terms:
-            # the rows without a term are looked up like the others
-            every = wanted.select(F.col("term").alias("_term")).unionByName(
-                wanted.sparkSession.createDataFrame([(None,)], "_term string")
-            )
-            exploded = exploded.join(F.broadcast(every), F.col("term").eqNullSafe(F.col("_term")), "left_semi")
+            every = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+            exploded = exploded.join(F.broadcast(every), ["term"], "left_semi")
         else:
-            kept = lookup_join(exploded.dropna(subset=["term"]), wanted, ["term"], "left_semi", small_fits=False)
-            exploded = kept.unionByName(exploded.filter(F.col("term").isNull()))
+            kept = lookup_join(exploded.filter("term <> ''"), wanted, ["term"], "left_semi", small_fits=False)
+            exploded = kept.unionByName(exploded.filter("term = ''"))
     # told apart by an aggregate, for a filter on the key would go below the exchange and part the plans
     counted = exploded.groupBy("item_id", *carried, "term", "length").agg(
-        F.count("*").alias("tf"), F.max(F.col("term").isNull()).alias("_item")
+        F.count("*").alias("tf"), F.max(F.col("term") == "").alias("_item")
     )
     postings = counted.filter(~F.col("_item")).drop("_item")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
