@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -35,6 +36,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: where a row holds a whole text's pieces, fewer rows are read from Parquet, and given to Python, at once
+WIDE_ROWS = {
+    "spark.sql.parquet.columnarReaderBatchSize": 256,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 512,
+}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in the shared folder; rows are wide, so few are held at once while they are written."""
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = {setting: spark.conf.get(setting) for setting in WIDE_ROWS}
+    for setting, rows in WIDE_ROWS.items():
+        spark.conf.set(setting, str(rows))
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
+    return spark.read.parquet(folder)
+
+
 def whole_text(column: str = "text") -> Column:
     """A text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import lean
+from quaero.llm.common import give_back, lean
 from quaero.llm.words import mix
 
 SAMPLES = 2
@@ -149,8 +149,8 @@ class Lattices:
     then the table starts anew.
     """
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+    def __init__(self, model: Model, most: int = EDGES) -> None:
+        self.model, self.most = model, most
         self._clear()
 
     def _clear(self) -> None:
@@ -163,7 +163,7 @@ class Lattices:
 
     def add(self, units: list[str] | Iterator[str], n: int) -> np.ndarray:
         """The numbers of ``n`` units; those that are not there yet are laid out."""
-        if self.used > EDGES:
+        if self.used > self.most:
             self._clear()
         found = np.fromiter(map(self.numbers.__getitem__, units), dtype=np.int64, count=n)
         if self.numbers.new:
@@ -194,8 +194,8 @@ class Lattices:
         for name, values in zip(("cum", "logp", "other", "ids", "sizes"), columns):
             column = getattr(self, name)
             if end > len(column):
-                column = np.r_[column[: self.used], np.zeros(end, column.dtype)]  # room for as many again
-                setattr(self, name, column)
+                column = np.concatenate([column[: self.used], np.zeros(end - self.used + end // 4, column.dtype)])
+                setattr(self, name, column)  # with room for a quarter more
             column[self.used : end] = values
         self.used = end
 
@@ -528,7 +528,13 @@ def _groups(sizes: np.ndarray, group: int = GROUP) -> Iterator[tuple[int, int]]:
 
 
 def sample_segmentations(
-    df: DataFrame, path: str, id: str = "doc_id", text: str = "text", k: int = SAMPLES, group: int = GROUP
+    df: DataFrame,
+    path: str,
+    id: str = "doc_id",
+    text: str = "text",
+    k: int = SAMPLES,
+    group: int = GROUP,
+    edges: int = EDGES,
 ) -> DataFrame:
     """``<id, text, segmentations, round_trip>`` of every row: up to ``k`` distinct ones.
 
@@ -538,7 +544,7 @@ def sample_segmentations(
     with fewer than ``k`` ways has them all. The noise depends on the id (a null id is a key too) and
     the text, so equal rows are segmented equally. A text that holds the model's own space mark gets
     a space for it when decoded. Other columns are not read. ``group``: characters of texts that are
-    drawn together; fewer take less memory and more time.
+    drawn together, ``edges``: of the lattices that stay; fewer take less memory and more time.
     """
     rows = df.select(
         F.col(id).alias("_id"),
@@ -551,6 +557,8 @@ def sample_segmentations(
     @lean
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
+        if model.lattices.most != edges:
+            model.lattices = Lattices(model, edges)
         for batch in batches:
             ids, texts, keys = batch.columns
             sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
@@ -565,6 +573,7 @@ def sample_segmentations(
                     made = pc.if_else(some.is_valid(), made, pa.scalar(None, made.type))
                 columns = [ids.slice(a, b - a), some, made, pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "_text", "segmentations", "round_trip"])
+            give_back()
 
     return rows.mapInArrow(sample, schema).withColumnsRenamed({"_id": id, "_text": text})
 

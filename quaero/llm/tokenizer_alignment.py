@@ -16,7 +16,6 @@ import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import shared_folder, whole_text
+from quaero.llm.common import whole_text, written
 from quaero.llm.token_counts import PATTERN
 
 GROUP = 1 << 18  # characters of texts that are aligned together
@@ -33,12 +32,6 @@ PIECE = 1 << 18  # characters of a long text that are encoded at once
 COMMON_PAIRS = 1 << 16  # pairs whose counts go to every task (13 bytes each)
 PARTIAL_ROWS = 1 << 18  # partial counts that a task keeps before it hands them on
 
-# a row holds all tokens of a text: fewer rows are read from Parquet, and given to Python, at once
-ROWS_AT_ONCE = {
-    "spark.sql.parquet.columnarReaderBatchSize": 256,
-    "spark.sql.execution.arrow.maxRecordsPerBatch": 512,
-}
-
 _BLANK = "▁"
 _OLD_SCRIPTS = re.compile("[\x00-\u036f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e]*+")
 
@@ -242,20 +235,6 @@ def _by_size(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, run
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as Parquet in the shared folder; rows are wide, so few are read and held at once meanwhile."""
-    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    before = {setting: spark.conf.get(setting) for setting in ROWS_AT_ONCE}
-    for setting, rows in ROWS_AT_ONCE.items():
-        spark.conf.set(setting, str(rows))
-    try:
-        df.write.option("compression", "zstd").parquet(folder)
-    finally:
-        for setting, value in before.items():
-            spark.conf.set(setting, value)
-    return spark.read.parquet(folder)
-
-
 def align(df: DataFrame, path_a: str, path_b: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``<_row, id, a, b, a_sizes, b_sizes>`` of every row: token ids and tokens in each group.
 
@@ -279,7 +258,7 @@ def align(df: DataFrame, path_a: str, path_b: str, id: str = "doc_id", text: str
     lists = "a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>"
     found = rows.mapInArrow(encode, f"_id {kind}, {lists}")
     found = found.withColumnRenamed("_id", id).withColumn("_row", F.monotonically_increasing_id())
-    return _written(found, "alignment")
+    return written(found, "alignment")
 
 
 def _lasts(batch: pa.RecordBatch, side: str) -> pa.Array:
@@ -346,7 +325,7 @@ def link_scores(aligned: DataFrame, id: str = "doc_id", common: int = COMMON_PAI
     pair beyond them holds at most one in ``common`` of all links, so the shuffle has no hot key.
     """
     spark = aligned.sparkSession
-    counts = _written(pair_counts(aligned), "pairs")
+    counts = written(pair_counts(aligned), "pairs")
     # one row for each id of B: a vocabulary's size at most
     highest = counts.groupBy("b").agg(F.max("n").alias("_most"))
     rated = counts.join(F.broadcast(highest), "b").select("a", "b", "n", (F.col("n") == F.col("_most")).alias("best"))
@@ -398,7 +377,7 @@ def link_scores(aligned: DataFrame, id: str = "doc_id", common: int = COMMON_PAI
         f"_row long, _id {kind}, n_a long, n_b long, n_links long, n_best long, count_sum long, "
         "groups_sha256 string, rest array<struct<a: int, b: int, times: long>>"
     )
-    scored = _written(aligned.withColumnRenamed(id, "_id").mapInArrow(score, shape), "scores")
+    scored = written(aligned.withColumnRenamed(id, "_id").mapInArrow(score, shape), "scores")
     rest = scored.select("_row", F.explode("rest").alias("_pair")).select("_row", "_pair.*")
     rest_rated = rest.join(rated, ["a", "b"])
     more = rest_rated.groupBy("_row").agg(
