@@ -60,6 +60,30 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+# all pairs that share a shingle, and their transitive closure: for small tables
+TWINS["op3_ngram_jaccard"] = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as w
+    from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+           else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+    from words
+), shingles as (
+    select doc_id, unnest(s) as x, len(s) as n from sets
+), links as (
+    select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.x = b.x and a.doc_id <> b.doc_id
+    where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach as (
+    select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b
+)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(b) from reach where a = doc_id), doc_id)) as component_id
+from sets
+"""
+
+
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document."""
