@@ -10,6 +10,14 @@ from quaero.plans.registry import query
 from quaero.streaming import flows
 
 
+def arriving(t, name, files=None):
+    """A given table as a stream, ``files`` of it at once; it may be one file or a folder of files."""
+    reader = t.spark.readStream.schema(getattr(t, name).schema)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
+    # as a pattern: the source takes a plain path for a folder
+    return reader.parquet(f"{t.directory}/{name}.parque[t]")
+
+
 def as_events(df):
     return df.select(
         F.col("event_id").alias("event_key"),
@@ -45,11 +53,7 @@ def trace_metrics_batch(t):
 )
 def stream_trace_metrics(t):
     """The stream appends only windows that the watermark has closed."""
-    stream = (
-        t.spark.readStream.schema(t.events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(t.directory)
-    )
+    stream = arriving(t, "events")
     path = work_folder(t.spark, "phase-metrics")
     flows.run_phase_metrics(as_events(stream), path, path + "-checkpoint").awaitTermination()
     return out(t.spark.read.parquet(path))
@@ -60,13 +64,7 @@ def stream_trace_metrics(t):
     f"WITH {CHUNKS} SELECT file_id, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM chunks GROUP BY file_id",
 )
 def stream_ingest_chunks(t):
-    stream = (
-        t.spark.readStream.schema(t.documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 100)
-        .parquet(t.directory)
-    )
-    docs = stream.select(F.col("doc_id").alias("file_id"), "source", "text")
+    docs = arriving(t, "documents", 100).select(F.col("doc_id").alias("file_id"), "source", "text")
     path = work_folder(t.spark, "stream-chunks")
     flows.ingest_stream(docs, ch.chunk_char_windows, path, path + "-checkpoint").awaitTermination()
     stored = flows.latest_chunks(t.spark, path)

@@ -120,3 +120,29 @@ def test_twins_of_new_queries_agree(spark, key):
 
     test_twins_agree(spark, key)
     assert key in entry.oracle_sql()
+
+
+@pytest.mark.parametrize("files", [None, 3])
+def test_stream_queries_read_tables_of_one_or_many_files(spark, tmp_path, files):
+    import datetime
+
+    import pyarrow.parquet as pq
+
+    from quaero import plans
+
+    start = datetime.datetime(2024, 1, 1)
+    events = spark.createDataFrame(
+        [(i, start + datetime.timedelta(minutes=i), "a", float(i)) for i in range(300)],
+        "event_id long, ts timestamp_ntz, event_type string, value double",
+    )
+    docs = spark.createDataFrame([(i, f"s{i % 2}", "word " * 900) for i in range(5)], "doc_id long, source string, text string")
+    for name, df in (("events", events), ("documents", docs)):
+        path = tmp_path / f"{name}.parquet"
+        if files:
+            df.repartition(files).write.parquet(str(path))
+        else:
+            pq.write_table(df.toArrow(), path)
+    chunks = plans.BUILDERS["stream_ingest_chunks"](spark, str(tmp_path)).collect()
+    assert sorted((r.file_id, r.chunks) for r in chunks) == [(i, 2) for i in range(5)]
+    closed = plans.BUILDERS["stream_trace_metrics"](spark, str(tmp_path)).collect()
+    assert sorted(r.n for r in closed) == [60] * 4
