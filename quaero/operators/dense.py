@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,8 @@ from quaero.operators.blocks import BATCH_ROWS, BIG_ROWS, apply_blocks
 from quaero.operators.sizing import lookup_join, top_per_key
 
 SCORE_DIGITS = 6
+#: items that a task scores at once for all its questions
+ROWS_AT_ONCE = 1024
 HIT_SCHEMA = "query_id bigint, item_id bigint, score double"
 
 
@@ -47,9 +51,7 @@ def _kernel(metric: str, k: int, matched: bool, skip_self: bool):
         asks_match = questions["match"].notna().to_numpy() if matched else None
         best_s = np.empty((len(q), 0))
         best_i = np.empty((len(q), 0), dtype=np.int64)
-        for frame in frames:
-            if frame.empty:
-                continue
+        for frame in (f.iloc[at : at + ROWS_AT_ONCE] for f in frames for at in range(0, len(f), ROWS_AT_ONCE)):
             c = np.stack(frame["vector"].to_numpy())
             ids = frame["item_id"].to_numpy()
             scores = q @ c.T
@@ -148,28 +150,19 @@ def match_file_items(
 def hashed_vector(words: Column, dim: int = 64) -> Column:
     """Built-in embedder: unit vector of word counts hashed into ``dim`` places."""
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        places: dict[str, int] = {}
-
-        def place(word: str) -> int:
-            at = places.get(word)
-            if at is None:
-                if len(places) > 500_000:
-                    places.clear()
-                at = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim
-                places[word] = at
-            return at
-
-        for batch in batches:
-            rows = []
-            for row in batch:
-                if row is None or len(row) == 0:
-                    rows.append(None)
-                    continue
-                counts = np.bincount([place(w) for w in row], minlength=dim).astype(float)
-                rows.append(counts / np.sqrt((counts * counts).sum()))
-            yield pd.Series(rows)
+    @F.arrow_udf("array<double>")
+    def embed(rows: pa.Array) -> pa.Array:
+        # each different word of a batch becomes a text of Python once
+        coded = pc.list_flatten(rows).dictionary_encode()
+        place = [int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim for word in coded.dictionary.to_pylist()]
+        at = pc.list_parent_indices(rows).to_numpy(zero_copy_only=False).astype(np.int64) * dim
+        at = at + np.array(place, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = np.bincount(at, minlength=len(rows) * dim).reshape(len(rows), dim).astype(float)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        held = norms > 0
+        ends = np.concatenate([[0], np.cumsum(held) * dim]).astype(np.int32)
+        values = counts[held] / norms[held][:, None]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()), mask=pa.array(~held))
 
     return embed(words)
 

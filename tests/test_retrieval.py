@@ -242,3 +242,41 @@ def test_coverage(spark):
     )
     got = {r["query_id"]: r["coverage"] for r in fusion.keyword_coverage(df).collect()}
     assert got == {1: pytest.approx(2 / 3, abs=1e-6), 2: 0.0}
+
+
+def test_few_questions_shuffle_only_the_best_hits_of_a_task(spark):
+    from quaero.operators import lexical
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefg") for _ in range(2)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))), rng.choice(["x", "y", None])) for i in range(300)]
+    rows += [rows[7], (11, "aa bb cc", "x"), (None, "aa bb dd", "x"), (None, "aa bb dd", "y"), (400, None, "x")]
+    items = spark.createDataFrame(rows, "item_id long, text string, match string").repartition(3)
+    asked = [(q, " ".join(rng.choice(words) for _ in range(6)), rng.choice(["x", None])) for q in range(9)]
+    questions = spark.createDataFrame([*asked, asked[0], (None, "aa bb", "x")], "query_id long, text string, match string")
+    built = lexical.build_index(items)
+    from_postings = lexical.LexicalIndex(built.postings, built.terms, built.stats)
+    for matched in (False, True):
+        got = lexical.bm25_topk(questions, built, 5, matched=matched)
+        want = lexical.bm25_topk(questions, from_postings, 5, matched=matched).collect()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+    once = lexical.build_index(spark.createDataFrame(rows[:300], items.schema))
+    plan = lexical.bm25_topk(questions, once, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "MapInArrow" in plan
+
+
+def test_a_task_scores_few_items_at_once(spark, monkeypatch):
+    from quaero.operators import dense
+
+    sizes = []
+    kernel = dense._kernel("cosine", 2, False, False)
+    real = dense.np.lexsort
+    monkeypatch.setattr(dense.np, "lexsort", lambda keys, axis=-1: sizes.append(keys[0].shape) or real(keys, axis=axis))
+    import numpy as np
+    import pandas as pd
+
+    corpus = pd.DataFrame({"item_id": range(5000), "vector": [np.array([float(i), 1.0]) for i in range(5000)]})
+    asked = pd.DataFrame({"query_id": [1, 2], "vector": [np.array([1.0, 0.0]), np.array([-1.0, 0.0])]})
+    (found,) = kernel(iter([corpus]), asked)
+    assert found["item_id"].tolist() == [4999, 4998, 0, 1]
+    assert max(n for _, n in sizes) <= 1024 + 2
