@@ -6,9 +6,11 @@ Splitters give spans ``[start, stop)`` into the text; contents are cut out in th
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +111,21 @@ def _trimmed(text: str, spans: Sequence[Span]) -> list[Span]:
     return out
 
 
-def _spans(split: Callable[[str], list[Span]], text: Column) -> Column:
-    @F.pandas_udf(SPANS)
-    def apply(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            [[{"start": a, "stop": b} for a, b in split(t)] if t else [] for t in texts],
-            dtype=object,
-        )
+def spans_of(split: Callable[[str], list[Span]], text: Column) -> Column:
+    """Spans of each text, or of each list of texts; a task holds one row's spans as Python objects at once."""
+
+    @F.arrow_udf(SPANS)
+    def apply(texts: pa.Array) -> pa.Array:
+        starts, stops, ends = array("i"), array("i"), array("i", [0])
+        for scalar in texts:
+            body = scalar.as_py()
+            for start, stop in split(body) if body else ():
+                starts.append(start)
+                stops.append(stop)
+            ends.append(len(starts))
+        ints = [pa.array(np.frombuffer(x, dtype=np.int32)) for x in (starts, stops)]
+        pairs = pa.StructArray.from_arrays(ints, ["start", "stop"])
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), pairs)
 
     return apply(text)
 
@@ -144,7 +154,7 @@ def chunk_fixed(docs: DataFrame, options: ChunkOptions = ChunkOptions(), text: s
     def split(body: str) -> list[Span]:
         return _trimmed(body, _pack(_sentence_pieces(body, size), size, overlap))
 
-    return _cut(docs, _spans(split, F.col(text)), text)
+    return _cut(docs, spans_of(split, F.col(text)), text)
 
 
 def chunk_recursive(
@@ -159,7 +169,7 @@ def chunk_recursive(
     def split(body: str) -> list[Span]:
         return _trimmed(body, _recursive(body, (0, len(body)), tuple(separators), size, overlap))
 
-    return _cut(docs, _spans(split, F.col(text)), text)
+    return _cut(docs, spans_of(split, F.col(text)), text)
 
 
 def chunk_char_windows(

@@ -9,15 +9,16 @@ found by doubling: with pointers over 1, 2, 4, ... chunks, n chunks take log n r
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions import text as tx
-from quaero.operators.chunking import CHARS_PER_TOKEN, SPANS, _sentence_pieces
-from quaero.operators.sizing import materialise, running_sum
+from quaero.operators.chunking import CHARS_PER_TOKEN, Span, _pack, _sentence_pieces, _trimmed, spans_of
+from quaero.operators.sizing import fits, lookup_join, materialise, running_sum
 from quaero.options import ChunkOptions
 
+#: characters of a document that one task may hold
+WHOLE_CHARS = 262_144
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
@@ -28,12 +29,8 @@ def sentence_pieces(parts: DataFrame, limit: int, id: str, part: str, text: str)
     no task sees more than a block of them.
     """
 
-    @F.pandas_udf(SPANS)
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "stop": b} for a, b in _sentence_pieces(t, limit)] if t else [] for t in texts], dtype=object)
-
     rows = parts.select(F.col(id).alias("_id"), F.col(part).cast("long").alias("_part"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = materialise(rows.withColumn("_spans", cut("_text")))
+    rows = materialise(rows.withColumn("_spans", spans_of(lambda body: _sentence_pieces(body, limit), F.col("_text"))))
     sizes = rows.select("_id", "_part", F.length("_text").cast("long").alias("_chars"), F.size("_spans").cast("long").alias("_n"))
     before = running_sum(sizes, ["_id"], "_part", "_chars", "_chars_upto")
     before = running_sum(before, ["_id"], "_part", "_n", "_n_upto")
@@ -101,14 +98,54 @@ def _stripped(text: Column) -> Column:
 
 
 def chunk_parts(
-    parts: DataFrame, options: ChunkOptions = ChunkOptions(), id: str = "doc_id", part: str = "part", text: str = "text"
+    parts: DataFrame,
+    options: ChunkOptions = ChunkOptions(),
+    id: str = "doc_id",
+    part: str = "part",
+    text: str = "text",
+    whole_chars: int = WHOLE_CHARS,
 ) -> DataFrame:
     """``<id, chunk_index, content, tokens>``: the sentence chunks of documents given in parts.
 
     ``part`` numbers the parts of a document, each once; a part is expected to end where a sentence
     does (a line, a page). The chunks are those that packing the whole document one sentence after the
-    other gives; null and empty parts hold nothing.
+    other gives; null and empty parts hold nothing. Documents of at most ``whole_chars`` characters are
+    put together and packed by one task each, longer ones by pointers.
     """
+    rows = parts.select(F.col(id).alias(id), F.col(part).cast("long").alias(part), F.coalesce(F.col(text), F.lit("")).alias(text)).dropna(subset=[id])
+    each = rows.groupBy(id, part).agg(F.count("*").alias("_copies"), F.sum(F.length(text)).alias("_chars"))
+    sizes = each.groupBy(id).agg(F.max("_copies").alias("_copies"), F.sum("_chars").alias("_chars"), F.max(F.col(part).isNull()).alias("_unplaced"))
+    # a document whose parts aren't numbered, each once, has no order to put them together in
+    long = materialise(sizes.filter((F.col("_chars") > whole_chars) | (F.col("_copies") > 1) | F.col("_unplaced")).select(id))
+    if long.isEmpty():
+        return _chunk_short(rows, options, id, part, text)
+    few = fits(long)
+    short = _chunk_short(lookup_join(rows, long, [id], "left_anti", small_fits=few), options, id, part, text)
+    return short.unionByName(_chunk_long(lookup_join(rows, long, [id], "left_semi", small_fits=few), options, id, part, text))
+
+
+def _chunk_short(rows: DataFrame, options: ChunkOptions, id: str, part: str, text: str) -> DataFrame:
+    """Chunks of documents that one task each puts together."""
+    size, overlap = options.size * CHARS_PER_TOKEN, options.overlap * CHARS_PER_TOKEN
+
+    def split(texts: list[str]) -> list[Span]:
+        at, pieces = 0, []
+        for own in texts:
+            pieces += [(at + a, at + b) for a, b in _sentence_pieces(own, size)]
+            at += len(own)
+        return _trimmed("".join(texts), _pack(pieces, size, overlap))
+
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(part, text))), lambda p: p[text])
+    whole = rows.groupBy(id).agg(listed.alias("_texts")).withColumn("_spans", spans_of(split, F.col("_texts")))
+    placed = whole.select(id, F.array_join("_texts", "").alias("_whole"), F.posexplode("_spans").alias("chunk_index", "_span"))
+    content = F.substring(F.col("_whole"), F.col("_span.start") + 1, F.col("_span.stop") - F.col("_span.start"))
+    return placed.select(
+        id, F.col("chunk_index").cast("bigint").alias("chunk_index"), content.alias("content"), tx.estimate_tokens(content).alias("tokens")
+    )
+
+
+def _chunk_long(parts: DataFrame, options: ChunkOptions, id: str, part: str, text: str) -> DataFrame:
+    """Chunks of documents of any length, by pointers from piece to piece."""
     size, overlap = options.size * CHARS_PER_TOKEN, options.overlap * CHARS_PER_TOKEN
     pieces = materialise(sentence_pieces(parts, size, id, part, text))
     pointers = materialise(next_starts(pieces, size, overlap))

@@ -107,3 +107,23 @@ def test_parts_are_packed_like_the_whole_document(spark):
         want = ch.chunk_fixed(whole, options).select("doc_id", "chunk_index", "content", "tokens")
         assert got == sorted(tuple(r) for r in want.collect())
         assert len(got) > 100
+
+
+def test_short_documents_in_parts_need_no_pointers(spark, monkeypatch):
+    from quaero.operators import packing
+
+    rows = [(k, i, f"Sentence {i} of text {k}. " * 3) for k in range(4) for i in range(30)] + [(None, 0, "Nobody's.")]
+    parts = spark.createDataFrame(rows, "doc_id long, part int, text string").repartition(3)
+    options = ChunkOptions(size=32, overlap=8)
+    by_pointers = sorted(map(tuple, packing.chunk_parts(parts, options, whole_chars=0).collect()))
+    both = sorted(map(tuple, packing.chunk_parts(parts.unionByName(parts.filter("doc_id = 1").withColumn("doc_id", F.lit(9).cast("long")).withColumn("text", F.repeat("text", 9))), options, whole_chars=3000).filter("doc_id <> 9").collect()))
+    monkeypatch.setattr(packing, "reached", None)
+    alone = sorted(map(tuple, packing.chunk_parts(parts, options).collect()))
+    assert alone == by_pointers == both and len(alone) > 40
+
+
+def test_spans_stay_numbers_in_a_task(spark):
+    docs = spark.createDataFrame([(1, "One. Two."), (2, None), (3, ""), (4, "é😀. x")], "doc_id long, text string")
+    spans = docs.select("doc_id", ch.spans_of(lambda t: ch._sentence_pieces(t, 100), F.col("text")).alias("s"))
+    assert {r.doc_id: [tuple(s) for s in r.s] for r in spans.collect()} == {1: [(0, 5), (5, 9)], 2: [], 3: [], 4: [(0, 4), (4, 5)]}
+    assert "ArrowEvalPython" in spans._jdf.queryExecution().executedPlan().toString()
