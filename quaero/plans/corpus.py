@@ -36,7 +36,7 @@ def work_folder(spark, name: str) -> str:
 def discover_documents(t):
     """Every document written as a text file in a folder of its id, and found again."""
     path = work_folder(t.spark, "files")
-    t.documents.dropna(subset=["text"]).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    files.write_text_files(t.documents.dropna(subset=["text"]), path, "doc_id")
     found = files.discover_documents(t.spark, path)
     doc_id = F.regexp_extract("file_path", r"/doc_id=(\d+)/", 1).cast("bigint")
     return found.select(doc_id.alias("doc_id"), "ext", "size")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Iterator, Sequence
 from html.entities import name2codepoint
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -28,8 +32,10 @@ def discover_documents(
     spark: SparkSession, folder: str, extensions: Sequence[str] = DOCUMENT_EXTENSIONS
 ) -> DataFrame:
     """Files below the folder with an accepted extension; contents are not read."""
+    # the reader plans tasks for files that are opened; names and lengths of many take a few tasks
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        .coalesce(8 * spark.sparkContext.defaultParallelism)
         .select(F.col("path").alias("file_path"), F.col("length").alias("size"))
     )
     return files.select(
@@ -40,6 +46,60 @@ def discover_documents(
     ).filter(F.col("ext").isin(*extensions))
 
 
+def local_path(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder that is local or mounted; None if only Spark's file systems reach it."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://[^/]*)?", folder)
+    if scheme:
+        return folder[scheme.end() :] if scheme[1] == "file" else None
+    usual = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return folder if usual.startswith("file:") and folder.startswith("/") else None
+
+
+def write_text_files(rows: DataFrame, folder: str, key: str) -> None:
+    """``rows<key, text>`` as text files in a folder ``key=value`` for each whole number that is a key.
+
+    The layout of ``partitionBy(key).text(folder)``: rows of one key that are in one task share a file.
+    For every file and folder that Spark makes on a local or mounted file system a process is started (to
+    set permissions), so there the tasks write the files themselves; elsewhere Spark writes them.
+    """
+    path = local_path(rows.sparkSession, folder)
+    if path is None:
+        rows.select(key, "text").write.partitionBy(key).text(folder)
+        return
+    os.makedirs(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, parts = TaskContext.get(), None, []
+        name = f"part-{task.partitionId():05d}.txt"
+
+        def finish() -> None:
+            # a file that is being written is hidden, and one that a lost task left is written anew
+            own = f"{path}/{key}={last}"
+            os.makedirs(own, exist_ok=True)
+            with open(f"{own}/_{name}-{task.taskAttemptId()}", "wb") as out:
+                for part in parts:
+                    out.write(part)
+                    out.write(b"\n")
+            os.replace(out.name, f"{own}/{name}")
+
+        n = 0
+        for batch in batches:
+            for value, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                if parts and value != last:
+                    finish()
+                    n, parts = n + 1, []
+                last = value
+                parts.append(text)
+        if parts:
+            finish()
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    named = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    whole = rows.select(named.alias("name"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    whole.sortWithinPartitions("name").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def stats_by_extension(files: DataFrame) -> DataFrame:
     return files.groupBy("ext").agg(F.count("*").alias("n"))
 

@@ -247,3 +247,42 @@ def test_stream_ingest_replaces_a_file_that_arrives_again(spark, tmp_path, rows)
     arrive([(1, "a b"), (2, "c")])
     arrive([(1, "new")])
     assert rows(flows.latest_chunks(spark, out), "file_id", "content") == [(1, "new"), (2, "c")]
+
+
+TEXT_ROWS = [(1, "a\nß"), (2, ""), (10, "x"), (None, "without a key"), (1, "again"), (-3, None)]
+
+
+def test_text_files_are_laid_out_as_spark_lays_them_out(spark, tmp_path):
+    df = spark.createDataFrame(TEXT_ROWS, "id bigint, text string").coalesce(1)
+    files.write_text_files(df, str(tmp_path / "own"), "id")
+    df.write.partitionBy("id").text(str(tmp_path / "spark"))
+
+    def contents(folder):
+        found = [p for p in folder.rglob("*") if p.is_file() and p.suffix == ".txt" and p.name[0] != "."]
+        return sorted((p.parent.name, sorted(p.read_bytes().split(b"\n"))) for p in found)
+
+    assert contents(tmp_path / "own") == contents(tmp_path / "spark")
+    assert not list((tmp_path / "own").rglob("_*"))
+
+
+def test_text_files_of_no_rows_are_an_empty_folder(spark, tmp_path):
+    files.write_text_files(spark.createDataFrame([], "id bigint, text string"), f"file://{tmp_path}/none", "id")
+    assert files.discover_documents(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_only_local_folders_are_written_by_tasks(spark):
+    assert files.local_path(spark, "file:///a/b") == files.local_path(spark, "file:/a/b") == "/a/b"
+    assert files.local_path(spark, "/a/b") == "/a/b"
+    assert files.local_path(spark, "viewfs://store/a") is None
+
+
+def test_many_files_are_found_by_few_tasks(spark, tmp_path):
+    files.write_text_files(spark.range(100).selectExpr("id", "'text' AS text"), str(tmp_path / "many"), "id")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        found = files.discover_documents(spark, str(tmp_path / "many"))
+        assert found.count() == 100
+        assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
