@@ -87,14 +87,24 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return np.hstack([shared / norms, np.ones((len(rows), 1), rows.dtype)])
 
 
-def fit(rows: np.ndarray, labels: list[str]) -> Model:
-    """Kernel ridge regression, one language against the rest, in the span of the landmarks."""
+def _unpacked(packed: np.ndarray) -> Iterator[np.ndarray]:
+    """The bit rows, ``BATCH`` at once: as numbers, a row has 32 times as many bytes."""
+    for at in range(0, len(packed), BATCH):
+        yield np.unpackbits(packed[at : at + BATCH], axis=1).astype(np.float32)
+
+
+def fit(packed: np.ndarray, labels: list[str]) -> Model:
+    """Kernel ridge regression, one language against the rest, in the span of the landmarks.
+
+    ``packed`` holds a packed bit row for each label; all products are counts of bits, which come out the
+    same in whatever blocks they are made.
+    """
     languages = sorted(set(labels))
     by_language = [[i for i, x in enumerate(labels) if x == name] for name in languages]
     each = -(-LANDMARKS // max(1, len(languages)))
     chosen = sorted(i for own in by_language for i in own[:each])[: max(LANDMARKS, len(languages))]
-    landmarks = rows[chosen]
-    against = kernel(rows, landmarks).astype(np.float64)
+    landmarks = np.unpackbits(packed[chosen], axis=1).astype(np.float32)
+    against = np.concatenate([kernel(rows, landmarks) for rows in _unpacked(packed)]).astype(np.float64)
     among = np.zeros((len(chosen) + 1,) * 2)
     among[:-1, :-1] = kernel(landmarks, landmarks)[:, :-1]
     among += 1e-9 * np.eye(len(among))
@@ -106,11 +116,16 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model:
     weights = np.linalg.solve(gram, against.T @ (targets * share[:, None]))
     # texts that hold each n-gram, by language; a text's own n-grams need another text to be known
     own = np.array([languages.index(x) for x in labels])
-    texts = np.eye(len(languages), dtype=np.float32)[own].T @ rows
-    shared = (rows @ (texts > 1).T.astype(np.float32))[np.arange(len(rows)), own]
-    least = SLACK * float(np.quantile(_known(rows, shared), LOWEST_PART))
+    texts = np.zeros((len(languages), packed.shape[1] * 8), dtype=np.float32)
+    for at, rows in zip(range(0, len(own), BATCH), _unpacked(packed)):
+        texts += np.eye(len(languages), dtype=np.float32)[own[at : at + BATCH]].T @ rows
+    others, known = (texts > 1).T.astype(np.float32), []
+    for at, rows in zip(range(0, len(own), BATCH), _unpacked(packed)):
+        shared = (rows @ others)[np.arange(len(rows)), own[at : at + BATCH]]
+        known.append(_known(rows, shared))
+    least = SLACK * float(np.quantile(np.concatenate(known), LOWEST_PART))
     held = (texts > 0).astype(np.float32)
-    return Model(languages, landmarks.astype(np.float32), weights.astype(np.float32), held, least)
+    return Model(languages, landmarks, weights.astype(np.float32), held, least)
 
 
 def _bits(df: DataFrame) -> DataFrame:
@@ -162,7 +177,7 @@ def train(
     if not found:
         return None
     bits = np.frombuffer(b"".join(r["_row"] for r in found), dtype=np.uint8).reshape(len(found), -1)
-    return fit(np.unpackbits(bits, axis=1).astype(np.float32), [r["_lang"] for r in found])
+    return fit(bits, [r["_lang"] for r in found])
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

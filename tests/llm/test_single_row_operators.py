@@ -358,3 +358,24 @@ def test_multi_index_finds_all_fingerprints_within_the_radius():
         if int(prints[w] ^ items.prints[i]).bit_count() <= decontamination.RADIUS
     }
     assert items.candidates(prints, 12) == exact
+
+
+def test_language_is_fitted_without_all_bit_rows_as_numbers():
+    import tracemalloc
+
+    import numpy as np
+
+    n = 1_024
+    generator = np.random.default_rng(5)
+    packed = generator.integers(0, 256, (n, language_id.N_GRAM_BITS // 8), dtype=np.uint8)
+    labels = [("aa", "bb")[i % 2] for i in range(n)]
+    tracemalloc.start()
+    try:
+        model = language_id.fit(packed, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < n * language_id.N_GRAM_BITS * 4 / 2
+    first = np.unpackbits(packed[:64], axis=1).astype(np.float32)
+    assert np.array_equal(model.landmarks[:64], first) and model.languages == ["aa", "bb"]
+    assert (model.margins(first).argmax(1) == np.arange(64) % 2).all()
