@@ -86,8 +86,10 @@ class Model:
         ranks = np.array([min(max(0.0, -model.get_score(i)), n) for i in plain])
         self.weights = (-SHARPNESS * np.log(2 + ranks))[order]
         self.byte_weight = -SHARPNESS * np.log(2 + n)
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # where the hashes with each first 20 bits begin (-1: there are none), and how many these are at most
+        begun, first, some = np.unique((self.hashes >> np.uint64(44)).astype(np.int64), return_index=True, return_counts=True)
+        self.first = np.full(1 << 20, -1, dtype=np.int32)
+        self.first[begun], self.deepest = first, int(some.max())
         self.lattices = Lattices(self)
 
     @staticmethod
@@ -95,17 +97,19 @@ class Model:
         return (h ^ (h >> np.uint64(32))) * _STEP + codes
 
     def begins(self, h: np.ndarray) -> np.ndarray:
-        """Which hashed runs may begin a longer piece (a few more than do)."""
-        return self.prefixes[(mix(h) >> np.uint64(42)).astype(np.int64)]
+        """Which mixed hashes of runs may begin a longer piece (a few more than do)."""
+        return self.prefixes[(h >> np.uint64(42)).astype(np.int64)]
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: no piece) and weights of hashed character runs."""
-        h = mix(h)
+        """Ids (-1: no piece) and weights of mixed hashes of character runs."""
         ids, weights = np.full(len(h), -1, dtype=np.int32), np.full(len(h), -np.inf)
-        near = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
-        real = self.hashes[at] == h[near]
-        ids[near[real]], weights[near[real]] = self.ids[at[real]], self.weights[at[real]]
+        at = self.first[(h >> np.uint64(44)).astype(np.int64)]
+        near = np.flatnonzero(at >= 0)
+        at, h = at[near], h[near]
+        for _ in range(self.deepest):
+            real = self.hashes[at] == h
+            ids[near[real]], weights[near[real]] = self.ids[at[real]], self.weights[at[real]]
+            near, at, h = near[~real], np.minimum(at[~real] + 1, len(self.hashes) - 1), h[~real]
         return ids, weights
 
     def units(self, text: str) -> list[str]:
@@ -210,7 +214,8 @@ class Lattices:
         h, edges = np.zeros(len(at), dtype=np.uint64), []
         for size in range(1, model.longest + 1):  # all runs of one size at once, as long as they begin a piece
             h = model.extend(h, codes[at + size - 1])
-            ids, weights = model.look_up(h)
+            mixed = mix(h)
+            ids, weights = model.look_up(mixed)
             if size == 1 and (ids < 0).any():  # characters without a piece are spelled in bytes
                 odd = ids < 0
                 c = codes[at[odd]]
@@ -218,36 +223,38 @@ class Lattices:
                 spelled = -2 - c.astype(np.int32)
                 ids[odd] = np.where(c < 0x80, model.byte_ids[np.minimum(c, 0x7F).astype(np.int64)], spelled)
             real = ids != -1
-            edges.append((at[real], ids[real], weights[real]))
-            going = model.begins(h) & (at + size < ends)
+            unit, start = np.divmod(at[real], n)
+            edges.append((unit, start + size, ids[real], weights[real]))
+            going = model.begins(mixed) & (at + size < ends)
             if not going.any():
                 break
             at, ends, h = at[going], ends[going], h[going]
         width = len(edges)
-        total = np.zeros((len(units), n + 1), dtype=np.float64)
-        scores = np.full((len(units), n + 1, width), -np.inf, dtype=np.float32)  # by end position
-        found = np.full((len(units), n + 1, width), -1, dtype=np.int32)
-        for size, (first, ids, weights) in enumerate(edges, 1):
-            unit, start = first // n, first % n
-            found[unit, start + size, size - 1] = ids
-            scores[unit, start + size, size - 1] = weights
-        many = np.zeros((len(units), n + 1))
-        many[:, 0] = 1
+        # units lie side by side, so that a step adds long rows instead of many short ones
+        total, many = np.zeros((n + 1, len(units))), np.zeros((n + 1, len(units)))
+        scores = np.full((n + 1, width, len(units)), -np.inf, dtype=np.float32)  # by end position
+        for size, (unit, end, ids, weights) in enumerate(edges, 1):
+            scores[end, size - 1, unit] = weights
+        many[0] = 1
         with np.errstate(divide="ignore", invalid="ignore"):  # behind the end of a shorter unit
             for end in range(1, n + 1):
                 sizes = min(width, end)
-                there = found[:, end, :sizes] != -1
-                many[:, end] = np.minimum((there * many[:, end - sizes : end][:, ::-1]).sum(1), 1e300)
-                s = scores[:, end, :sizes]
-                s += total[:, end - sizes : end][:, ::-1].astype(np.float32)
-                top = s.max(1)
-                total[:, end] = top + np.log(np.exp(s - top[:, None]).sum(1))
-                s -= total[:, end][:, None].astype(np.float32)
-        real = np.arange(n + 1) <= lengths[:, None]
-        edges = (found != -1) & real[:, :, None]
-        counts = edges.sum(2)[real]
-        flat = np.flatnonzero(edges)
-        logp = scores.ravel()[flat]
+                s = scores[end, :sizes]
+                many[end] = np.minimum(((s != -np.inf) * many[end - sizes : end][::-1]).sum(0), 1e300)
+                s += total[end - sizes : end][::-1].astype(np.float32)
+                top = s.max(0)
+                total[end] = top + np.log(_added(np.exp(s - top)))
+                s -= total[end].astype(np.float32)
+        rows = [unit * (n + 1) + end for unit, end, *_ in edges]
+        counts = np.bincount(np.concatenate(rows), minlength=len(units) * (n + 1))
+        place = np.cumsum(counts) - counts
+        logp = np.empty(sum(map(len, rows)), dtype=np.float32)
+        which, sizes = np.empty(len(logp), dtype=np.int32), np.empty(len(logp), dtype=np.int8)
+        for size, (row, (unit, end, ids, _)) in enumerate(zip(rows, edges), 1):
+            at = place[row]  # an end has one edge of a size
+            place[row] += 1
+            logp[at], which[at], sizes[at] = scores[end, size - 1, unit], ids, size
+        counts = counts.reshape(len(units), n + 1)[np.arange(n + 1) <= lengths[:, None]]
         ends = np.cumsum(counts)
         mass = np.exp(logp.astype(np.float64))
         sums = np.cumsum(mass)
@@ -263,8 +270,7 @@ class Lattices:
         rest[most] = np.repeat(others, counts)[most]
         with np.errstate(divide="ignore"):
             other = np.log(rest).astype(np.float32)
-        sizes = (flat % width + 1).astype(np.int8)
-        return counts, cum, logp, other, found.ravel()[flat], sizes, many[np.arange(len(units)), lengths]
+        return counts, cum, logp, other, which, sizes, many[lengths, np.arange(len(units))]
 
     def draw(self, units: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
         """A segmentation of each unit: piece counts, all ids, log probabilities, and those of any other.
@@ -272,23 +278,25 @@ class Lattices:
         ``keys`` and ``places`` (the unit's first character in its text) decide the noise.
         """
         n = len(units)
-        at, logp, rest = self.lengths[units].copy(), np.zeros(n), np.zeros(n)
-        counts = np.zeros(n, dtype=np.int64)
+        logp, rest, counts = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
+        at, base, sofar, parted = self.lengths[units], self.base[units], np.zeros(n), np.zeros(n)
         active, steps = np.arange(n), []
         while len(active):
-            edge = self.from_[self.base[units[active]] + at[active]]
-            noise = uniform(keys[active], places[active] + at[active])
+            edge = self.from_[base + at]
+            noise = uniform(keys, places + at)
             pending = np.flatnonzero(self.cum[edge] <= noise)
             while len(pending):
                 edge[pending] += 1
                 pending = pending[self.cum[edge[pending]] <= noise[pending]]
             steps.append((active, self.ids[edge]))
-            sofar = logp[active]
-            rest[active] += np.exp(sofar + self.other[edge])  # another way parts here
-            logp[active] = sofar + self.logp[edge]
-            at[active] -= self.sizes[edge]
-            counts[active] += 1
-            active = active[at[active] > 0]
+            parted = parted + np.exp(sofar + self.other[edge])  # another way parts here
+            sofar = sofar + self.logp[edge]
+            at = at - self.sizes[edge]
+            done = at <= 0
+            ended = active[done]
+            logp[ended], rest[ended], counts[ended] = sofar[done], parted[done], len(steps)
+            left = np.flatnonzero(~done)
+            active, at, base, sofar, parted, keys, places = (x[left] for x in (active, at, base, sofar, parted, keys, places))
         offsets = np.r_[0, np.cumsum(counts)]
         out = np.empty(offsets[-1], dtype=np.int32)
         for k, (who, ids) in enumerate(steps):  # the last piece of a unit was drawn first
@@ -354,6 +362,21 @@ class Lattices:
         return logp
 
 
+def _added(rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows, added in the order in which numpy adds the numbers of one row."""
+    total, upto = rows[0], 1
+    if len(rows) >= 8:
+        upto = len(rows) // 8 * 8
+        lanes = rows[:8]
+        for at in range(8, upto, 8):
+            lanes = lanes + rows[at : at + 8]
+        pairs = lanes[::2] + lanes[1::2]
+        total = (pairs[0] + pairs[1]) + (pairs[2] + pairs[3])
+    for row in rows[upto:]:
+        total = total + row
+    return total
+
+
 def uniform(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1 that depend on the key and the place only."""
     h = mix(keys + (places.astype(np.uint64) + np.uint64(1)) * _STEP)

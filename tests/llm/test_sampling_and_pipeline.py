@@ -215,3 +215,21 @@ def test_a_word_without_end_is_laid_out_in_parts():
     assert max(map(len, units)) <= 2 * sentencepiece_sampling.LONGEST_UNIT and "".join(units)[1:].replace("▁", " ") == text
     for ids, _, _ in sentencepiece_sampling.sample_group(model, [text], np.array([5], dtype=np.uint64), 2)[0]:
         assert model.decode(ids.tolist()) == text and model.spells(ids, text.encode())
+
+
+def test_rows_are_added_as_numpy_adds_the_numbers_of_a_row():
+    generator = np.random.default_rng(7)
+    for n in (1, 2, 7, 8, 9, 15, 16, 17, 31, 40):
+        table = np.exp(generator.normal(0, 9, (300, n))).astype(np.float32)
+        assert np.array_equal(sentencepiece_sampling._added(np.ascontiguousarray(table.T)), table.sum(1)), n
+
+
+def test_pieces_whose_hashes_begin_alike_are_all_found(model):
+    assert model.deepest > 1
+    h = np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    asked = np.concatenate([model.hashes, h])
+    ids, weights = model.look_up(asked)
+    place = {int(x): k for k, x in enumerate(model.hashes)}
+    wanted = [place.get(int(x), -1) for x in asked]
+    assert [int(i) for i in ids] == [int(model.ids[k]) if k >= 0 else -1 for k in wanted]
+    assert [float(w) for w in weights] == [float(model.weights[k]) if k >= 0 else -np.inf for k in wanted]
