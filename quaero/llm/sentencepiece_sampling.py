@@ -155,15 +155,15 @@ class Lattices:
 
     def __init__(self, model: Model, most: int = EDGES) -> None:
         self.model, self.most = model, most
+        self.cum, self.logp, self.other = (np.zeros(0, np.float32) for _ in range(3))
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int8)
         self._clear()
 
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.lengths, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.from_ = np.zeros(1, dtype=np.int64)  # where a row's edges begin
-        self.cum, self.logp, self.other = (np.zeros(0, np.float32) for _ in range(3))
-        self.many = np.zeros(0)
-        self.ids, self.sizes, self.used = np.zeros(0, np.int32), np.zeros(0, np.int8), 0
+        self.many, self.used = np.zeros(0), 0  # the room for edges stays
 
     def add(self, units: list[str] | Iterator[str], n: int) -> np.ndarray:
         """The numbers of ``n`` units; those that are not there yet are laid out."""
@@ -176,7 +176,7 @@ class Lattices:
         return found
 
     def _add_new(self, new: list[str]) -> None:
-        lengths = np.array([len(u) for u in new], dtype=np.int64)
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
         order = np.argsort(lengths, kind="stable")
         self.lengths = np.concatenate([self.lengths, lengths])
         new, lengths = [new[i] for i in order], lengths[order]
