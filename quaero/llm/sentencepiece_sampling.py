@@ -23,7 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -100,21 +100,74 @@ class Model:
         """Which mixed hashes of runs may begin a longer piece (a few more than do)."""
         return self.prefixes[(h >> np.uint64(42)).astype(np.int64)]
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: no piece) and weights of mixed hashes of character runs."""
-        ids, weights = np.full(len(h), -1, dtype=np.int32), np.full(len(h), -np.inf)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which mixed hashes of character runs are those of pieces, and the places of these in ``hashes``."""
         at = self.first[(h >> np.uint64(44)).astype(np.int64)]
         near = np.flatnonzero(at >= 0)
-        at, h = at[near], h[near]
+        at, h, which, places = at[near], h[near], [], []
         for _ in range(self.deepest):
-            real = self.hashes[at] == h
-            ids[near[real]], weights[near[real]] = self.ids[at[real]], self.weights[at[real]]
-            near, at, h = near[~real], np.minimum(at[~real] + 1, len(self.hashes) - 1), h[~real]
+            same = self.hashes[at] == h
+            real, other = np.flatnonzero(same), np.flatnonzero(~same)
+            which.append(near[real])
+            places.append(at[real])
+            near, at, h = near[other], np.minimum(at[other] + 1, len(self.hashes) - 1), h[other]
+        return np.concatenate(which), np.concatenate(places)
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: no piece) and weights of mixed hashes of character runs."""
+        ids, weights = np.full(len(h), -1, dtype=np.int32), np.full(len(h), -np.inf)
+        real, places = self.find(h)
+        ids[real], weights[real] = self.ids[places], self.weights[places]
         return ids, weights
 
     def units(self, text: str) -> list[str]:
         return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def distinct_units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of texts, which of these each unit is, and how many units each text has.
+
+        The units are those of ``units``: one begins with each text, at and behind each line end and at each
+        run of space marks. Words that are cut, and texts that UTF-8 can't hold, go that way one by one.
+        """
+        spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        try:
+            spaced = [t.encode() for t in spaced]
+        except UnicodeEncodeError:
+            return self._listed_units(texts)
+        raw = b"".join(spaced)
+        chars = np.frombuffer(raw, dtype=np.uint8)
+        text_ends = np.cumsum(np.fromiter(map(len, spaced), dtype=np.int64, count=len(spaced)))
+        marks = np.flatnonzero(chars == 0xE2)  # a space mark is E2 96 81
+        marks = marks[(chars[marks + 1] == 0x96) & (chars[marks + 2] == 0x81)]
+        lines = np.flatnonzero(chars == 10)
+        begins = np.zeros(len(chars) + 1, dtype=bool)
+        begins[lines] = begins[lines + 1] = True
+        begins[marks[np.diff(marks, prepend=-4) != 3]] = True
+        begins[text_ends] = begins[0] = True
+        offsets = np.flatnonzero(begins)
+        if len(chars) and np.diff(offsets).max() > LONGEST_UNIT:
+            return self._listed_units(texts)
+        units = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
+        units = units.dictionary_encode()
+        return units.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(units.indices), np.diff(np.searchsorted(offsets, text_ends), prepend=0)
+
+    def _listed_units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        units, numbers = [self.units(t) for t in texts], {}
+        which = [numbers.setdefault(u, len(numbers)) for u in chain.from_iterable(units)]
+        return list(numbers), np.array(which, dtype=np.int64), np.array([len(u) for u in units], dtype=np.int64)
+
+    def spell(self, samples: list[list[tuple]], texts: list[str]) -> list[bool]:
+        """Whether all samples of each text are a blank and the text, piece by piece (no text: no pieces)."""
+        raw = [t.encode() for t in texts]
+        flat = [s[0] for one in samples for s in one]
+        wanted = [b" " + t if t else t for t, one in zip(raw, samples) for _ in one]
+        found = self.spelled.take(pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[np.cumsum([0, *map(len, flat)])]
+        if np.array_equal(ends - ends[0], np.cumsum([0, *map(len, wanted)])):  # all at once; one by one where some aren't
+            if not ends[-1] or found.buffers()[2].slice(ends[0], ends[-1] - ends[0]).equals(pa.py_buffer(b"".join(wanted))):
+                return [True] * len(texts)
+        return [all(self.spells(s[0], t) for s in one) for t, one in zip(raw, samples)]
+
     def spells(self, ids: np.ndarray, raw: bytes) -> bool:
         """Whether the pieces are a blank and these bytes, one after the other."""
         if not len(ids):
@@ -131,26 +184,13 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
-class _Numbers(dict):
-    """Numbers of units; a new unit gets the next one and is noted in ``new``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self.new.append(unit)
-        self[unit] = number = len(self)
-        return number
-
-
 class Lattices:
     """The lattices of distinct units, one after the other: rows are end positions, edges are pieces.
 
     The edges of a row are the pieces that end there, by size; ``cum`` is the probability that the
     piece is this one or a shorter one, ``other`` the log probability that it isn't this one. ``many`` is
-    the number of ways through a unit. Lattices stay for the next texts until ``EDGES`` are there;
-    then the table starts anew.
+    the number of ways through a unit, ``asked`` how often it was asked for. Lattices stay for the next texts
+    until ``EDGES`` are there; then those asked for again and again stay, up to three quarters as many edges.
     """
 
     def __init__(self, model: Model, most: int = EDGES) -> None:
@@ -160,29 +200,67 @@ class Lattices:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
-        self.lengths, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers: dict[str, int] = {}
+        self.lengths, self.base, self.asked = (np.zeros(0, np.int64) for _ in range(3))
         self.from_ = np.zeros(1, dtype=np.int64)  # where a row's edges begin
-        self.many, self.used = np.zeros(0), 0  # the room for edges stays
+        self.many, self.rows, self.used = np.zeros(0), 0, 0  # the room for edges stays
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Values from this place of a column on; it grows with room for a quarter more."""
+        column, end = getattr(self, name), at + len(values)
+        if end > len(column):
+            column = np.concatenate([column[:at], np.zeros(end - at + end // 4, column.dtype)])
+            setattr(self, name, column)
+        column[at:end] = values
 
     def add(self, units: list[str] | Iterator[str], n: int) -> np.ndarray:
         """The numbers of ``n`` units; those that are not there yet are laid out."""
         if self.used > self.most:
-            self._clear()
-        found = np.fromiter(map(self.numbers.__getitem__, units), dtype=np.int64, count=n)
-        if self.numbers.new:
-            self._add_new(self.numbers.new)
-            self.numbers.new = []
+            self._keep_asked()
+        units, known = list(units), len(self.numbers)
+        found = np.fromiter(map(self.numbers.get, units, repeat(-1)), dtype=np.int64, count=n)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            of_new = [units[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(of_new))
+            self.numbers.update(zip(new, range(known, known + len(new))))
+            found[missing] = np.fromiter(map(self.numbers.__getitem__, of_new), dtype=np.int64, count=len(missing))
+            self._add_new(new)
+        np.add.at(self.asked, found, 1)
         return found
 
+    def _keep_asked(self) -> None:
+        """Only the units that were asked for most often stay, none of those asked for once."""
+        n = len(self.numbers)
+        first = self.from_[self.base[:n]]
+        edges = self.from_[self.base[:n] + self.lengths[:n] + 1] - first
+        order = np.argsort(-self.asked[:n], kind="stable")
+        order = order[self.asked[order] > 1]
+        kept = np.sort(order[np.cumsum(edges[order]) <= self.most * 3 // 4])
+        if not len(kept):
+            return self._clear()
+        names = list(self.numbers)
+        self.numbers = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept))))
+        lengths, edges = self.lengths[kept], edges[kept]
+        counts = np.diff(self.from_)[_ranges(self.base[kept], lengths + 1)]
+        at = _ranges(first[kept], edges)
+        for name in ("cum", "logp", "other", "ids", "sizes"):
+            column = getattr(self, name)
+            column[: len(at)] = column[at]
+        self.used, self.rows, self.from_ = len(at), len(counts), np.r_[0, np.cumsum(counts)]
+        self.lengths, self.base = lengths, np.cumsum(lengths + 1) - (lengths + 1)
+        self.many, self.asked = self.many[kept], self.asked[kept] // 2
+
     def _add_new(self, new: list[str]) -> None:
         lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
         order = np.argsort(lengths, kind="stable")
-        self.lengths = np.concatenate([self.lengths, lengths])
+        known = len(self.numbers) - len(new)
+        self._put("lengths", known, lengths)
+        self._put("asked", known, np.zeros(len(new), np.int64))
         new, lengths = [new[i] for i in order], lengths[order]
         base = np.empty(len(new), dtype=np.int64)
-        base[order] = len(self.from_) - 1 + np.r_[0, np.cumsum(lengths + 1)[:-1]]
-        self.base = np.r_[self.base, base]
+        base[order] = self.rows + np.cumsum(lengths + 1) - (lengths + 1)
+        self._put("base", known, base)
         parts, many, at = [], np.empty(len(new)), 0
         while at < len(new):
             longest = int(lengths[at]) * 5 // 4 + 2  # units of about one length together
@@ -191,17 +269,12 @@ class Lattices:
             *part, many[order[at:end]] = self._lay_out(new[at:end], lengths[at:end])
             parts.append(part)
             at = end
-        self.many = np.r_[self.many, many]
+        self._put("many", known, many)
         counts, *columns = map(np.concatenate, zip(*parts))
-        self.from_ = np.concatenate([self.from_, self.from_[-1] + np.cumsum(counts)])
-        end = self.used + len(columns[0])
+        self._put("from_", self.rows + 1, self.used + np.cumsum(counts))
         for name, values in zip(("cum", "logp", "other", "ids", "sizes"), columns):
-            column = getattr(self, name)
-            if end > len(column):
-                column = np.concatenate([column[: self.used], np.zeros(end - self.used + end // 4, column.dtype)])
-                setattr(self, name, column)  # with room for a quarter more
-            column[self.used : end] = values
-        self.used = end
+            self._put(name, self.used, values)
+        self.rows, self.used = self.rows + len(counts), self.used + len(columns[0])
 
     def _lay_out(self, units: list[str], lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         """Forward pass over units of about one length: edges by row, and what they hold."""
@@ -215,18 +288,19 @@ class Lattices:
         for size in range(1, model.longest + 1):  # all runs of one size at once, as long as they begin a piece
             h = model.extend(h, codes[at + size - 1])
             mixed = mix(h)
-            ids, weights = model.look_up(mixed)
-            if size == 1 and (ids < 0).any():  # characters without a piece are spelled in bytes
-                odd = ids < 0
+            real, places = model.find(mixed)
+            ids, weights = model.ids[places], model.weights[places]
+            if size == 1 and len(real) < len(at):  # characters without a piece are spelled in bytes
+                odd = np.setdiff1d(np.arange(len(at)), real)
                 c = codes[at[odd]]
-                weights[odd] = model.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
                 spelled = -2 - c.astype(np.int32)
-                ids[odd] = np.where(c < 0x80, model.byte_ids[np.minimum(c, 0x7F).astype(np.int64)], spelled)
-            real = ids != -1
+                spelled = np.where(c < 0x80, model.byte_ids[np.minimum(c, 0x7F).astype(np.int64)], spelled)
+                real, ids = np.r_[real, odd], np.r_[ids, spelled]
+                weights = np.r_[weights, model.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))]
             unit, start = np.divmod(at[real], n)
-            edges.append((unit, start + size, ids[real], weights[real]))
-            going = model.begins(mixed) & (at + size < ends)
-            if not going.any():
+            edges.append((unit, start + size, ids, weights))
+            going = np.flatnonzero(model.begins(mixed) & (at + size < ends))
+            if not len(going):
                 break
             at, ends, h = at[going], ends[going], h[going]
         width = len(edges)
@@ -266,8 +340,7 @@ class Lattices:
         some = counts > 0
         others = np.zeros(len(counts))
         others[some] = np.add.reduceat(np.where(most, 0.0, mass), (ends - counts)[some])
-        rest = 1.0 - mass
-        rest[most] = np.repeat(others, counts)[most]
+        rest = np.where(most, np.repeat(others, counts), 1.0 - mass)
         with np.errstate(divide="ignore"):
             other = np.log(rest).astype(np.float32)
         return counts, cum, logp, other, which, sizes, many[lengths, np.arange(len(units))]
@@ -280,23 +353,26 @@ class Lattices:
         n = len(units)
         logp, rest, counts = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
         at, base, sofar, parted = self.lengths[units], self.base[units], np.zeros(n), np.zeros(n)
+        noises = counters(keys, places)
         active, steps = np.arange(n), []
         while len(active):
             edge = self.from_[base + at]
-            noise = uniform(keys, places + at)
+            noise = _uniform(noises + at.astype(np.uint64) * _STEP)
             pending = np.flatnonzero(self.cum[edge] <= noise)
             while len(pending):
                 edge[pending] += 1
                 pending = pending[self.cum[edge[pending]] <= noise[pending]]
             steps.append((active, self.ids[edge]))
-            parted = parted + np.exp(sofar + self.other[edge])  # another way parts here
-            sofar = sofar + self.logp[edge]
-            at = at - self.sizes[edge]
-            done = at <= 0
+            parted += np.exp(sofar + self.other[edge])  # another way parts here
+            sofar += self.logp[edge]
+            at -= self.sizes[edge]
+            done = np.flatnonzero(at <= 0)
+            if not len(done):
+                continue
             ended = active[done]
             logp[ended], rest[ended], counts[ended] = sofar[done], parted[done], len(steps)
-            left = np.flatnonzero(~done)
-            active, at, base, sofar, parted, keys, places = (x[left] for x in (active, at, base, sofar, parted, keys, places))
+            left = np.flatnonzero(at > 0)
+            active, at, base, sofar, parted, noises = (x[left] for x in (active, at, base, sofar, parted, noises))
         offsets = np.r_[0, np.cumsum(counts)]
         out = np.empty(offsets[-1], dtype=np.int32)
         for k, (who, ids) in enumerate(steps):  # the last piece of a unit was drawn first
@@ -362,6 +438,12 @@ class Lattices:
         return logp
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """So many numbers from each start on, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def _added(rows: np.ndarray) -> np.ndarray:
     """The sum of the rows, added in the order in which numpy adds the numbers of one row."""
     total, upto = rows[0], 1
@@ -377,10 +459,22 @@ def _added(rows: np.ndarray) -> np.ndarray:
     return total
 
 
+def counters(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return keys + (places.astype(np.uint64) + np.uint64(1)) * _STEP
+
+
 def uniform(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1 that depend on the key and the place only."""
-    h = mix(keys + (places.astype(np.uint64) + np.uint64(1)) * _STEP)
-    return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    return _uniform(counters(keys, places))
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    h = mix(h)
+    h >>= np.uint64(12)
+    out = h.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
 
 
 def below(location: np.ndarray, bound: np.ndarray | float, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -422,10 +516,11 @@ class _Branch:
 
 def sample_group(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple]]:
     """For each text up to ``k`` distinct segmentations: ``(ids, log probability, inclusion)``."""
-    units = [model.units(t) for t in texts]
+    distinct, which, sizes = model.distinct_units(texts)
     lattices = model.lattices
-    ends = np.cumsum([0, *map(len, units)])
-    own = lattices.add(chain.from_iterable(units), int(ends[-1]))
+    ends = np.r_[0, np.cumsum(sizes)]
+    own = lattices.add(distinct, len(distinct))[which]
+    units = sizes.tolist()
     chars = np.r_[0, np.cumsum(lattices.lengths[own])]
     places = chars[:-1] - np.repeat(chars[ends[:-1]], np.diff(ends))
     keys = mix(keys)
@@ -446,11 +541,12 @@ def sample_group(model: Model, texts: list[str], keys: np.ndarray, k: int) -> li
         begin = np.r_[0, np.cumsum(sizes)]
         index = np.arange(begin[-1]) + np.repeat(first - begin[:-1], sizes)
         spread = np.repeat(noise, sizes)
-        counts, ids, logp, rest = lattices.draw(own[index], spread, places[index])
+        here, where = own[index], places[index]
+        counts, ids, logp, rest = lattices.draw(here, spread, where)
         new = [_Branch(float(v), f, p, [*(p.excluded if f == p.from_ else []), p.way(f)] if p else [])
                for (_, f, p, _), v in zip(todo, values)]
         # the other ways through each unit, as one node
-        open_ = lattices.many[own[index]] > 1
+        open_ = lattices.many[here] > 1
         ways: list[tuple | None] = [None] * len(todo)
         if j:  # the first unit goes another way than before
             others = lattices.others(own[first], [b.excluded for b in new], noise, places[first])
@@ -468,7 +564,7 @@ def sample_group(model: Model, texts: list[str], keys: np.ndarray, k: int) -> li
         before = sums[:-1] + np.repeat(np.array([b.start for b in new]) - sums[begin[:-1]], sizes)
         nodes = np.full(len(logp), -np.inf)
         nodes[open_] = below(
-            (before + np.maximum(rest, -700.0))[open_], np.repeat(values, sizes)[open_], spread[open_], places[index][open_] + (1 << 40)
+            (before + np.maximum(rest, -700.0))[open_], np.repeat(values, sizes)[open_], spread[open_], where[open_] + (1 << 40)
         )
         drawn = np.r_[0, np.cumsum(counts)]
         again = []
@@ -495,7 +591,7 @@ def sample_group(model: Model, texts: list[str], keys: np.ndarray, k: int) -> li
     threshold = {t: value for t, _, _, value in todo}
     results: list[list[tuple]] = []
     for t, bs in enumerate(branches):
-        n, one = len(units[t]), [] if units[t] else [(np.zeros(0, dtype=np.int32), 0.0, 1.0)]
+        n, one = units[t], [] if units[t] else [(np.zeros(0, dtype=np.int32), 0.0, 1.0)]
         for b in bs:
             lp = b.log_prob(n)
             inclusion = float(-np.expm1(-np.exp(lp - threshold[t]))) if t in threshold else 1.0
@@ -590,7 +686,7 @@ def sample_segmentations(
                 plain = [t or "" for t in some.to_pylist()]
                 seeds = np.asarray(keys.slice(a, b - a)).astype(np.int64).view(np.uint64)
                 found = sample_group(model, plain, seeds, k)
-                same = [all(model.spells(s[0], t) for s in one) for t, one in zip(map(str.encode, plain), found)]
+                same = model.spell(found, plain)
                 made = _as_arrow(found)
                 if some.null_count:
                     made = pc.if_else(some.is_valid(), made, pa.scalar(None, made.type))

@@ -233,3 +233,35 @@ def test_pieces_whose_hashes_begin_alike_are_all_found(model):
     wanted = [place.get(int(x), -1) for x in asked]
     assert [int(i) for i in ids] == [int(model.ids[k]) if k >= 0 else -1 for k in wanted]
     assert [float(w) for w in weights] == [float(model.weights[k]) if k >= 0 else -np.inf for k in wanted]
+
+
+def test_distinct_units_are_those_of_each_text(model):
+    texts = ["", "a  b", " ", "\n", "\n\n x\n", "tail  ", "  lead\n", "▁▁a ▁b", "été … 日本 🙂", "a b a b", "x" * 300 + " " * 70, "end\n"]
+    for some in (texts, texts[::-1], [""], [], ["w" * 9_000 + " é", "a"], ["\ud800 a", "a"]):
+        units, which, sizes = model.distinct_units(some)
+        assert len(set(units)) == len(units) and len(sizes) == len(some)
+        ends = np.cumsum([0, *sizes])
+        assert [[units[i] for i in which[a:z]] for a, z in pairwise(ends)] == [model.units(t) for t in some]
+
+
+def test_units_asked_for_again_stay_in_a_full_table(model):
+    lattices = sentencepiece_sampling.Lattices(model, 300)
+    often = ["▁the", "▁of", "▁cats"]
+    for k in range(40):
+        lattices.add([*often, *(f"▁rare{k}x{j}" for j in range(3))], 6)
+    assert lattices.used < 600 and "▁rare0x0" not in lattices.numbers
+    laid_out, lattices._lay_out = [], lambda units, lengths: laid_out.extend(units)
+    kept = lattices.add(often, 3)
+    assert not laid_out
+    alone = sentencepiece_sampling.Lattices(model)
+    for a, b in zip(kept, alone.add(often, 3)):
+        assert list(lattices.ways(int(a))) == list(alone.ways(int(b))) and lattices.many[a] == alone.many[b]
+
+
+def test_samples_of_a_group_are_held_against_its_texts(model):
+    texts = ["a cat", "", "été 🙂", "b\n"]
+    found = sentencepiece_sampling.sample_group(model, texts, np.arange(4, dtype=np.uint64), 2)
+    assert model.spell(found, texts) == [True] * 4
+    assert model.spell(found, ["a cat", "x", "été", "b\n"]) == [True, False, False, True]
+    assert model.spell(found, ["a cab", "", "été 🙂", "b\n"]) == [False, True, True, True]
+    assert model.spell([], []) == []
