@@ -83,6 +83,16 @@ def test_ratio_and_trigger(spark):
     assert co.keep_graded(first).filter("query_id = 1").count() == 8
 
 
+def test_filter_counts_each_grade(spark):
+    hits = graded(spark, {1: [(1, R), (2, I), (3, A), (4, R), (4, R)], 2: [(5, I), (6, I)], 3: [(7, A)], None: [(8, I), (9, R)]})
+    got = sorted((tuple(r) for r in co.keep_graded(hits, counted=True).collect()), key=str)
+    assert got == sorted(
+        [(1, 1, 1, R, 3, 1, 1), (1, 3, 3, A, 3, 1, 1), (1, 4, 4, R, 3, 1, 1), (1, 4, 5, R, 3, 1, 1),
+         (2, None, None, None, 0, 2, 0), (3, 7, 1, A, 0, 0, 1), (None, 9, 2, R, 1, 1, 0)], key=str)
+    counts = {r["query_id"]: r for r in co.grade_counts(hits).collect()}
+    assert all(r[4:] == tuple(counts[r[0]][g] for g in ("relevant", "irrelevant", "ambiguous")) for r in got)
+
+
 def test_merge_keeps_first_pass_and_counts_twice(spark, rows):
     first = graded(spark, {1: [(1, R), (2, I), (3, A)], 2: [(5, I)], 3: [(9, I)]})
     second = graded(spark, {1: [(3, R), (2, R), (4, I)]})
