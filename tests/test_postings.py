@@ -1,8 +1,10 @@
 """The stored block index: equal to scoring every item, with whole folders and ranges left unread."""
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,51 @@ def test_an_empty_corpus_has_no_hits(spark, questions, items, tmp_path):
     postings.write_index(items.limit(0), str(tmp_path / "none"))
     index = postings.BlockIndex(spark, str(tmp_path / "none"))
     assert index.spark.read.schema("bucket int").parquet(index.path).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 100])
+def test_numbers_are_packed_as_bytes_and_read_again(monkeypatch, at_once):
+    monkeypatch.setattr(postings, "PACKED_AT_ONCE", at_once)
+    first, second = np.array([0, 127, 16_383, 2**31, 5]), np.array([1, 128, 16_384, 2**40, 0])
+    offsets = np.array([0, 0, 2, 2, 4, 5, 5])
+    lists = postings.packed((first, second), offsets)
+    both = np.column_stack([first, second]).ravel()
+    for part, start in ((lists, 0), (lists.slice(2), 2), (lists.slice(5), 5)):
+        got, at = postings.unpacked(part)
+        assert got.tolist() == both[2 * offsets[start] :].tolist() and at.tolist() == (2 * (offsets[start:] - offsets[start])).tolist()
+    assert [len(x) for x in lists.to_pylist()] == [0, 1 + 1 + 1 + 2, 0, 2 + 3 + 5 + 6, 1 + 1, 0]
+
+
+def test_a_range_hands_on_the_best_of_a_question_only(spark, items, questions, index, monkeypatch):
+    sizes, top = [], postings.Search._top
+
+    def spied(self, scored):
+        sizes.append(scored.count())
+        return top(self, scored)
+
+    monkeypatch.setattr(postings.Search, "_top", spied)
+    bounds, first, rest, hits = postings.Search(index, questions, 2).steps()
+    monkeypatch.undo()
+    # before, every item with a term of the question was handed on
+    assert sizes[0] <= 2 * first.count() and sizes[1] <= 2 * (first.count() + rest.count())
+    assert listed(hits) == listed(lexical.bm25_topk(questions, lexical.build_index(items), 2))
+
+
+def test_rows_of_one_id_in_a_range_add_up(spark, tmp_path):
+    path, rows = str(tmp_path / "blocks"), [(-5, "a b"), (2**62, "a c c"), (-5, "a a d"), (7, "b")]
+    postings.write_index(spark.createDataFrame(rows, "item_id long, text string").coalesce(1), path, buckets=2)
+    asked = spark.createDataFrame([("x", "a b"), ("x", "a"), ("y", "c"), (None, "a")], "query_id string, text string")
+    idf = lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5))
+    w = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 2.25))
+    a, b = 2 * idf(3), idf(2)  # the question that is there twice asks for a twice
+    want = [("x", -5, a * (w(1, 2) + w(2, 3)) + b * w(1, 2)), ("x", 2**62, a * w(1, 3)), ("x", 7, b * w(1, 1)), ("y", 2**62, idf(1) * w(2, 3))]
+    want = [(q, i, pytest.approx(s, abs=1e-6)) for q, i, s in sorted(want)]
+    got = sorted(tuple(r)[:3] for r in postings.Search(postings.BlockIndex(spark, path, 2), asked, 3).run().collect())
+    assert got == want
+
+
+def test_the_questions_of_a_range_are_dealt_out(items, questions, index, monkeypatch):
+    want = listed(postings.Search(index, questions, 4).run())
+    monkeypatch.setattr(postings, "ASKS_AT_ONCE", 7)
+    monkeypatch.setattr(postings, "ROWS_OUT", 3)
+    assert listed(postings.Search(index, questions, 4).run()) == want
