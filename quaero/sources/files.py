@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import errno
 import json
 import os
 import re
 from collections.abc import Iterator, Sequence
 from html.entities import name2codepoint
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quaero.fixed_values import DOCUMENT_EXTENSIONS
-from quaero.operators.sizing import lookup_join
+from quaero.operators.sizing import lookup_join, materialise
 
 
 def extension(path: Column) -> Column:
@@ -31,14 +33,22 @@ def base_name(path: Column) -> Column:
 def discover_documents(
     spark: SparkSession, folder: str, extensions: Sequence[str] = DOCUMENT_EXTENSIONS
 ) -> DataFrame:
-    """Files below the folder with an accepted extension; contents are not read."""
-    # the reader plans tasks for files that are opened; names and lengths of many take a few tasks
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        .coalesce(8 * spark.sparkContext.defaultParallelism)
-        .select(F.col("path").alias("file_path"), F.col("length").alias("size"))
-    )
-    return files.select(
+    """Files below the folder with an accepted extension; contents are not read.
+
+    Folders that are local or mounted are listed by the tasks. Elsewhere Spark's reader lists, which holds the
+    names of all files in the driver.
+    """
+    path = local_path(spark, folder)
+    most = 8 * spark.sparkContext.defaultParallelism
+    if path is None or path.startswith("//") or GLOB.search(path) or not os.path.isdir(path):
+        # the reader plans tasks for files that are opened; names and lengths of many take a few tasks
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        files = listed.select(F.col("path").alias("file_path"), F.col("length").alias("size"))
+    else:
+        files = list_files(spark, path, most).select(
+            F.concat(F.lit("file:"), F.make_valid_utf8(F.col("path").cast("string"))).alias("file_path"), "size"
+        )
+    return files.coalesce(most).select(
         "file_path",
         base_name(F.col("file_path")).alias("file_name"),
         extension(F.col("file_path")).alias("ext"),
@@ -46,6 +56,57 @@ def discover_documents(
     ).filter(F.col("ext").isin(*extensions))
 
 
+GLOB = re.compile(r"[{}\[\]*?\\]")
+NAMES_AT_ONCE = 10_000
+
+
+def list_files(spark: SparkSession, path: str, tasks: int) -> DataFrame:
+    """``<path, size>`` of all files below a local or mounted folder that Spark's reader would list.
+
+    Level by level: the tasks list the folders of a level, and the folders found there are dealt out for the
+    next one. No more than the names of some files is held anywhere, however many a folder has.
+    """
+    names = ["path", "size"]
+
+    def hidden(name: bytes, is_folder: bool) -> bool:
+        bare = name.startswith(b"_") and b"=" not in name
+        left_out = bare or name.startswith(b".") or name.endswith(b"._COPYING_")
+        return left_out and not (is_folder and name.startswith((b"_metadata", b"_common_metadata")))
+
+    def entries(folder: bytes) -> Iterator[tuple[bytes, int | None]]:
+        try:
+            with os.scandir(folder) as found:
+                for entry in found:
+                    try:
+                        is_folder = entry.is_dir()
+                        size = None if is_folder else entry.stat().st_size
+                    except OSError as error:  # gone meanwhile, or a link to nothing or to itself
+                        if error.errno not in (errno.ENOENT, errno.ELOOP):
+                            raise
+                        continue
+                    if size != 0 and not hidden(entry.name, is_folder):
+                        yield entry.path, size
+        except FileNotFoundError:  # the folder is gone meanwhile
+            pass
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (row for folder in batch[0].to_pylist() for row in entries(folder))
+            while rows := list(islice(found, NAMES_AT_ONCE)):
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    top = os.fsencode(os.path.normpath(path))
+    folders = spark.createDataFrame([(bytearray(top),)], "path binary").coalesce(1)
+    files = None
+    while files is None or not folders.isEmpty():
+        level = materialise(folders.mapInArrow(listing, "path binary, size long"))
+        here = level.filter("size IS NOT NULL")
+        files = here if files is None else files.unionByName(here)
+        folders = level.filter("size IS NULL").select("path").repartition(tasks, "path")
+    return files
+
+
 def local_path(spark: SparkSession, folder: str) -> str | None:
     """The path of a folder that is local or mounted; None if only Spark's file systems reach it."""
     scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://[^/]*)?", folder)

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quaero.functions.ranks import nearest_rank, nearest_rank_wide
@@ -286,3 +287,44 @@ def test_many_files_are_found_by_few_tasks(spark, tmp_path):
         assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 100
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def spark_listing(spark, folder):
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return sorted(tuple(r) for r in listed.select("path", "length").collect())
+
+
+def test_tasks_list_what_the_reader_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "NAMES_AT_ONCE", 2)
+    top = tmp_path / "docs"
+    kept = ("a.txt", "B.Txt", "k=1/_x=2/b.txt", "k=1/c d%20é.txt", "deep/er/and/deeper/e.md", "_metadata/in.txt", "no_extension", "x.bin", "k=1/.txt.md")
+    left = (".hidden.txt", "_own.txt", "_metadata.txt", "a.txt._COPYING_", ".git/f.txt", "_temporary/0/g.txt", "empty.txt")
+    for name in (*kept, *left):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("" if name == "empty.txt" else name)
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "l.txt").write_text("linked")
+    (top / "link").symlink_to(tmp_path / "outside")
+    (top / "nothing.txt").symlink_to(tmp_path / "nothing")
+    (top / "none").mkdir()
+    want = spark_listing(spark, str(top))
+    got = files.list_files(spark, str(top), 3)
+    assert sorted((f"file:{r['path'].decode()}", r["size"]) for r in got.collect()) == want
+    assert len(want) == len([n for n in kept if "/." not in n]) + 1
+    accepted = [(p, s) for p, s in want if p.lower().endswith((".txt", ".md"))]
+    for folder in (str(top), f"{top}/", f"file://{top}"):
+        found = files.discover_documents(spark, folder)
+        assert sorted(tuple(r) for r in found.select("file_path", "size").collect()) == accepted
+    some = files.discover_documents(spark, f"{tmp_path}/doc*", [".bin"])  # Spark's reader knows patterns
+    assert [r["file_name"] for r in some.collect()] == ["x.bin"]
+
+
+def test_no_list_of_files_is_in_the_driver(spark, tmp_path):
+    files.write_text_files(spark.range(30).selectExpr("id", "'text' AS text"), str(tmp_path / "many"), "id")
+    found = files.discover_documents(spark, str(tmp_path / "many"))
+    assert found.inputFiles() == [] and found.count() == 30
+
+
+def test_a_folder_that_is_not_there_is_an_error(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        files.discover_documents(spark, str(tmp_path / "nowhere"))
