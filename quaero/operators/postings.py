@@ -170,9 +170,11 @@ def write_index(
                 held.append(part)
                 if room <= 0 or left <= 0:
                     yield blocks()
+                    pa.default_memory_pool().release_unused()  # the worker lives on: what a range took goes back
                     number, room, left = number + 1, range_rows, RANGE_WORDS
         if held:
             yield blocks()
+            pa.default_memory_pool().release_unused()
 
     made = words.mapInArrow(cut, _BLOCK)
     if append:  # further ranges must not have the numbers of those that are there
